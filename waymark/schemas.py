@@ -1,0 +1,55 @@
+"""Explicit schemas of the tidy tables (counts Long, shares Double, dates month starts)."""
+
+from pyspark.sql.types import DateType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+
+
+def _struct(**fields) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in fields.items()])
+
+
+ENCOUNTERS = _struct(
+    date=DateType(),
+    citizenship=StringType(),
+    component=StringType(),
+    demographic=StringType(),
+    land_border_region=StringType(),
+    fiscal_year=IntegerType(),
+    year=IntegerType(),
+    month_abbv=StringType(),
+    encounter_count=LongType(),
+)
+
+LOCATION_ENCOUNTERS = _struct(
+    citizenship=StringType(), date=DateType(), encounter_count=LongType(), country_of_entry=StringType()
+)
+
+RETURNS = _struct(citizenship=StringType(), date=DateType(), returns=LongType())
+
+ARRIVALS = _struct(
+    nationality=StringType(),
+    date=DateType(),
+    count=LongType(),
+    entrada_salida=StringType(),
+    motivo_viaje=StringType(),
+)
+
+DISPLACEMENT = _struct(
+    year=IntegerType(),
+    coo_iso=StringType(),
+    coa_iso=StringType(),
+    refugees=LongType(),
+    asylum_seekers=LongType(),
+    stateless=LongType(),
+    oip=LongType(),
+    ooc=LongType(),
+    hst=LongType(),
+    idps=LongType(),
+)
+
+VISAS = _struct(nationality=StringType(), visa_class=StringType(), date=DateType(), issuances=LongType())
+
+POPULATION = _struct(citizenship=StringType(), pop=LongType())
+
+AGES = _struct(name=StringType(), age=StringType(), sex=StringType(), year=IntegerType(), value=DoubleType())
+
+LEDGER = _struct(dataset=StringType(), latest_date=DateType())
