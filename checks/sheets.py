@@ -1 +1,160 @@
+"""Sheet normalisers on wide, dirty sheets that each query makes from the tables."""
 
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from checks.views import NCA, check, enc, months
+from waymark.functions.calendar import MONTH_PREFIXES, fiscal_year
+from waymark.operators.cleaning import block_label, range_label
+from waymark.operators.reshape import to_wide
+from waymark.sources import sheets
+
+FY = "CAST(year(date) + CASE WHEN month(date) > 9 THEN 1 ELSE 0 END AS INTEGER)"
+S = "CAST(sum(encounter_count) AS BIGINT)"
+ENGLISH = [m for m in MONTH_PREFIXES if m not in ("ene", "abr", "ago", "set", "dic")]
+FISCAL = [*ENGLISH[9:], *ENGLISH[:9]]
+
+
+def _line(date="date"):
+    return F.months_between(F.trunc(F.col(date), "month"), F.lit("1990-01-01")).cast("bigint") * 2
+
+
+def _sheet(wide, columns, small=None, total=True):
+    """Month rows as landed: fiscal year only on its first row, counts as grouped text, yearly total rows."""
+    small = F.lit(False) if small is None else small
+    fy = fiscal_year("date")
+    first = wide.groupBy(fy.alias("_fy")).agg(F.min("date").alias("_first"))
+    rows = wide.withColumn("_fy", fy).join(first, "_fy")
+    label = F.when(F.col("date") == F.col("_first"), F.concat("_fy", F.lit(" (FYTD)")))
+
+    def text(c):
+        return F.when(F.col(c) < 300, "X").otherwise(F.format_number(c, 0)).alias(c)
+
+    body = rows.select(
+        F.substring(label, 1, 9).alias("fiscal_year"),
+        F.date_format("date", "MMMM").alias("month"),
+        _line().alias("line"),
+        *[text(c) for c in columns],
+    )
+    if not total:
+        return body
+    sums = rows.groupBy("_fy").agg(F.max("date").alias("_last"), *[F.sum(c).alias(c) for c in columns])
+    totals = sums.select(
+        F.lit(None).cast("string").alias("fiscal_year"),
+        F.lit("Total").alias("month"),
+        (_line("_last") + 1).alias("line"),
+        *[F.format_number(c, 0).alias(c) for c in columns],
+    )
+    return body.unionByName(totals)
+
+
+BLOCKS = [f"{cat}_{3 + 4 * i + j}" for i in range(4) for j, cat in enumerate(["total", "a", "n", "r"])]
+BLOCK_NAMES = ["Total", *NCA]
+
+
+def _block_sheet(spark, d):
+    e = enc(spark, d)
+    own = e.filter(F.col("citizenship").isin(NCA))
+    both = own.unionByName(own.withColumn("citizenship", F.lit("Total")))
+    both = both.select("date", "citizenship", F.lower("component").alias("cat"), "encounter_count")
+    both = both.unionByName(both.withColumn("cat", F.lit("total")))
+    block = F.array_position(F.array(*[F.lit(n) for n in BLOCK_NAMES]), F.col("citizenship")) - 1
+    place = F.array_position(F.array(*[F.lit(c) for c in ["total", "a", "n", "r"]]), F.col("cat")) - 1
+    header = F.concat("cat", F.lit("_"), 3 + 4 * block + place)
+    wide = to_wide(both.withColumn("h", header), ["date"], "h", BLOCKS, "encounter_count", fill=0)
+    return _sheet(wide, BLOCKS)
+
+
+@check(
+    "d39_book_out_sheet",
+    "enc",
+    f"""SELECT 'citizenship' AS sheet, date, citizenship AS label, lower(component) AS cat, CAST(sum(encounter_count) AS DOUBLE) AS count FROM enc
+        WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4') GROUP BY 2, 3, 4 HAVING sum(encounter_count) >= 300
+        UNION ALL SELECT 'ranges', date, g, cat, sum(count) FROM (
+          SELECT date, CASE WHEN citizenship = 'NATION_2' THEN 'Single' ELSE 'Family' END AS g, lower(component) AS cat, CAST(sum(encounter_count) AS DOUBLE) AS count
+          FROM enc WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4') GROUP BY date, citizenship, 3 HAVING sum(encounter_count) >= 300) GROUP BY 2, 3, 4""",
+)
+def d39(spark, d):
+    sheet = _block_sheet(spark, d)
+    one = sheets.book_out_sheet(sheet, block_label("position", BLOCK_NAMES, 4, 3), "label", halve=True)
+    ranges = range_label("position", [(3, 6, "Total"), (7, 10, "Single"), (11, 18, "Family")])
+    two = sheets.book_out_sheet(sheet, ranges, "label")
+    return one.withColumn("sheet", F.lit("citizenship")).unionByName(two.withColumn("sheet", F.lit("ranges")))
+
+
+@check(
+    "d40_agency_sheet",
+    "enc",
+    f"""SELECT date, replace(citizenship, '_', ' ') || ' NATIONALS' AS citizenship, {S} AS encounter_count FROM enc
+        WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4') GROUP BY 1, 2 HAVING sum(encounter_count) >= 300""",
+)
+def d40(spark, d):
+    e = enc(spark, d)
+    label = F.when(F.col("citizenship").isin(NCA), F.concat(F.lower("citizenship"), F.lit("_nationals")))
+    rows = e.withColumn("c", F.coalesce(label, F.lit("all_other_countries"))).select("date", "c", "encounter_count")
+    rows = rows.unionByName(e.select("date", F.lit("total").alias("c"), "encounter_count"))
+    columns = [*[f"{n.lower()}_nationals" for n in NCA], "all_other_countries", "total"]
+    wide = to_wide(rows, ["date"], "c", columns, "encounter_count", fill=0)
+    return sheets.agency_sheet(_sheet(wide, columns))
+
+
+@check(
+    "d41_country_month_sheet",
+    "enc",
+    f"""WITH y AS (SELECT DISTINCT year(date) AS y FROM enc), c AS (SELECT DISTINCT citizenship, year(date) AS y FROM enc),
+       g AS (SELECT citizenship, make_date(c.y, m, 1) AS date FROM c CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS m))
+       SELECT g.citizenship, g.date, CAST(coalesce(sum(encounter_count), 0) AS BIGINT) AS encounter_count
+       FROM g LEFT JOIN enc e ON e.citizenship = g.citizenship AND e.date = g.date GROUP BY 1, 2""",
+)
+def d41(spark, d):
+    e = enc(spark, d).withColumns({"year": F.year("date"), "m": F.lower(F.date_format("date", "MMM"))})
+    rows = e.select("citizenship", "year", "m", "encounter_count")
+    rows = rows.unionByName(rows.withColumn("citizenship", F.lit("Total general")))
+    rows = rows.unionByName(e.select(F.lit("América").alias("citizenship"), "year", "m", "encounter_count"))
+    wide = to_wide(rows, ["citizenship", "year"], "m", ENGLISH, "encounter_count")
+    text = wide.select("citizenship", "year", *[F.format_number(m, 0).alias(m) for m in ENGLISH])
+    return sheets.country_month_sheet(text, "citizenship", ENGLISH, "year")
+
+
+@check(
+    "d42_budget_lines",
+    "enc",
+    f"""SELECT land_border_region AS cat, citizenship AS op, {FY} AS year, {S} AS value FROM enc
+        WHERE {FY} >= 1998 GROUP BY 1, 2, 3""",
+)
+def d42(spark, d):
+    years = [1998, 1999, 2000, 2001]
+    e = enc(spark, d).withColumn("fy", fiscal_year("date"))
+    wide = to_wide(e, ["land_border_region", "citizenship"], "fy", years, "encounter_count")
+    cells = [F.concat(F.lit("$"), F.format_number(str(y), 0)).alias(f"fy_{y}") for y in years]
+    lines = wide.select(
+        F.col("citizenship").alias("line_item"),
+        (F.crc32("land_border_region") * 1000 + 1 + F.regexp_extract("citizenship", r"(\d+)", 1).try_cast("bigint")).alias("line"),
+        *cells,
+    )
+    blank = [F.lit(None).cast("string").alias(f"fy_{y}") for y in years]
+    heads = e.select("land_border_region").distinct()
+    parents = heads.select(F.col("land_border_region").alias("line_item"), (F.crc32("land_border_region") * 1000).alias("line"), *blank)
+    empty = heads.select(
+        F.lit("unfunded").alias("line_item"), (F.crc32("land_border_region") * 1000 + 900).alias("line"),
+        *[F.lit("$0").alias(f"fy_{y}") for y in years],
+    )
+    sheet = lines.unionByName(parents).unionByName(empty)
+    names = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
+    return sheets.budget_lines(sheet, "line_item", names)
+
+
+@check(
+    "d43_admissions_sheet",
+    "enc",
+    f"""WITH c AS (SELECT DISTINCT citizenship, {FY} AS y FROM enc), g AS (SELECT citizenship, make_date(CASE WHEN m > 9 THEN y - 1 ELSE y END, m, 1) AS date FROM c CROSS JOIN (SELECT unnest(generate_series(1, 12))::INTEGER AS m))
+       SELECT g.date, g.citizenship AS country, {S} AS value FROM g LEFT JOIN enc e ON e.citizenship = g.citizenship AND e.date = g.date GROUP BY 1, 2""",
+)
+def d43(spark, d):
+    m = months(enc(spark, d), "citizenship").withColumns(
+        {"year": F.format_number(fiscal_year("date"), 0), "m": F.lower(F.date_format("date", "MMM"))}
+    )
+    wide = to_wide(m, ["year", "citizenship"], "m", FISCAL, "encounter_count")
+    text = wide.select("year", F.col("citizenship").alias("country"), *[F.format_number(c, 0).alias(c) for c in FISCAL])
+    return sheets.admissions_sheet(text, FISCAL, label="country")
