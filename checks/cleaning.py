@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.views import (
@@ -133,11 +134,10 @@ def raw_fy(spark, d):
     """Month rows per sheet (country) that name the fiscal year only in its first row."""
     m = months(enc(spark, d), "citizenship")
     fy = cal.fiscal_year("date")
-    first = m.groupBy("citizenship", fy.alias("fy")).agg(F.min("date").alias("first"))
-    rows = m.withColumn("fy", fy).join(first, ["citizenship", "fy"])
-    label = F.when(F.col("date") == F.col("first"), F.col("fy").cast("string"))
+    before = F.lag(fy).over(Window.partitionBy("citizenship").orderBy("date"))
+    label = F.when(before.isNull() | (before < fy), fy.cast("string"))
     line = F.months_between("date", F.lit("1990-01-01")).cast("bigint")
-    return rows.select("citizenship", "date", label.alias("fiscal_year"), line.alias("line"), F.col("encounter_count").alias("n"))
+    return m.select("citizenship", "date", label.alias("fiscal_year"), line.alias("line"), F.col("encounter_count").alias("n"))
 
 
 @check("c9_fill_down", "enc", RAW_FY_SQL)
@@ -449,13 +449,13 @@ def c32(spark, d):
     names = [f"{p}_{3 + 3 * i + j}" for i in range(3) for j, p in enumerate(parts)]
     wide = to_wide(e.withColumn("h", header), ["date"], "h", names, "encounter_count")
     long = wide.unpivot(["date"], names, "h", "n").filter(F.col("n").isNotNull())
-    position = F.regexp_extract("h", r"_(\d+)$", 1).try_cast("int")
+    long = long.withColumn("position", F.regexp_extract("h", r"_(\d+)$", 1).try_cast("int"))
     return long.select(
         "date",
-        clean.block_label(position, NCA, 3, 3).alias("citizenship"),
+        clean.block_label("position", NCA, 3, 3).alias("citizenship"),
         text.strip_footnotes("h").alias("component"),
         "n",
-        clean.range_label(position, [(3, 8, "early"), (9, 11, "late")]).alias("half"),
+        clean.range_label("position", [(3, 8, "early"), (9, 11, "late")]).alias("half"),
     )
 
 

@@ -20,13 +20,11 @@ def _line(date="date"):
     return F.months_between(F.trunc(F.col(date), "month"), F.lit("1990-01-01")).cast("bigint") * 2
 
 
-def _sheet(wide, columns, small=None, total=True):
+def _sheet(wide, columns):
     """Month rows as landed: fiscal year only on its first row, counts as grouped text, yearly total rows."""
-    small = F.lit(False) if small is None else small
-    fy = fiscal_year("date")
-    first = wide.groupBy(fy.alias("_fy")).agg(F.min("date").alias("_first"))
-    rows = wide.withColumn("_fy", fy).join(first, "_fy")
-    label = F.when(F.col("date") == F.col("_first"), F.concat("_fy", F.lit(" (FYTD)")))
+    rows = wide.withColumn("_fy", fiscal_year("date"))
+    first = (F.month("date") == 10) | (F.col("date") == F.lit("1995-01-01").cast("date"))
+    label = F.when(first, F.concat("_fy", F.lit(" (FYTD)")))
 
     def text(c):
         return F.when(F.col(c) < 300, "X").otherwise(F.format_number(c, 0)).alias(c)
@@ -37,8 +35,6 @@ def _sheet(wide, columns, small=None, total=True):
         _line().alias("line"),
         *[text(c) for c in columns],
     )
-    if not total:
-        return body
     sums = rows.groupBy("_fy").agg(F.max("date").alias("_last"), *[F.sum(c).alias(c) for c in columns])
     totals = sums.select(
         F.lit(None).cast("string").alias("fiscal_year"),
@@ -54,11 +50,9 @@ BLOCK_NAMES = ["Total", *NCA]
 
 
 def _block_sheet(spark, d):
-    e = enc(spark, d)
-    own = e.filter(F.col("citizenship").isin(NCA))
-    both = own.unionByName(own.withColumn("citizenship", F.lit("Total")))
-    both = both.select("date", "citizenship", F.lower("component").alias("cat"), "encounter_count")
-    both = both.unionByName(both.withColumn("cat", F.lit("total")))
+    own = months(enc(spark, d).filter(F.col("citizenship").isin(NCA)), "citizenship", "component")
+    both = own.select("date", F.explode(F.array("citizenship", F.lit("Total"))).alias("citizenship"), "component", "encounter_count")
+    both = both.withColumn("cat", F.explode(F.array(F.lower("component"), F.lit("total"))))
     block = F.array_position(F.array(*[F.lit(n) for n in BLOCK_NAMES]), F.col("citizenship")) - 1
     place = F.array_position(F.array(*[F.lit(c) for c in ["total", "a", "n", "r"]]), F.col("cat")) - 1
     header = F.concat("cat", F.lit("_"), 3 + 4 * block + place)
@@ -92,8 +86,8 @@ def d39(spark, d):
 def d40(spark, d):
     e = enc(spark, d)
     label = F.when(F.col("citizenship").isin(NCA), F.concat(F.lower("citizenship"), F.lit("_nationals")))
-    rows = e.withColumn("c", F.coalesce(label, F.lit("all_other_countries"))).select("date", "c", "encounter_count")
-    rows = rows.unionByName(e.select("date", F.lit("total").alias("c"), "encounter_count"))
+    m = months(e.withColumn("c", F.coalesce(label, F.lit("all_other_countries"))), "c")
+    rows = m.withColumn("c", F.explode(F.array("c", F.lit("total"))))
     columns = [*[f"{n.lower()}_nationals" for n in NCA], "all_other_countries", "total"]
     wide = to_wide(rows, ["date"], "c", columns, "encounter_count", fill=0)
     return sheets.agency_sheet(_sheet(wide, columns))

@@ -69,9 +69,10 @@ def monthly_change(df: DataFrame, value: str, date: str = "date", by: list[str]
     return _with_change(months, value, date, by)
 
 
-def yearly_change(df: DataFrame, value: str, year: str, by: list[str] | None = None) -> DataFrame:
+def yearly_change(df: DataFrame, value: str, year: str, by: list[str] | None = None, present: bool = False) -> DataFrame:
+    """Totals per year (or other period) and their change; ``present`` drops periods without any value."""
     years = df.groupBy(*(by or []), year).agg(F.sum(value).alias(value))
-    return _with_change(years, value, year, by)
+    return _with_change(years.dropna(subset=[value]) if present else years, value, year, by)
 
 
 def _with_change(periods: DataFrame, value: str, order: str, by: list[str] | None) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.order import sharing
+
 
 def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
@@ -20,20 +22,28 @@ def in_months(date, months) -> Column:
     return F.month(_col(date)).isin(list(months))
 
 
-def month_set(df: DataFrame, condition: Column, date: str = "date") -> Column:
-    """The months of year (at most 12) present in the rows that meet a condition, as an array to test against."""
-    return df.filter(condition).agg(F.collect_set(F.month(date))).scalar()
+def month_set(months: DataFrame, condition: Column, value: str, date: str = "date") -> Column:
+    """The months of year (at most 12) present where a condition is met, as an array to test against.
+
+    ``months`` is a month-grain frame. The condition stands inside the aggregate, so the subquery reads the very
+    shuffle that the caller reads and the facts are scanned once.
+    """
+    return months.agg(F.collect_set(F.when(condition, sharing(F.month(date), value)))).scalar()
 
 
 def year_to_date(df: DataFrame, period: Column, current: int, date: str = "date") -> DataFrame:
     """Rows of any year whose month also occurs in the current year."""
-    months = month_set(df, period >= current, date)
-    return df.filter(F.array_contains(months, F.month(date)))
+    seen = df.filter(period >= current).agg(F.collect_set(F.month(date))).scalar()
+    return df.filter(F.array_contains(seen, F.month(date)))
+
 
+def before_first(df: DataFrame, other: DataFrame, date: str = "date", shared: str | None = None) -> DataFrame:
+    """Rows strictly before the first date of another frame.
 
-def before_first(df: DataFrame, other: DataFrame, date: str = "date") -> DataFrame:
-    """Rows strictly before the first date of another frame."""
-    return df.filter(F.col(date) < other.agg(F.min(date)).scalar())
+    When the caller also uses the aggregated frame ``other``, ``shared`` names its measure so that it is read once.
+    """
+    day = F.col(date) if shared is None else sharing(date, shared)
+    return df.filter(F.col(date) < other.agg(F.min(day)).scalar())
 
 
 def after_last(df: DataFrame, other: DataFrame, date: str = "date") -> DataFrame:

@@ -17,10 +17,20 @@ def _col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def magnitude_block(value) -> Column:
-    """Block number that never falls as ``value`` rises: sixteen blocks per doubling, from about 1e-6 up."""
+def sharing(column, other) -> Column:
+    """The column itself, written so that ``other`` stays in the plan.
+
+    Two readers of one aggregated frame share its shuffle only when both need the same columns: column pruning would
+    otherwise give each its own scan of the facts.
+    """
+    c = _col(column)
+    return F.coalesce(F.when(_col(other).isNotNull(), c), c)
+
+
+def magnitude_block(value, per_doubling: int = 16) -> Column:
+    """Block number that never falls as ``value`` rises, from about 1e-6 up."""
     v = _col(value).cast("double")
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) * 2.0**20 + 1) * 16)).cast("int")
+    return (F.signum(v) * F.floor(F.log2(F.abs(v) * 2.0**20 + 1) * per_doubling)).cast("int")
 
 
 def line_block(line, size: int = BLOCK_LINES) -> Column:
@@ -110,31 +120,35 @@ def fill_down(
 
 
 def exact_median(df: DataFrame, value: str, by: list[str] | None = None, name: str = "median") -> DataFrame:
-    """Exact median per group (or overall) from counts per distinct value."""
+    """Exact median per group (or overall).
+
+    A first pass counts rows per block of values (a few thousand counters per group). They tell which blocks hold the
+    middle ranks, and only the rows of those blocks are counted per value and ranked.
+    """
     by = list(by or [])
-    counts = df.filter(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    placed = running_total(counts, "_n", [F.col(value)], magnitude_block(value), "_upto", by)
-    totals = counts.groupBy(*by).agg(F.sum("_n").alias("_all"))
-    if by:
-        both = placed.alias("p").join(totals.alias("t"), _on(by, "p", "t")).select("p.*", "t._all")
-    else:
-        both = placed.withColumn("_all", totals.scalar())
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
-    start = F.col("_upto") - F.col("_n")
-
-    def holds(position):
-        return (position > start) & (position <= F.col("_upto"))
-
-    return (
-        both.filter(holds(low) | holds(high))
-        .groupBy(*by)
-        .agg(
-            (
-                (F.max(F.when(holds(low), F.col(value))) + F.max(F.when(holds(high), F.col(value))))
-                / F.lit(2.0)
-            ).alias(name)
-        )
+    keys = [*by, "_block"]
+    rows = df.filter(F.col(value).isNotNull()).select(*by, value, magnitude_block(value, 256).alias("_block"))
+    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    upto = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy(*by)
+    placed = counts.select(
+        *keys,
+        (F.sum("_n").over(upto) - F.col("_n")).alias("_carry"),
+        F.sum("_n").over(upto).alias("_upto"),
+        F.sum("_n").over(whole).alias("_all"),
     )
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    middle = placed.filter((low <= F.col("_upto")) & (high > F.col("_carry"))).drop("_upto")
+    inside = rows.alias("l").join(middle.alias("r"), _on(keys, "l", "r")).select("l.*", "r._carry", "r._all")
+    values = inside.groupBy(*keys, value, "_carry", "_all").agg(F.count(F.lit(1)).alias("_n"))
+    step = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_upto", F.col("_carry") + F.sum("_n").over(step))
+
+    def at(position):
+        return (position > F.col("_upto") - F.col("_n")) & (position <= F.col("_upto"))
+
+    middle_two = F.max(F.when(at(low), F.col(value))) + F.max(F.when(at(high), F.col(value)))
+    return ranked.groupBy(*by).agg((middle_two / F.lit(2.0)).alias(name))
 
 
 def top_with_ties(df: DataFrame, value: str, n: int, name: str = "rank") -> DataFrame:

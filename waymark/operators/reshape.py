@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.order import sharing
+
 
 def to_long(df: DataFrame, ids: list[str], columns: list[str] | None, name: str, value: str) -> DataFrame:
     columns = columns or [c for c in df.columns if c not in ids]
@@ -34,11 +36,12 @@ def full_grid(df: DataFrame, spine: str, label: str, measure: str, fill=0, null_
     """One row per distinct ``spine`` value and label, absent cells ``fill``.
 
     ``spine`` must be a bounded domain such as months: its distinct values travel as one array, each label row
-    explodes it, and the observed totals join back. ``null_again`` names a label whose zeros mean "not reported".
+    explodes it, and the observed totals join back. All three read the one shuffle of the totals. ``null_again``
+    names a label whose zeros mean "not reported".
     """
-    seen = df.agg(F.array_sort(F.collect_set(spine))).scalar()
-    grid = df.select(label).distinct().withColumn(spine, F.explode(seen))
     have = df.groupBy(spine, label).agg(F.sum(measure).alias(measure))
+    seen = have.agg(F.array_sort(F.collect_set(sharing(spine, measure)))).scalar()
+    grid = have.select(sharing(label, measure).alias(label)).distinct().withColumn(spine, F.explode(seen))
     on = F.col(f"g.{spine}").eqNullSafe(F.col(f"h.{spine}")) & F.col(f"g.{label}").eqNullSafe(F.col(f"h.{label}"))
     filled = F.coalesce(F.col(f"h.{measure}"), F.lit(fill))
     out = grid.alias("g").join(have.alias("h"), on, "left").select(f"g.{spine}", f"g.{label}", filled.alias(measure))

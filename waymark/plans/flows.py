@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators.joins import lookup, on_keys
+from waymark.operators.order import sharing
 from waymark.operators.reshape import to_long, to_wide
 
 
@@ -84,7 +85,7 @@ def centroids(vertices: DataFrame, key: str, position: str = "pos") -> DataFrame
     Vertices stay rows: each meets its successor through a join on the position, so a long outline is spread over
     tasks like any other rows.
     """
-    sizes = vertices.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = vertices.groupBy(key).agg(F.count(sharing(sharing(position, "x"), "y")).alias("_n"))
     rows = vertices.alias("l").join(sizes.alias("r"), on_keys([key])).select("l.*", "r._n")
     rows = rows.withColumn("_next", F.when(F.col(position) == F.col("_n"), 1).otherwise(F.col(position) + 1))
     step = vertices.select(

@@ -43,7 +43,7 @@ def ranking_table(
     year = period_year(date, basis)
     months = facts.filter(year >= since).groupBy(date, label).agg(F.sum(value).alias(value))
     all_months = months.groupBy(date).agg(F.sum(value).alias(value)).withColumn(label, F.lit("Total"))
-    ytd = month_set(months, year >= current, date)
+    ytd = month_set(months, year >= current, value, date)
 
     new, old = F.lit(newer).cast("date"), F.lit(older).cast("date")
 

@@ -29,11 +29,15 @@ def header_indicators(facts: DataFrame, as_of: str, months: list[int], value: st
 
     Components are compared in name order.
     """
-    month = monthly_change(facts, value).select(F.date_format("date", "yyyy-MM-dd").alias("period"), value, "pct")
-    years = facts.filter(in_months("date", months)).withColumn("_y", F.year("date"))
-    year = yearly_change(years, value, "_y").select(F.col("_y").cast("string").alias("period"), value, "pct")
-    parts = facts.filter(F.col("date") == F.lit(as_of).cast("date"))
-    part = yearly_change(parts, value, "component").select(F.col("component").alias("period"), value, "pct")
+    # conditions stand inside the sums: all three tables read one shuffle of the month x component totals
+    cells = facts.groupBy("date", "component").agg(F.sum(value).alias(value))
+    month = monthly_change(cells, value).select(F.date_format("date", "yyyy-MM-dd").alias("period"), value, "pct")
+    ytd = F.when(in_months("date", months), F.col(value)).alias(value)
+    years = yearly_change(cells.select(F.year("date").alias("_y"), ytd), value, "_y", present=True)
+    year = years.select(F.col("_y").cast("string").alias("period"), value, "pct")
+    own = F.when(F.col("date") == F.lit(as_of).cast("date"), F.col(value)).alias(value)
+    parts = yearly_change(cells.select("component", own), value, "component", present=True)
+    part = parts.select(F.col("component").alias("period"), value, "pct")
     return stack_tagged({"month": month, "year_to_date": year, "component": part}, "indicator")
 
 
@@ -121,10 +125,11 @@ def long_history_groups(
     The old source has no own series for ``part_label``: another source gives it, and it is taken out of the old
     residual. Both end before the first live month.
     """
-    early = stack(before_first(old, live), before_first(part.filter(F.col("citizenship") == part_label), live))
+    late = live.groupBy("date", "citizenship").agg(F.sum(value).alias(value))
+    own = part.filter(F.col("citizenship") == part_label)
+    early = stack(before_first(old, late, shared=value), before_first(own, late, shared=value))
     early = early.groupBy("date", "citizenship").agg(F.sum(value).alias(value))
     fixed = subtract_part(early, part_label, rest_label, value)
-    late = live.groupBy("date", "citizenship").agg(F.sum(value).alias(value))
     label = group_label("citizenship", groups)
     both = stack(fixed, late).groupBy("date", label.alias("citizenship")).agg(F.sum(value).alias(value))
     return share(both, value, ["date"], "freq")
@@ -145,9 +150,9 @@ def top_other_series(facts: DataFrame, exclude: list[str], n: int, chosen: DataF
     window = at_latest(facts) if chosen is None else chosen
     totals = window.filter(not_in("citizenship", exclude)).groupBy("citizenship").agg(F.sum(value).alias(value))
     best = top_with_ties(totals, value, n).select("citizenship")
-    rows = facts.join(best, "citizenship", "left_semi")
-    series = rows.groupBy("date", "citizenship").agg(F.sum(value).alias(value))
-    return ranked_labels(series, "citizenship", value, "citizenship_ord")
+    # the facts shrink to month grain before they meet the chosen names
+    series = facts.groupBy("date", "citizenship").agg(F.sum(value).alias(value)).join(best, "citizenship", "left_semi")
+    return ranked_labels(series.select("date", "citizenship", value), "citizenship", value, "citizenship_ord")
 
 
 def regular_irregular(regular: DataFrame, irregular: DataFrame, value: str = "count") -> DataFrame:

@@ -19,9 +19,10 @@ def _fiscal_months(sheet: DataFrame, line: str, by: list[str] | None, century: i
     """Fill the fiscal year down, drop note and total rows, and give each row its month date."""
     rows = fill_down(sheet, ["fiscal_year"], line, by)
     rows = drop_footnote_rows(rows, "fiscal_year").filter((F.col("month") != "Total") & (F.trim("month") != ""))
-    month = month_number("month")
-    fy = parse_fiscal_label("fiscal_year", century)
-    return rows.withColumn("date", month_start(calendar_year(fy, month), month)).drop("fiscal_year", "month", line)
+    # parsed once per row in a step of their own: both feed the date more than once
+    rows = rows.withColumns({"_m": month_number("month"), "_fy": parse_fiscal_label("fiscal_year", century)})
+    dated = rows.withColumn("date", month_start(calendar_year("_fy", "_m"), "_m"))
+    return dated.drop("fiscal_year", "month", line, "_m", "_fy")
 
 
 def agency_sheet(
@@ -104,8 +105,8 @@ def admissions_sheet(sheet: DataFrame, months: list[str], year: str = "year", la
     """Fiscal-month columns (``oct`` ... ``sep``) with the fiscal year as text -> monthly series."""
     ids = [year, *([label] if label else [])]
     long = to_long(sheet.select(*ids, *months), ids, months, "_month", "_cell")
-    month = month_number("_month")
-    date = month_start(calendar_year(digits_only(year), month), month)
     keys = ["date", *([label] if label else [])]
-    tidy = long.select(date.alias("date"), *([label] if label else []), digits_only("_cell").alias("value"))
+    parsed = long.withColumns({"_m": month_number("_month"), "_fy": digits_only(year)})
+    date = month_start(calendar_year("_fy", "_m"), "_m")
+    tidy = parsed.select(date.alias("date"), *([label] if label else []), digits_only("_cell").alias("value"))
     return tidy.groupBy(*keys).agg(F.sum("value").alias("value"))
