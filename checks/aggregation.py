@@ -13,6 +13,7 @@ from waymark.operators import aggregates as agg
 from waymark.operators.order import exact_median
 from waymark.operators.reshape import series_array
 from waymark.plans.groups import collapse_outside
+from waymark.sources.delimited import inline_table
 
 FY = "CAST(year(date) + CASE WHEN month(date) > 9 THEN 1 ELSE 0 END AS INTEGER)"
 S = "CAST(sum(encounter_count) AS BIGINT)"
@@ -209,5 +210,5 @@ def a15(spark, d):
 )
 def a16(spark, d):
     rows = flow(spark, d).fillna(0).withColumn("fdp", F.col("refugees") + F.col("oip"))
-    known = spark.createDataFrame([(1995, 100000), (1996, 170000), (2000, 1)], "year int, known bigint")
+    known = inline_table(spark, [(1995, 100000), (1996, 170000), (2000, 1)], "year int, known bigint")
     return agg.control_total(rows, ["year"], "fdp", known, 0.25)

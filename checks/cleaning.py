@@ -15,6 +15,7 @@ from waymark.operators.aggregates import attach_group
 from waymark.operators.order import fill_down
 from waymark.operators.reshape import to_wide
 from waymark.sources import snapshots
+from waymark.sources.delimited import inline_table
 
 FY = "CAST(year(date) + CASE WHEN month(date) > 9 THEN 1 ELSE 0 END AS INTEGER)"
 M = "SELECT date, citizenship, CAST(sum(encounter_count) AS BIGINT) AS encounter_count FROM enc GROUP BY 1, 2"
@@ -169,7 +170,8 @@ def c11(spark, d):
     rows = months(enc(spark, d), "citizenship").withColumn(
         "raw", clean.recode("citizenship", {"NATION_3": " Perú", "NATION_4": "Oceanía", "NATION_5": "Apátridas"})
     )
-    aliases = spark.createDataFrame(
+    aliases = inline_table(
+        spark,
         [("Peru", "Peru"), ("Oceania", "Other"), ("Apatridas", "Stateless")], "alias string, canonical string"
     )
     named = clean.standardise_country(rows, "raw", aliases, "canonical")

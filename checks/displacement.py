@@ -8,6 +8,7 @@ from checks.views import HOST, check, country, enc, flow, internal, r6, rounded,
 from waymark.operators.filters import across_borders, members
 from waymark.plans import displacement as dp
 from waymark.plans import flows
+from waymark.sources.delimited import inline_table
 
 REGION = "AMERICA"
 
@@ -195,7 +196,8 @@ def d28(spark, d):
 )
 def d29(spark, d):
     f = dp.with_measures(flow(spark, d).filter(F.col("year") == 2000), {"dp": "dp"})
-    regular = spark.createDataFrame(
+    regular = inline_table(
+        spark,
         [(HOST, 500), ("NATION_4", 300), ("NATION_7", 0), ("OTHER", 50)], "host string, regular bigint"
     )
     return flows.staged_split(f, [HOST, "NATION_4", "NATION_7"], regular, "dp")

@@ -10,7 +10,7 @@ from checks.views import (
 from waymark.functions.calendar import fiscal_year, parse_fiscal_label
 from waymark.operators import aggregates as agg
 from waymark.plans import groups, models, pathways, ranking, series
-from waymark.sources.delimited import unfold_pairs
+from waymark.sources.delimited import inline_table, unfold_pairs
 
 FY = "CAST(year(date) + CASE WHEN month(date) > 9 THEN 1 ELSE 0 END AS INTEGER)"
 S = "CAST(sum(encounter_count) AS BIGINT)"
@@ -202,7 +202,7 @@ def d9(spark, d):
     t = ranking.ranking_table(enc(spark, d), current=CURRENT, newer=NEWER, older=OLDER)
     n = F.col("n_name")
     flags = table(spark, d, "nation").select(n.alias("citizenship"), F.concat(F.lit("flag/"), n, F.lit(".png")).alias("img"))
-    flags = flags.unionByName(spark.createDataFrame([("Total", "un.png")], "citizenship string, img string"))
+    flags = flags.unionByName(inline_table(spark, [("Total", "un.png")], "citizenship string, img string"))
     rows = ranking.decorate_ranking(t, flags, {"NATION_9": "Nine"}, last="Total")
     return rows.select("citizenship", "encounter", "img", "display_ord")
 
@@ -440,7 +440,7 @@ def d33(spark, d):
     value = F.col("encounter_count").alias("value")
     live = e.filter(fiscal_year("date") >= 1999).select(fy, F.concat(F.lit("CLASS_"), "component").alias("cat"), value)
     sheets = s.filter(fiscal_year("date") < 1999).select(fy, F.lit("CLASS_A").alias("cat"), value)
-    quota = spark.createDataFrame([(2000, "QUOTA", 27400), (2001, "QUOTA", 31000)], "fiscal_year int, cat string, value bigint")
+    quota = inline_table(spark, [(2000, "QUOTA", 27400), (2001, "QUOTA", 31000)], "fiscal_year int, cat string, value bigint")
     refugees = f.select(F.col("year").alias("fiscal_year"), F.lit("REFUGEES").alias("cat"), F.col("refugees").alias("value"))
     parole = e.filter(F.col("demographic") == "HOUSEHOLD").select("date", value)
     return pathways.pathway_composite([live, sheets, quota, refugees], {"PAROLE": parole}, 1997)

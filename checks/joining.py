@@ -10,6 +10,7 @@ from checks.views import (
 from waymark.functions.calendar import fiscal_year
 from waymark.operators import filters, joins, reshape, splice
 from waymark.operators.order import ordinal, top_with_ties
+from waymark.sources.delimited import inline_table
 
 M = "SELECT date, citizenship, CAST(sum(encounter_count) AS BIGINT) AS encounter_count FROM enc GROUP BY 1, 2"
 SM = "SELECT date, citizenship, CAST(sum(encounter_count) AS BIGINT) AS encounter_count FROM ship GROUP BY 1, 2"
@@ -365,7 +366,7 @@ def j13(spark, d):
 )
 def j14(spark, d):
     rows = [("1996-03-01", "order ends"), ("2000-01-01", "agreement"), ("2010-01-01", "later")]
-    events = spark.createDataFrame(rows, "date string, label string").withColumn("date", F.col("date").cast("date"))
+    events = inline_table(spark, rows, "date string, label string").withColumn("date", F.col("date").cast("date"))
     return joins.mark_events(months(enc(spark, d)), events)
 
 

@@ -10,6 +10,7 @@ from waymark.operators.joins import lookup
 from waymark.operators.splice import append_projection
 from waymark.session import scratch_dir
 from waymark.sources import delimited, dimensions, snapshots
+from waymark.sources.delimited import inline_table
 
 
 def _land_csv(df, folder: str) -> str:
@@ -110,7 +111,7 @@ def s4(spark, d):
 )
 def s5(spark, d):
     rows = [(1999, "quota", 233650), (2000, "quota", 297350), (2000, "appointments", 276000)]
-    extra = delimited.inline_table(spark, rows, "fiscal_year int, cat string, value bigint")
+    extra = inline_table(spark, rows, "fiscal_year int, cat string, value bigint")
     data = enc(spark, d).groupBy(
         fiscal_year("date").alias("fiscal_year"), F.concat(F.lit("component "), "component").alias("cat")
     )
@@ -140,7 +141,8 @@ fresh AS (SELECT 'enc' AS dataset, max(date) AS latest_date FROM enc
 
 def _ledger(spark, d):
     e, s = enc(spark, d), ship(spark, d)
-    ledger = spark.createDataFrame(
+    ledger = inline_table(
+        spark,
         [("enc", "2001-06-01"), ("ship", "2002-01-01"), ("old", None)], "dataset string, latest_date string"
     ).withColumn("latest_date", F.col("latest_date").cast("date"))
     first = snapshots.latest_dates({"enc": e, "ship": s})
@@ -203,7 +205,7 @@ def s9(spark, d):
          UNION ALL SELECT date '2001-09-01', CAST(61000 AS BIGINT))""",
 )
 def s10(spark, d):
-    row = spark.createDataFrame([("2001-09-01", 61000)], "date string, encounter_count bigint")
+    row = inline_table(spark, [("2001-09-01", 61000)], "date string, encounter_count bigint")
     return append_projection(months(enc(spark, d)), row.withColumn("date", F.col("date").cast("date")), NEWER)
 
 

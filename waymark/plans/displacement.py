@@ -11,6 +11,7 @@ from waymark.operators.filters import members
 from waymark.operators.joins import both_roles, combine_sources, lookup
 from waymark.operators.reshape import to_long, to_wide
 from waymark.plans.groups import group_label
+from waymark.sources.delimited import inline_table
 
 PAIR = ["year", "coo_iso", "coa_iso"]
 
@@ -76,7 +77,7 @@ def host_group(column: str, host: str, rest: str) -> Column:
 
 def scope(df: DataFrame, region: DataFrame, host: str, key: str = "iso_code") -> DataFrame:
     """Origins in the region; hosts in the region or the one host."""
-    hosts = region.select(key).unionByName(df.sparkSession.createDataFrame([(host,)], f"{key} string")).distinct()
+    hosts = region.select(key).unionByName(inline_table(df.sparkSession, [(host,)], f"{key} string")).distinct()
     return members(members(df, "coo_iso", region, key), "coa_iso", hosts, key)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from waymark.operators.joins import lookup, on_keys
 from waymark.operators.order import sharing
 from waymark.operators.reshape import to_long, to_wide
+from waymark.sources.delimited import inline_table
 
 
 def edge_table(
@@ -119,7 +120,8 @@ def flow_lines(origins: DataFrame, counts: DataFrame, key: str, destinations=DES
     wide = to_wide(counts, [key], "location", codes, "encounter_count")
     joined = lookup(origins, wide, [key])
     long = to_long(joined, [key, "x", "y"], codes, "code", "ac")
-    ends = counts.sparkSession.createDataFrame(
+    ends = inline_table(
+        counts.sparkSession,
         [(code, x, y, name) for code, x, y, name in destinations],
         "code string, xend double, yend double, location string",
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DataType, StructType
 
 from waymark.functions.text import snake_all
 
@@ -64,5 +64,10 @@ def unfold_pairs(df: DataFrame, text: str, names: tuple[str, str]) -> DataFrame:
 
 
 def inline_table(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
-    """Literal rows with a declared schema."""
-    return spark.createDataFrame(rows, schema)
+    """Literal rows with a declared schema, held in the plan itself (no Python task reads them)."""
+    fields = DataType.fromDDL(schema).fields
+    cells = {f"r{i}c{j}": cell for i, row in enumerate(rows) for j, cell in enumerate(row)}
+    marks = [f"({', '.join(f':r{i}c{j}' for j in range(len(fields)))})" for i in range(len(rows))]
+    names = ", ".join(f"`{f.name}`" for f in fields)
+    raw = spark.sql(f"SELECT * FROM VALUES {', '.join(marks)} AS t({names})", args=cells)
+    return raw.select(*[F.col(f"`{f.name}`").cast(f.dataType).alias(f.name) for f in fields])

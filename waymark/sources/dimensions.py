@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.text import before_first_comma
+from waymark.sources.delimited import inline_table
 
 # Fixed value: the series that holds total population.
 POPULATION_SERIES = "SP.POP.TOTL"
@@ -20,7 +21,8 @@ def country_codes(raw: DataFrame) -> DataFrame:
 
 def flags(raw: DataFrame, total_image: str, other_image: str) -> DataFrame:
     """Flag images with the two extra rows for the total and the residual."""
-    extra = raw.sparkSession.createDataFrame(
+    extra = inline_table(
+        raw.sparkSession,
         [("Total", total_image), ("Other", other_image)], "citizenship string, img string"
     )
     return raw.select(F.col("country").alias("citizenship"), F.col("image_url").alias("img")).unionByName(extra)
