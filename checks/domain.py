@@ -9,7 +9,8 @@ from checks.views import (
 )
 from waymark.functions.calendar import fiscal_year, parse_fiscal_label
 from waymark.operators import aggregates as agg
-from waymark.plans import groups, models, pathways, ranking, series
+from waymark.plans import cube, groups, models, pathways, ranking, series
+from waymark.session import scratch_dir
 from waymark.sources.delimited import inline_table, unfold_pairs
 
 FY = "CAST(year(date) + CASE WHEN month(date) > 9 THEN 1 ELSE 0 END AS INTEGER)"
@@ -186,6 +187,14 @@ def d8_month(spark, d):
     )
 
 
+@check("d8_ranking_table_from_cube", "enc", ranking_sql("CAST(year(date) AS INTEGER)", *BY_DATE))
+def d8_cube(spark, d):
+    path = scratch_dir(spark, "cube")
+    cube.write_month_cube(enc(spark, d), path)
+    stored = cube.read_month_cube(spark, path, since=CURRENT - 3)
+    return _ranking(ranking.ranking_table(stored, current=CURRENT, newer=NEWER, older=OLDER))
+
+
 @check(
     "d9_ranking_decoration",
     "enc",

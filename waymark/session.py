@@ -13,6 +13,8 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # each Column call would otherwise record its Python stack
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
