@@ -112,8 +112,8 @@ def _relative(test):
     return f"""WITH {FLOWS}, b(base_year) AS (VALUES (1996), (1998), (2000)),
        g AS (SELECT base_year, CAST(sum(fdpa) FILTER (coa_iso = 'NATION_1') AS BIGINT) AS host_total, CAST(sum(fdpa) FILTER (coa_iso <> 'NATION_1') AS BIGINT) AS rest_total
              FROM ff JOIN b ON {test} WHERE {IN_SCOPE} AND year <= 2001 GROUP BY 1)
-       SELECT base_year, host_total, rest_total, round(CAST(rest_total AS DOUBLE) / host_total, 6) AS relative,
-              round(CAST(host_total AS DOUBLE) / (host_total + rest_total), 6) AS host_share FROM g"""
+       SELECT base_year, host_total, rest_total, round(CAST(rest_total AS DOUBLE) / nullif(host_total, 0), 6) AS relative,
+              round(CAST(host_total AS DOUBLE) / nullif(host_total + rest_total, 0), 6) AS host_share FROM g"""
 
 
 @check("d25_relative_displacement", "flow internal country", _relative("year >= base_year"))

@@ -24,12 +24,14 @@ def read_table(spark: SparkSession, paths: str | list[str], schema: StructType |
 def read_with_preamble(spark: SparkSession, paths: str | list[str], columns: list[str], numeric: str) -> DataFrame:
     """CSV whose header follows a block of notes.
 
-    A data line is one whose ``numeric`` cell holds a number, so notes and header fall out in the same pass and the
-    file stays splittable.
+    A data line reaches the last column and its ``numeric`` cell holds a number, so notes and header fall out in the
+    same pass and the file stays splittable.
     """
     lines = spark.read.text(paths)
-    cells = lines.select(F.from_csv("value", ", ".join(f"`{c}` string" for c in columns)).alias("c"))
-    return cells.select("c.*").filter(F.col(numeric).try_cast("double").isNotNull())
+    schema = ", ".join(f"`{c}` string" for c in [*columns, "_short"])
+    cells = lines.select(F.from_csv("value", schema, {"columnNameOfCorruptRecord": "_short"}).alias("c")).select("c.*")
+    whole = F.col("_short").isNull() | F.col(columns[-1]).isNotNull()
+    return cells.filter(whole & F.col(numeric).try_cast("double").isNotNull()).drop("_short")
 
 
 def read_tagged(spark: SparkSession, paths: str | list[str], tags: dict[str, str]) -> DataFrame:
