@@ -212,7 +212,7 @@ def d29(spark, d):
        c AS (SELECT citizenship, CAST(sum((x1 + x2) * (x1 * y2 - x2 * y1)) AS DOUBLE) / CAST(3 * sum(x1 * y2 - x2 * y1) AS DOUBLE) AS x,
                     CAST(sum((y1 + y2) * (x1 * y2 - x2 * y1)) AS DOUBLE) / CAST(3 * sum(x1 * y2 - x2 * y1) AS DOUBLE) AS y FROM e GROUP BY 1),
        k AS (SELECT citizenship, 'southwest' AS code, CAST(sum(encounter_count) AS BIGINT) AS ac FROM enc GROUP BY 1
-             UNION ALL SELECT citizenship, 'darien', CAST(sum(encounter_count) AS BIGINT) FROM ship WHERE citizenship < 'NATION_2' GROUP BY 1),
+             UNION ALL SELECT citizenship, 'darien', CAST(sum(encounter_count) AS BIGINT) FROM ship GROUP BY 1),
        l(code, xend, yend, location) AS (VALUES ('darien', -77.0::DOUBLE, 7.0::DOUBLE, 'Darien Gap'), ('southwest', -98.0, 39.0, 'US Southwest Border'), ('mexico', -102.5, 23.5, 'Mexico Border'))
        SELECT c.citizenship, round(c.x, 6) AS x, round(c.y, 6) AS y, k.ac, l.xend, l.yend, l.location, CASE WHEN k.ac IS NULL THEN 0 ELSE 1 END AS alpha
        FROM c CROSS JOIN l LEFT JOIN k ON k.citizenship = c.citizenship AND k.code = l.code""",
@@ -229,7 +229,6 @@ def d30(spark, d):
     outline = radius.select("citizenship", "pos", corner(xs).alias("x"), corner(ys).alias("y"))
     origins = flows.centroids(outline, "citizenship")
     counts = e.select("citizenship", F.lit("southwest").alias("location"), "encounter_count")
-    some = ship(spark, d).filter(F.col("citizenship") < "NATION_2")
-    counts = counts.unionByName(some.select("citizenship", F.lit("darien").alias("location"), "encounter_count"))
+    counts = counts.unionByName(ship(spark, d).select("citizenship", F.lit("darien").alias("location"), "encounter_count"))
     lines = flows.flow_lines(origins, counts, "citizenship")
     return lines.select("citizenship", r6("x"), r6("y"), "ac", "xend", "yend", "location", "alpha")

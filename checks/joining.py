@@ -203,12 +203,12 @@ def j1(spark, d):
 @check(
     "j2_join_flags",
     "enc",
-    f"""WITH m AS ({M}), f AS (SELECT n_name AS citizenship, 'flag/' || n_nationkey || '.png' AS img FROM nation WHERE n_nationkey % 2 = 0)
+    f"""WITH m AS ({M}), f AS (SELECT n_name AS citizenship, 'flag/' || n_nationkey || '.png' AS img FROM nation WHERE n_regionkey <> 2)
         SELECT m.*, f.img FROM m LEFT JOIN f USING (citizenship)""",
 )
 def j2(spark, d):
     image = F.concat(F.lit("flag/"), "n_nationkey", F.lit(".png"))
-    flags = table(spark, d, "nation").filter(F.col("n_nationkey") % 2 == 0)
+    flags = table(spark, d, "nation").filter(F.col("n_regionkey") != 2)
     flags = flags.select(F.col("n_name").alias("citizenship"), image.alias("img"))
     return joins.lookup(months(enc(spark, d), "citizenship"), flags, ["citizenship"])
 

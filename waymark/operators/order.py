@@ -38,10 +38,16 @@ def line_block(line, size: int = BLOCK_LINES) -> Column:
     return F.floor(_col(line) / size).cast("long")
 
 
-def _on(keys: list[str], left: str, right: str) -> Column:
+def _on(keys: list[str], left: str, right: str, plain: tuple[str, ...] = ()) -> Column:
+    """Null-safe equality of the keys, and plain equality of key columns that are never null.
+
+    A join on plain keys keeps the partitioning of a window on the same keys, so it needs no further shuffle.
+    """
     on = F.lit(True)
     for k in keys:
         on = on & F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}"))
+    for k in plain:
+        on = on & (F.col(f"{left}.{k}") == F.col(f"{right}.{k}"))
     return on
 
 
@@ -56,11 +62,12 @@ def running_total(
     """Running sum of ``value`` in the order of ``order``, per ``by`` or over the whole frame.
 
     ``block`` must follow the order: every row of a lower block comes before every row of a higher one
-    (``F.year("date")`` for a date order, ``magnitude_block`` for a numeric order).
+    (``F.year("date")`` for a date order, ``magnitude_block`` for a numeric order). Rows without a block come first,
+    as nulls do in an ascending order.
     """
     by = list(by or [])
     keys = [*by, "_block"]
-    rows = df.withColumn("_v", _col(value)).withColumn("_block", block)
+    rows = df.withColumn("_v", _col(value)).withColumn("_block", F.coalesce(block.cast("long"), F.lit(-(2**62))))
     inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     carry = (
@@ -69,7 +76,7 @@ def running_total(
         .select(*keys, F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_carry"))
     )
     local = rows.withColumn("_local", F.sum("_v").over(inside))
-    joined = local.alias("l").join(carry.alias("c"), _on(keys, "l", "c"))
+    joined = local.alias("l").join(carry.alias("c"), _on(by, "l", "c", ("_block",)))
     return joined.select(
         *[F.col(f"l.{c}") for c in df.columns], (F.col("l._local") + F.col("c._carry")).alias(name)
     )
@@ -110,7 +117,7 @@ def fill_down(
     filled = rows
     for c in columns:
         filled = filled.withColumn(f"_fill_{c}", F.last(c, ignorenulls=True).over(inside))
-    joined = filled.alias("l").join(carry.alias("c"), _on(keys, "l", "c"))
+    joined = filled.alias("l").join(carry.alias("c"), _on(by, "l", "c", ("_block",)))
     return joined.select(
         *[
             F.coalesce(F.col(f"l._fill_{c}"), F.col(f"c._carry_{c}")).alias(c) if c in columns else F.col(f"l.{c}")
@@ -139,7 +146,13 @@ def exact_median(df: DataFrame, value: str, by: list[str] | None = None, name: s
     )
     low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
     middle = placed.filter((low <= F.col("_upto")) & (high > F.col("_carry"))).drop("_upto")
-    inside = rows.alias("l").join(middle.alias("r"), _on(keys, "l", "r")).select("l.*", "r._carry", "r._all")
+    if by:
+        inside = rows.alias("l").join(middle.alias("r"), _on(by, "l", "r", ("_block",))).select("l.*", "r._carry", "r._all")
+    else:
+        # at most two blocks: they travel as one value, and no row of another block is shuffled
+        found = middle.agg(F.map_from_entries(F.collect_list(F.struct("_block", F.struct("_carry", "_all"))))).scalar()
+        hit = rows.withColumn("_at", F.try_element_at(found, F.col("_block"))).filter(F.col("_at").isNotNull())
+        inside = hit.select(value, "_block", "_at._carry", "_at._all")
     values = inside.groupBy(*keys, value, "_carry", "_all").agg(F.count(F.lit(1)).alias("_n"))
     step = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = values.withColumn("_upto", F.col("_carry") + F.sum("_n").over(step))
