@@ -527,12 +527,59 @@ def d38(spark, d):
     return series.encounters_and_returns(enc(spark, d), returns)
 
 
-@check("m1_yearly_to_monthly")
+# natural cubic spline by forward elimination and back substitution over the inner years
+SPLINE_SQL = """WITH RECURSIVE y AS (SELECT citizenship, CAST(year(date) AS INTEGER) AS year, CAST(sum(encounter_count) AS DOUBLE) AS v FROM enc GROUP BY 1, 2),
+  p AS (SELECT citizenship, year - min(year) OVER w AS i, max(year) OVER w - min(year) OVER w AS k, min(year) OVER w AS y0, v FROM y WINDOW w AS (PARTITION BY citizenship)),
+  r AS (SELECT *, 6 * (lead(v) OVER w - 2 * v + lag(v) OVER w) AS r FROM p WINDOW w AS (PARTITION BY citizenship ORDER BY i)),
+  fwd(citizenship, i, k, c, d) AS (
+    SELECT citizenship, i, k, 0.25::DOUBLE, r / 4 FROM r WHERE i = 1 AND k > 1
+    UNION ALL SELECT r.citizenship, r.i, r.k, 1 / (4 - f.c), (r.r - f.d) / (4 - f.c) FROM fwd f JOIN r ON r.citizenship = f.citizenship AND r.i = f.i + 1 WHERE r.i < r.k),
+  bwd(citizenship, i, m) AS (
+    SELECT citizenship, i, d FROM fwd WHERE i = k - 1
+    UNION ALL SELECT f.citizenship, f.i, f.d - f.c * b.m FROM bwd b JOIN fwd f ON f.citizenship = b.citizenship AND f.i = b.i - 1),
+  q AS (SELECT p.*, coalesce(b.m, 0) AS m FROM p LEFT JOIN bwd b USING (citizenship, i)),
+  t AS (SELECT DISTINCT citizenship, k, y0, unnest(generate_series(0, 12 * k)) AS t FROM p),
+  u AS (SELECT *, least(t // 12, k - 1) AS i, t / 12.0::DOUBLE - least(t // 12, k - 1) AS b FROM t)
+  SELECT u.citizenship, make_date(y0 + t // 12, t % 12 + 1, 1) AS date,
+         round((1 - b) * l.v + b * h.v + ((pow(1 - b, 3) - (1 - b)) * l.m + (pow(b, 3) - b) * h.m) / 6, 4) AS rate
+  FROM u JOIN (SELECT citizenship, i, v, m FROM q) l ON l.citizenship = u.citizenship AND l.i = u.i
+  JOIN (SELECT citizenship, i, v, m FROM q) h ON h.citizenship = u.citizenship AND h.i = u.i + 1"""
+
+
+def _fit_sql() -> str:
+    """Least squares by orthogonalising the six basis columns one after another."""
+
+    def cube(i):
+        return f"pow(greatest(x - k{i}, 0), 3)"
+
+    slope = [f"(({cube(i)} - {cube(5)}) / (k5 - k{i}))" for i in range(5)]
+    basis = ["1.0::DOUBLE", "x", *[f"({slope[i]} - {slope[4]})" for i in range(4)]]
+    cuts = ", ".join(f"quantile_cont(t, {i / 5}) AS c{i}" for i in range(6))
+    knots = ", ".join(f"(c{i} - c0) / (c5 - c0) AS k{i}" for i in range(6))
+    ctes = [
+        "m AS (SELECT date, citizenship, CAST(sum(encounter_count) AS BIGINT) AS n FROM enc GROUP BY 1, 2)",
+        "d AS (SELECT *, CAST(date - date '1970-01-01' AS DOUBLE) AS t FROM m)",
+        f"c AS (SELECT citizenship, {cuts} FROM d GROUP BY 1)",
+        f"s AS (SELECT d.*, (t - c0) / (c5 - c0) AS x, {knots} FROM d JOIN c USING (citizenship))",
+        f"g0 AS (SELECT citizenship, date, n, CAST(n AS DOUBLE) AS rest, {', '.join(f'{b} AS b{j}' for j, b in enumerate(basis))} FROM s)",
+    ]
+    for j in range(6):
+        later = [f"b{i} - sum(b{i} * b{j}) OVER w / sum(b{j} * b{j}) OVER w * b{j} AS b{i}" for i in range(j + 1, 6)]
+        left = f"rest - sum(rest * b{j}) OVER w / sum(b{j} * b{j}) OVER w * b{j} AS rest"
+        ctes.append(
+            f"g{j + 1} AS (SELECT citizenship, date, n, {', '.join([left, *later])} FROM g{j} WINDOW w AS (PARTITION BY citizenship))"
+        )
+    return f"WITH {', '.join(ctes)} SELECT citizenship, date, n AS encounter_count, round(n - rest, 2) AS predicted FROM g6"
+
+
+@check("m1_yearly_to_monthly", "enc", SPLINE_SQL)
 def m1(spark, d):
     yearly = enc(spark, d).groupBy("citizenship", F.year("date").alias("year")).agg(F.sum("encounter_count").alias("rate"))
-    return models.yearly_to_monthly(yearly, "citizenship", "year", "rate")
+    curve = models.yearly_to_monthly(yearly, "citizenship", "year", "rate")
+    return curve.withColumn("rate", F.round("rate", 4))
 
 
-@check("m2_spline_regression")
+@check("m2_spline_regression", "enc", _fit_sql())
 def m2(spark, d):
-    return models.spline_regression(months(enc(spark, d), "citizenship"), "citizenship", "encounter_count")
+    fit = models.spline_regression(months(enc(spark, d), "citizenship"), "citizenship", "encounter_count")
+    return fit.withColumn("predicted", F.round("predicted", 2))

@@ -138,8 +138,9 @@ def oracle(views: str, body: str) -> str:
     body = body.strip()
     if not parts:
         return body
-    if body[:5].upper() == "WITH ":
-        return f"WITH {parts}, {body[5:]}"
+    for start in ("WITH RECURSIVE ", "WITH "):
+        if body.startswith(start):
+            return f"{start}{parts}, {body[len(start):]}"
     return f"WITH {parts} {body}"
 
 
