@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, line_dedup, mixing, quality, sharding, token_counts, toxicity
+from waymark.llm import decontaminate, fingerprints, line_dedup, mixing, near_dedup, quality, sharding, token_counts, toxicity
 from waymark.llm.common import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 
+def op1(spark: SparkSession, d: str) -> DataFrame:
+    return fingerprints.fingerprint_documents(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op2(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     return token_counts.count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"), limit=512)
@@ -29,6 +33,10 @@ def op4(spark: SparkSession, d: str) -> DataFrame:
     return toxicity.score_toxicity(docs, model).select("doc_id", "held_out", "score", "predicted", "n_hits")
 
 
+def op5(spark: SparkSession, d: str) -> DataFrame:
+    return near_dedup.near_duplicates(table(spark, d, "documents").select("doc_id", "text"))
+
+
 def op6(spark: SparkSession, d: str) -> DataFrame:
     return sharding.shard_documents(table(spark, d, "documents").select("doc_id", "text"))
 
@@ -100,9 +108,11 @@ FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 QUERIES = {
+    "op1_fingerprints": op1,
     "op2_token_counts": op2,
     "op3_quality": op3,
     "op4_toxicity": op4,
+    "op5_near_dedup": op5,
     "op6_sharding": op6,
     "op7_mixing": op7,
     "op8_line_dedup": op8,
