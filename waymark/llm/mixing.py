@@ -8,10 +8,10 @@ selects the blocks, and a document is cut only where a quota ends.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import landed, placed, word_count
+from waymark.llm.common import SPACE, landed, placed, word_count
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
@@ -115,3 +115,38 @@ def mix_sources(
     first = F.size(F.filter("_ends", lambda e: e <= F.col("_start")))
     return rows.select("d.doc_id", "d.source", "size", "source_size", "target", taken.alias("taken"),
                        F.when(taken > 0, first).alias("first_shard"))
+
+
+def first_words(text: str, n: Column) -> Column:
+    """The text up to the end of its ``n``-th word."""
+    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself, with the columns of the documents: a row for each time that a document is taken.
+
+    A document that is taken in part, at most one per source and turn, gives its first words; ``n_chars``, if there is
+    such a column, follows. Options are those of ``mix_sources``.
+    """
+    names = [f"_c{i}" for i in range(len(docs.columns))]  # docs may have a column called size
+    used = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "source")}
+    plain = docs.toDF(*names).withColumnsRenamed({v: k for k, v in used.items()})
+    key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+    keyed = plain.withColumns({"_key": key, "_size": word_count("text")})
+    taken = mix_sources(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), **options)
+    lists = taken.groupBy(F.col("doc_id").alias("_key")).agg(
+        F.array_sort(F.collect_list(F.struct("source", "size", "taken"))).alias("_taken")
+    )
+    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.col("source").asc_nulls_first(), "_size"))
+    numbered = keyed.withColumn("_turn", turn).join(lists, "_key")
+    counted = numbered.withColumn("_n", F.get("_taken", F.col("_turn") - 1)["taken"]).filter("_n > 0")
+    whole, rest = F.floor(F.col("_n") / F.col("_size")), F.col("_n") % F.col("_size")
+    times = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.col("_size")))
+    rows = counted.withColumns({"_whole": whole, "_rest": rest}).withColumn("_time", F.explode(times))
+    cut = F.col("_time") > F.col("_whole")
+    rows = rows.withColumn("text", F.when(cut, first_words("text", F.col("_rest"))).otherwise(F.col("text")))
+    if "n_chars" in docs.columns:
+        chars = names[docs.columns.index("n_chars")]
+        kind = docs.schema["n_chars"].dataType
+        rows = rows.withColumn(chars, F.when(cut, F.length("text").cast(kind)).otherwise(F.col(chars)))
+    return rows.select(*plain.columns).toDF(*docs.columns)

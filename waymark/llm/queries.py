@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm import decontaminate, fingerprints, line_dedup, mixing, near_dedup, quality, sharding, token_counts, toxicity
+from waymark.llm import (
+    decontaminate,
+    fingerprints,
+    html_extraction,
+    line_dedup,
+    mixing,
+    near_dedup,
+    quality,
+    sharding,
+    token_counts,
+    toxicity,
+)
 from waymark.llm.common import table
 
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -84,6 +95,10 @@ FROM marked GROUP BY doc_id
 """
 
 
+def op9(spark: SparkSession, d: str) -> DataFrame:
+    return html_extraction.extract_pages(table(spark, d, "pages"))
+
+
 def op10(spark: SparkSession, d: str) -> DataFrame:
     docs = table(spark, d, "documents").select("doc_id", "text")
     found = decontaminate.decontaminate(docs, table(spark, d, "benchmark").select("item_id", "text"))
@@ -116,6 +131,7 @@ QUERIES = {
     "op6_sharding": op6,
     "op7_mixing": op7,
     "op8_line_dedup": op8,
+    "op9_html_extraction": op9,
     "op10_decontamination": op10,
 }
 ORACLES = {"op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
