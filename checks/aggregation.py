@@ -180,8 +180,7 @@ def a12(spark, d):
 )
 def a13(spark, d):
     li = table(spark, d, "lineitem").select("l_returnflag", "l_extendedprice")
-    groups = exact_median(li, "l_extendedprice", ["l_returnflag"])
-    return groups.unionByName(exact_median(li, "l_extendedprice").withColumn("l_returnflag", F.lit("all")))
+    return exact_median(li, "l_extendedprice", ["l_returnflag"], total="all")
 
 
 @check("a14_distinct_keys", "enc", "SELECT DISTINCT citizenship, component, land_border_region FROM enc")

@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from checks.views import (
-    CURRENT, NCA, check, enc, flow, months, r6, ship, table,
-)
+from checks.views import NATIONS, check, enc, flow, months, r6, ship, table
 from waymark.functions import calendar as cal
 from waymark.functions import labels, numbers, text
 from waymark.operators import cleaning as clean
@@ -141,10 +139,20 @@ def raw_fy(spark, d):
     return m.select("citizenship", "date", label.alias("fiscal_year"), line.alias("line"), F.col("encounter_count").alias("n"))
 
 
-@check("c9_fill_down", "enc", RAW_FY_SQL)
+@check(
+    "c9_fill_down",
+    "enc",
+    f"""{RAW_FY_SQL} UNION ALL SELECT citizenship, NULL, CASE WHEN citizenship = 'NATION_3' THEN 'note' END, CAST(count(*) AS BIGINT) FROM m GROUP BY 1""",
+)
 def c9(spark, d):
+    rows = raw_fy(spark, d)
+    # lines without a number keep what they have
+    loose = rows.groupBy("citizenship").agg(F.count(F.lit(1)).alias("n")).withColumn(
+        "fiscal_year", F.when(F.col("citizenship") == "NATION_3", "note")
+    )
+    both = rows.unionByName(loose, allowMissingColumns=True)
     # blocks of 10 lines make the fill cross block borders on this small input
-    return fill_down(raw_fy(spark, d), ["fiscal_year"], "line", ["citizenship"], size=10).drop("line")
+    return fill_down(both, ["fiscal_year"], "line", ["citizenship"], size=10).drop("line")
 
 
 @check(
@@ -255,12 +263,16 @@ def c17(spark, d):
     return rows.agg(F.sum("encounter_count").alias("encounter_count"))
 
 
-@check("c18_month_text_english", "enc", "SELECT date, count(*) AS n, CAST(2 AS BIGINT) AS forms FROM enc GROUP BY date")
+@check("c18_month_text_english", "enc", "SELECT date, count(*) AS n, CAST(4 AS BIGINT) AS forms FROM enc GROUP BY date")
 def c18(spark, d):
     e = enc(spark, d).groupBy("date").agg(F.count(F.lit(1)).alias("n"))
-    forms = F.array(F.upper(F.date_format("date", "MMM")), F.date_format("date", "MMMM"))
+    short = F.date_format("date", "MMM")
+    known = [F.upper(short), F.date_format("date", "MMMM"), F.concat(F.lower(short), F.lit("22")), F.concat(short, F.lit("."))]
+    # words that only start like a month are none
+    forms = F.array(*known, F.concat(short, F.lit("ginal")), F.concat(F.date_format("date", "MMMM"), F.lit(" total")))
     rows = e.select(F.year("date").alias("y"), F.explode(forms).alias("month"), "n")
-    return rows.groupBy(cal.parse_month("y", "month").alias("date")).agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("forms"))
+    dated = rows.withColumn("date", cal.parse_month("y", "month")).filter(F.col("date").isNotNull())
+    return dated.groupBy("date").agg(F.first("n").alias("n"), F.count(F.lit(1)).alias("forms"))
 
 
 @check("c19_month_text_spanish", "enc", "SELECT DISTINCT date, CAST(month(date) AS INTEGER) AS month FROM enc")
@@ -439,25 +451,25 @@ def c31(spark, d):
     "c32_column_blocks",
     "enc",
     f"""SELECT date, citizenship, component, CAST(sum(encounter_count) AS BIGINT) AS n,
-              CASE WHEN citizenship IN ('{NCA[0]}', '{NCA[1]}') THEN 'early' ELSE 'late' END AS half
-        FROM enc WHERE citizenship IN ('{NCA[0]}', '{NCA[1]}', '{NCA[2]}') GROUP BY 1, 2, 3""",
+              CASE WHEN CAST(substr(citizenship, 8) AS INTEGER) < 8 THEN 'early' ELSE 'late' END AS half
+        FROM enc GROUP BY 1, 2, 3""",
 )
 def c32(spark, d):
     parts = ["A", "N", "R"]
-    e = enc(spark, d).filter(F.col("citizenship").isin(NCA))
-    place = 3 + 3 * (F.array_position(F.array(*[F.lit(n) for n in NCA]), F.col("citizenship")) - 1)
+    e = enc(spark, d)
+    place = 3 + 3 * (F.array_position(F.array(*[F.lit(n) for n in NATIONS]), F.col("citizenship")) - 1)
     place = place + F.array_position(F.array(*[F.lit(p) for p in parts]), F.col("component")) - 1
     header = F.concat("component", F.lit("_"), place)
-    names = [f"{p}_{3 + 3 * i + j}" for i in range(3) for j, p in enumerate(parts)]
+    names = [f"{p}_{3 + 3 * i + j}" for i in range(len(NATIONS)) for j, p in enumerate(parts)]
     wide = to_wide(e.withColumn("h", header), ["date"], "h", names, "encounter_count")
     long = wide.unpivot(["date"], names, "h", "n").filter(F.col("n").isNotNull())
     long = long.withColumn("position", F.regexp_extract("h", r"_(\d+)$", 1).try_cast("int"))
     return long.select(
         "date",
-        clean.block_label("position", NCA, 3, 3).alias("citizenship"),
+        clean.block_label("position", NATIONS, 3, 3).alias("citizenship"),
         text.strip_footnotes("h").alias("component"),
         "n",
-        clean.range_label("position", [(3, 8, "early"), (9, 11, "late")]).alias("half"),
+        clean.range_label("position", [(3, 26, "early"), (27, 77, "late")]).alias("half"),
     )
 
 
@@ -507,8 +519,8 @@ def c35(spark, d):
     "c36_part_month",
     "enc",
     """SELECT date, CAST(sum(encounter_count) AS DOUBLE) * CASE WHEN date = date '2001-07-01' THEN 0.5 ELSE 1 END AS n
-       FROM enc WHERE year(date) = 2001 GROUP BY date""",
+       FROM enc GROUP BY date""",
 )
 def c36(spark, d):
-    rows = months(enc(spark, d).filter(F.year("date") == CURRENT))
+    rows = months(enc(spark, d))
     return rows.select("date", clean.part_month(F.col("encounter_count"), "date", "2001-07-01").alias("n"))

@@ -161,30 +161,30 @@ def d27(spark, d):
 
 
 EDGE_BASE = """p AS (SELECT CASE WHEN coo_iso IN ('NATION_2', 'NATION_3') THEN coo_iso ELSE 'OTHER' END AS coo, CASE WHEN coa_iso IN ('NATION_1', 'NATION_4') THEN coa_iso ELSE 'REST' END AS coa,
-   CAST(sum(coalesce(refugees, 0) + coalesce(asylum_seekers, 0) + coalesce(oip, 0)) AS BIGINT) AS dp FROM flow WHERE year = 2000 GROUP BY 1, 2)"""
+   CAST(sum(coalesce(refugees, 0) + coalesce(asylum_seekers, 0) + coalesce(oip, 0)) AS BIGINT) AS dp, year FROM flow GROUP BY 1, 2, year)"""
 
 
 @check(
     "d28_edge_table",
     "flow",
-    f"""WITH {EDGE_BASE}, e AS (SELECT coo || '>' || coa || '#1' AS edge_id, 'from' AS connector, 'coo' AS stage, coo AS node, coo AS by_coo, dp FROM p
-         UNION ALL SELECT coo || '>' || coa || '#1', 'to', 'coa', coa, coo, dp FROM p),
+    f"""WITH {EDGE_BASE}, e AS (SELECT coo || '>' || coa || '#1' AS edge_id, 'from' AS connector, 'coo' AS stage, coo AS node, coo AS by_coo, dp, year FROM p
+         UNION ALL SELECT coo || '>' || coa || '#1', 'to', 'coa', coa, coo, dp, year FROM p),
        n AS (SELECT node, coalesce(sum(dp) FILTER (connector = 'to'), 0) AS node_total FROM e GROUP BY 1)
        SELECT e.*, CAST(node_total AS BIGINT) AS node_total FROM e JOIN n USING (node) WHERE dp >= 1000""",
 )
 def d28(spark, d):
-    f = dp.with_measures(flow(spark, d).filter(F.col("year") == 2000), {"dp": "dp"})
+    f = dp.with_measures(flow(spark, d), {"dp": "dp"})
     coo = F.when(F.col("coo_iso").isin("NATION_2", "NATION_3"), F.col("coo_iso")).otherwise("OTHER")
     coa = F.when(F.col("coa_iso").isin(HOST, "NATION_4"), F.col("coa_iso")).otherwise("REST")
-    rows = f.select(coo.alias("coo"), coa.alias("coa"), "dp")
-    return flows.edge_table(rows, ["coo", "coa"], "dp", extra=["coo"], least=1000)
+    rows = f.select(coo.alias("coo"), coa.alias("coa"), "year", "dp")
+    return flows.edge_table(rows, ["coo", "coa"], "dp", extra=["coo", "year"], least=1000)
 
 
 @check(
     "d29_staged_split",
     "flow",
     """WITH t AS (SELECT CASE WHEN coa_iso IN ('NATION_1', 'NATION_4', 'NATION_7') THEN coa_iso ELSE 'OTHER' END AS host,
-              sum(coalesce(refugees, 0) + coalesce(asylum_seekers, 0) + coalesce(oip, 0)) AS dp FROM flow WHERE year = 2000 GROUP BY 1),
+              sum(coalesce(refugees, 0) + coalesce(asylum_seekers, 0) + coalesce(oip, 0)) AS dp FROM flow GROUP BY 1),
        k(host, turn, regular) AS (VALUES ('NATION_1', 1, 500), ('NATION_4', 2, 300), ('NATION_7', 3, 0), ('OTHER', 4, 50)),
        p AS (SELECT host, turn, 'regular' AS kind, regular AS amount FROM t JOIN k USING (host) UNION ALL SELECT host, turn, 'irregular', dp - regular FROM t JOIN k USING (host)),
        s AS (SELECT unnest([1, 2, 3]) AS stage),
@@ -195,7 +195,7 @@ def d28(spark, d):
        SELECT CAST(stage AS INTEGER) AS stage, node_from, node_to, kind, CAST(sum(amount) AS BIGINT) AS dp FROM n GROUP BY 1, 2, 3, 4""",
 )
 def d29(spark, d):
-    f = dp.with_measures(flow(spark, d).filter(F.col("year") == 2000), {"dp": "dp"})
+    f = dp.with_measures(flow(spark, d), {"dp": "dp"})
     regular = inline_table(
         spark,
         [(HOST, 500), ("NATION_4", 300), ("NATION_7", 0), ("OTHER", 50)], "host string, regular bigint"

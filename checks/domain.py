@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import (
-    CURRENT, GROUPS, MEXICO, NCA, NEWER, OLDER, check, enc, flow, months, pop, rounded, ship, table,
-)
+from checks.views import CURRENT, GROUPS, MEXICO, NCA, NEWER, OLDER, check, enc, flow, months, pop, rounded, ship, table
+from waymark.session import landed
 from waymark.functions.calendar import fiscal_year, parse_fiscal_label
 from waymark.operators import aggregates as agg
 from waymark.plans import cube, groups, models, pathways, ranking, series
@@ -74,7 +73,7 @@ def d3(spark, d):
 @check(
     "d4_share_area",
     "enc",
-    f"""WITH {_small('SHARE >= 0.04', where="WHERE year(date) = 2000")},
+    f"""WITH {_small('SHARE >= 0.04')},
        a AS (SELECT CASE WHEN shown THEN citizenship ELSE 'Other' END AS citizenship, CAST(sum(n) AS BIGINT) AS encounter_count
              FROM t JOIN k USING (citizenship) GROUP BY 1)
        SELECT citizenship, encounter_count, round(encounter_count * 100.0::DOUBLE / sum(encounter_count) OVER (), 6) AS share,
@@ -84,8 +83,7 @@ def d3(spark, d):
        FROM a""",
 )
 def d4(spark, d):
-    year = enc(spark, d).filter(F.year("date") == CURRENT - 1)
-    totals = groups.collapse_small(year, "citizenship", "encounter_count", 0.04, strict=False)
+    totals = groups.collapse_small(enc(spark, d), "citizenship", "encounter_count", 0.04, strict=False)
     rows = groups.share_area(totals, "citizenship", "encounter_count", {"Mexico": [MEXICO], "nca": NCA})
     return rounded(rows, "share", "cumulative_share")
 
@@ -120,14 +118,15 @@ def d5(spark, d):
 )
 def d6(spark, d):
     e = enc(spark, d)
-    return series.top_other_series(e, [*NCA, MEXICO], 5, chosen=e.filter(fiscal_year("date") == 2000))
+    return series.top_other_series(e, [*NCA, MEXICO], 5, chosen=fiscal_year("date") == 2000)
 
 
 @check(
     "d7_demographic_series",
     "enc",
     f"""WITH e AS (SELECT * FROM enc WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4')),
-       k AS (SELECT DISTINCT date FROM e), v(demographic, label, label_ord) AS (VALUES ('AUTOMOBILE', 'Accompanied', 1), ('BUILDING', 'Unaccompanied', 2), ('HOUSEHOLD', 'Family Units', 3)),
+       k AS (SELECT DISTINCT date FROM e), v(demographic, label, label_ord) AS (VALUES ('AUTOMOBILE', 'Accompanied', 1), ('BUILDING', 'Unaccompanied', 2), ('HOUSEHOLD', 'Family Units', 3)
+         UNION ALL SELECT DISTINCT demographic, demographic, 4 FROM e WHERE demographic NOT IN ('AUTOMOBILE', 'BUILDING', 'HOUSEHOLD')),
        f AS (SELECT k.date, v.demographic, v.label, v.label_ord, {S.replace('sum(encounter_count)', 'coalesce(sum(encounter_count), 0)')} AS encounter_count
              FROM k CROSS JOIN v LEFT JOIN e ON e.date = k.date AND e.demographic = v.demographic GROUP BY 1, 2, 3, 4)
        SELECT date, demographic, label, encounter_count, CAST(sum(encounter_count) OVER (PARTITION BY date) AS BIGINT) AS summig, CAST(label_ord AS INTEGER) AS label_ord FROM f""",
@@ -312,13 +311,12 @@ def d16(spark, d):
     "d17_year_comparison",
     "enc",
     f"""WITH y AS (SELECT {FY} AS fiscal_year, {S} AS total, CAST(coalesce(sum(encounter_count) FILTER (month(date) NOT IN (8, 9)), 0) AS BIGINT) AS same_months
-         FROM enc WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4') GROUP BY 1)
+         FROM enc GROUP BY 1)
        SELECT fiscal_year, total, same_months, round(CASE WHEN fiscal_year = 2001 THEN total / 11 ELSE total / 12 END, 6) AS mean,
               round(CAST(same_months AS DOUBLE) / (SELECT same_months FROM y WHERE fiscal_year = 2000) - 1, 6) AS change FROM y""",
 )
 def d17(spark, d):
-    e = enc(spark, d).filter(F.col("citizenship").isin(NCA))
-    rows = series.year_comparison(e, [10, 11, 12, *MONTHS], CURRENT, 11, 2000)
+    rows = series.year_comparison(enc(spark, d), [10, 11, 12, *MONTHS], CURRENT, 11, 2000)
     return rounded(rows, "mean", "change")
 
 
@@ -359,7 +357,7 @@ def d18(spark, d):
        SELECT *, round(CAST(encounter_count AS DOUBLE) / sum(encounter_count) OVER (PARTITION BY date), 6) AS freq FROM g""",
 )
 def d19(spark, d):
-    s = ship(spark, d)
+    s = landed(months(ship(spark, d), "citizenship"), "months")  # both old sources are read from it
     label = F.when(F.col("citizenship").isin("NATION_2", "NATION_3", MEXICO), F.col("citizenship")).otherwise("OTHER")
     old = months(s.withColumn("citizenship", label), "citizenship")
     live = enc(spark, d).filter(F.year("date") >= 1998)
@@ -501,7 +499,7 @@ def d36(spark, d):
 @check(
     "d37_regular_irregular",
     "enc ship",
-    """WITH i AS (SELECT * FROM ship WHERE citizenship = 'NATION_5' AND year(date) >= 1997)
+    """WITH i AS (SELECT * FROM ship WHERE citizenship = 'NATION_5')
        SELECT date, 'Regular' AS component, CAST(sum(encounter_count) AS BIGINT) AS count FROM enc
        WHERE citizenship = 'NATION_5' AND component = 'A' AND demographic <> 'BUILDING' AND date >= (SELECT min(date) FROM i) GROUP BY 1
        UNION ALL SELECT date, 'Irregular', CAST(sum(encounter_count) AS BIGINT) FROM i GROUP BY 1""",
@@ -509,7 +507,7 @@ def d36(spark, d):
 def d37(spark, d):
     own = F.col("citizenship") == "NATION_5"
     regular = enc(spark, d).filter(own & (F.col("component") == "A") & (F.col("demographic") != "BUILDING"))
-    irregular = ship(spark, d).filter(own & (F.year("date") >= 1997))
+    irregular = ship(spark, d).filter(own)
     return series.regular_irregular(
         regular.withColumnRenamed("encounter_count", "count"), irregular.withColumnRenamed("encounter_count", "count")
     )
@@ -518,12 +516,12 @@ def d37(spark, d):
 @check(
     "d38_encounters_returns",
     "enc ship",
-    f"""WITH a AS ({T}), b AS (SELECT date, {S} AS returns FROM ship WHERE year(date) > 1995 GROUP BY 1)
+    f"""WITH a AS ({T}), b AS (SELECT date, {S} AS returns FROM ship GROUP BY 1)
        SELECT date, 'encounter_count' AS name, encounter_count AS value FROM a
        UNION ALL SELECT a.date, 'returns', b.returns FROM a LEFT JOIN b USING (date)""",
 )
 def d38(spark, d):
-    returns = ship(spark, d).filter(F.year("date") > 1995).withColumnRenamed("encounter_count", "returns")
+    returns = ship(spark, d).withColumnRenamed("encounter_count", "returns")
     return series.encounters_and_returns(enc(spark, d), returns)
 
 

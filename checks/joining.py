@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import (
-    CURRENT, MEXICO, NCA, check, country, enc, flow, internal, months, pop, ship, table,
-)
+from checks.views import CURRENT, MEXICO, NCA, check, country, enc, flow, internal, months, pop, ship, table
+from waymark.session import landed
 from waymark.functions.calendar import fiscal_year
 from waymark.operators import filters, joins, reshape, splice
 from waymark.operators.order import ordinal, top_with_ties
@@ -102,7 +101,7 @@ def f6(spark, d):
        (SELECT (citizenship, component) FROM enc GROUP BY citizenship, component HAVING sum(encounter_count) > 20000)""",
 )
 def f7(spark, d):
-    kept = filters.keep_groups(enc(spark, d), ["citizenship", "component"], "encounter_count", 20000)
+    kept = filters.keep_groups(enc(spark, d), ["citizenship", "component"], "encounter_count", 20000, stored=True)
     return kept.select("citizenship", "component", "date", "encounter_count")
 
 
@@ -162,29 +161,30 @@ def r3(spark, d):
 @check(
     "r4_densify",
     "enc",
-    """WITH e AS (SELECT * FROM enc WHERE citizenship = 'NATION_3' AND land_border_region IS NOT NULL AND encounter_count > 40),
-       k AS (SELECT DISTINCT date FROM e), v(demographic) AS (VALUES ('AUTOMOBILE'), ('BUILDING'), ('HOUSEHOLD'), ('ABSENT'))
-       SELECT k.date, v.demographic, CAST(coalesce(sum(e.encounter_count), 0) AS BIGINT) AS encounter_count
-       FROM k CROSS JOIN v LEFT JOIN e ON e.date = k.date AND e.demographic = v.demographic GROUP BY 1, 2""",
+    """WITH e AS (SELECT * FROM enc WHERE NOT (demographic = 'BUILDING' AND month(date) % 3 = 1)),
+       k AS (SELECT DISTINCT date, citizenship FROM e), v(demographic) AS (SELECT DISTINCT demographic FROM enc UNION ALL SELECT 'ABSENT')
+       SELECT k.date, k.citizenship, v.demographic, CAST(coalesce(sum(e.encounter_count), 0) AS BIGINT) AS encounter_count
+       FROM k CROSS JOIN v LEFT JOIN e ON e.date = k.date AND e.citizenship = k.citizenship AND e.demographic = v.demographic GROUP BY 1, 2, 3""",
 )
 def r4(spark, d):
-    e = enc(spark, d).filter((F.col("citizenship") == "NATION_3") & (F.col("encounter_count") > 40))
-    labels = ["AUTOMOBILE", "BUILDING", "HOUSEHOLD", "ABSENT"]
-    e = e.filter(F.col("land_border_region").isNotNull())
-    return reshape.densify(e, ["date"], "demographic", labels, "encounter_count")
+    # gaps: whole cells are missing
+    e = enc(spark, d).filter(~((F.col("demographic") == "BUILDING") & (F.month("date") % 3 == 1)))
+    labels = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY", "ABSENT"]
+    return reshape.densify(e, ["date", "citizenship"], "demographic", labels, "encounter_count")
 
 
 @check(
     "r5_full_grid",
     "enc",
-    """WITH e AS (SELECT * FROM enc WHERE encounter_count > 48),
+    """WITH e AS (SELECT * FROM enc WHERE NOT (CAST(substr(citizenship, 8) AS INTEGER) % 4 = 1 AND month(date) % 3 = 0)),
        g AS (SELECT * FROM (SELECT DISTINCT date FROM e) CROSS JOIN (SELECT DISTINCT citizenship FROM e)),
        f AS (SELECT g.date, g.citizenship, CAST(coalesce(sum(encounter_count), 0) AS BIGINT) AS n
              FROM g LEFT JOIN e ON e.date = g.date AND e.citizenship = g.citizenship GROUP BY 1, 2)
        SELECT date, citizenship, CASE WHEN citizenship = 'NATION_9' AND n = 0 THEN NULL ELSE n END AS encounter_count FROM f""",
 )
 def r5(spark, d):
-    e = enc(spark, d).filter(F.col("encounter_count") > 48)
+    number = F.substring("citizenship", 8, 9).try_cast("int")
+    e = enc(spark, d).filter(~((number % 4 == 1) & (F.month("date") % 3 == 0)))  # gaps: whole cells are missing
     return reshape.full_grid(e, "date", "citizenship", "encounter_count", 0, null_again=MEXICO)
 
 
@@ -319,9 +319,9 @@ TOP5 = """SELECT citizenship FROM (SELECT citizenship, rank() OVER (ORDER BY sum
     f"WITH t AS ({TOP5}), m AS ({M}) SELECT * FROM m WHERE citizenship IN (SELECT citizenship FROM t)",
 )
 def j10(spark, d):
-    e = enc(spark, d)
-    best = top_with_ties(e.groupBy("citizenship").agg(F.sum("encounter_count").alias("n")), "n", 5)
-    return months(filters.members(e, "citizenship", best, "citizenship"), "citizenship")
+    m = landed(months(enc(spark, d), "citizenship"), "months")  # the facts are read once and shrink before the join
+    best = top_with_ties(m.groupBy("citizenship").agg(F.sum("encounter_count").alias("n")), "n", 5)
+    return filters.members(m, "citizenship", best, "citizenship")
 
 
 @check(
@@ -331,7 +331,7 @@ def j10(spark, d):
 )
 def j11(spark, d):
     best = top_with_ties(enc(spark, d).groupBy("citizenship").agg(F.sum("encounter_count").alias("n")), "n", 5)
-    return months(filters.outsiders(ship(spark, d), "citizenship", best, "citizenship"), "citizenship")
+    return filters.outsiders(months(ship(spark, d), "citizenship"), "citizenship", best, "citizenship")
 
 
 @check(
@@ -425,12 +425,10 @@ def t4(spark, d):
 @check(
     "t5_stack_tagged",
     "enc ship",
-    f"""SELECT 'mex' AS location, * FROM ({SM}) WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4')
-        UNION ALL SELECT 'swb', * FROM ({M}) WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4')""",
+    f"""SELECT 'mex' AS location, * FROM ({SM}) UNION ALL SELECT 'swb', * FROM ({M})""",
 )
 def t5(spark, d):
-    some = F.col("citizenship").isin(NCA)
-    frames = {"mex": months(ship(spark, d).filter(some), "citizenship"), "swb": months(enc(spark, d).filter(some), "citizenship")}
+    frames = {"mex": months(ship(spark, d), "citizenship"), "swb": months(enc(spark, d), "citizenship")}
     return reshape.stack_tagged(frames, "location")
 
 

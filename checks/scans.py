@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from checks.views import MEXICO, NEWER, check, enc, flow, months, pop, ship
 from waymark.functions.calendar import fiscal_year, month_number
+from waymark.functions.numbers import amount
 from waymark.operators.joins import lookup
 from waymark.operators.splice import append_projection
-from waymark.session import scratch_dir
+from waymark.session import landed, scratch_dir
 from waymark.sources import delimited, dimensions, snapshots
 from waymark.sources.delimited import inline_table
 
@@ -22,66 +24,71 @@ def _land_csv(df, folder: str) -> str:
     "s1_read_table",
     "enc",
     """SELECT CAST(year(date) AS INTEGER) AS year_of_date, citizenship,
+              CASE WHEN year(date) % 2 = 0 THEN land_border_region END AS land_border_region,
               CAST(sum(encounter_count) AS BIGINT) AS count_of_encounters
-       FROM enc GROUP BY 1, 2""",
+       FROM enc GROUP BY 1, 2, 3""",
 )
 def s1(spark, d):
-    e = enc(spark, d)
-    landed = e.groupBy(F.year("date").alias("\ufeffYear of Date"), F.col("citizenship").alias("CITIZENSHIP")).agg(
-        F.sum("encounter_count").alias("Count of Encounters")
-    )
-    path = _land_csv(landed, scratch_dir(spark, "table"))
-    read = delimited.read_table(spark, path)
-    return read.select(
-        F.col("year_of_date").try_cast("int").alias("year_of_date"),
-        "citizenship",
-        F.col("count_of_encounters").try_cast("bigint").alias("count_of_encounters"),
-    )
+    e = enc(spark, d).withColumn("Year of Date", F.year("date")).groupBy("Year of Date", "citizenship", "land_border_region")
+    rows = e.agg(F.sum("encounter_count").alias("Count of Encounters"))
+    path = scratch_dir(spark, "table")
+    even, odd = rows.filter(F.col("Year of Date") % 2 == 0), rows.filter(F.col("Year of Date") % 2 == 1)
+    # two sheets: another order of columns, one column missing, a byte order mark
+    _land_csv(even.select("citizenship", "Count of Encounters", "land_border_region", "Year of Date"), f"{path}/even")
+    marked = odd.select(F.col("Year of Date").alias("\ufeffYear of Date"), F.col("citizenship").alias("CITIZENSHIP"), "Count of Encounters")
+    _land_csv(marked, f"{path}/odd")
+    wanted = "year_of_date int, citizenship string, land_border_region string, count_of_encounters bigint"
+    return delimited.read_table(spark, [f"{path}/even", f"{path}/odd"], StructType.fromDDL(wanted))
 
 
 @check(
     "s2_read_with_preamble",
     "flow",
-    "SELECT year, coo_iso, coa_iso, refugees FROM flow",
+    "SELECT year, CASE WHEN coo_iso = 'NATION_3' THEN 'NATION' || chr(10) || '3' ELSE coo_iso END AS coo_iso, coa_iso, refugees FROM flow",
 )
 def s2(spark, d):
     f = flow(spark, d)
-    line = F.concat_ws(
-        ",", F.col("year").cast("string"), "coo_iso", "coa_iso", F.coalesce(F.col("refugees").cast("string"), F.lit(""))
-    )
-    header = f.select("coa_iso").distinct().select(
-        F.explode(F.array(F.concat(F.lit("Extracted for "), "coa_iso"), F.lit(""), F.lit("Year,Origin,Asylum,Refugees")))
-    )
+    # one download per year: notes, the header, data with grouped years, quoted line breaks and short records, a footer
+    origin = F.when(F.col("coo_iso") == "NATION_3", F.lit('"NATION\n3"')).otherwise(F.col("coo_iso"))
+    record = F.concat_ws(",", F.concat(F.lit('"'), F.format_number("year", 0), F.lit('"')), origin, "coa_iso", F.col("refugees").cast("string"))
+    notes = F.concat(F.lit("Extracted for "), F.col("year").cast("string"), F.lit("\n\n2001,is not data\nYear,Origin,Asylum,Refugees\n"))
+    sheets = f.groupBy("year").agg(F.concat_ws("\n", F.collect_list(record)).alias("body"))
     path = scratch_dir(spark, "notes")
-    header.toDF("value").unionByName(f.select(line.alias("value"))).write.mode("overwrite").text(path)
-    read = delimited.read_with_preamble(spark, path, ["year", "coo_iso", "coa_iso", "refugees"], "year")
+    whole = sheets.select(F.col("year").alias("sheet"), F.concat(notes, "body", F.lit("\nSource: registers")).alias("value"))
+    whole.write.partitionBy("sheet").text(path)
+    read = delimited.read_with_preamble(
+        spark, path, ["year", "coo_iso", "coa_iso", "refugees"], "year", ["Year", "Origin", "Asylum", "Refugees"]
+    )
     return read.select(
-        F.col("year").try_cast("int").alias("year"),
-        "coo_iso",
-        "coa_iso",
-        F.col("refugees").try_cast("bigint").alias("refugees"),
+        amount("year").cast("int").alias("year"), "coo_iso", "coa_iso", F.col("refugees").try_cast("bigint").alias("refugees")
     )
 
 
 @check(
     "s3_read_tagged",
     "enc",
-    """SELECT year, month, citizenship, encounter_count FROM (
-         SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, citizenship,
-                CAST(sum(encounter_count) AS BIGINT) AS encounter_count
-         FROM enc GROUP BY 1, 2, 3)""",
+    """SELECT CAST(year(date) AS INTEGER) AS year, CAST(month(date) AS INTEGER) AS month, citizenship,
+              CASE WHEN month(date) <> 7 THEN component END AS component, CAST(sum(encounter_count) AS BIGINT) AS encounter_count
+       FROM enc GROUP BY 1, 2, 3, 4""",
 )
 def s3(spark, d):
-    m = months(enc(spark, d), "citizenship")
+    m = months(enc(spark, d), "citizenship", "component")
     path = scratch_dir(spark, "tagged")
-    named = m.select(F.date_format("date", "MMMM-yyyy").alias("file"), "citizenship", "encounter_count")
-    # the landing names carry the month, like one downloaded file per month
-    named.repartition("file").write.mode("overwrite").partitionBy("file").option("header", True).csv(path)
+    # the landing names carry the month, like one downloaded file per month; their columns differ
+    named = m.withColumn("file", F.date_format("date", "MMMM-yyyy"))
+    parts = [
+        named.filter(F.month("date") < 7).select("file", "citizenship", "component", "encounter_count"),
+        named.filter(F.month("date") > 7).select("file", "encounter_count", "component", "citizenship"),
+        named.filter(F.month("date") == 7).groupBy("file", "citizenship").agg(F.sum("encounter_count").alias("Encounter count")),
+    ]
+    for i, part in enumerate(parts):
+        part.repartition("file").write.partitionBy("file").option("header", True).csv(f"{path}/{i}")
     read = delimited.read_tagged(spark, path, {"year": r"file=[A-Za-z]+-(\d{4})", "month": r"file=([A-Za-z]+)-"})
     return read.select(
         F.col("year").try_cast("int").alias("year"),
         month_number("month").alias("month"),
         "citizenship",
+        "component",
         F.col("encounter_count").try_cast("bigint").alias("encounter_count"),
     )
 
@@ -121,13 +128,18 @@ def s5(spark, d):
 @check(
     "s6_write_table",
     "enc",
-    """SELECT date, citizenship, CAST(sum(encounter_count) AS BIGINT) AS encounter_count FROM enc
-       WHERE year(date) >= 2000 GROUP BY 1, 2""",
+    """SELECT date, citizenship, CAST(sum(encounter_count) AS BIGINT) AS encounter_count FROM enc GROUP BY 1, 2""",
 )
 def s6(spark, d):
-    path = scratch_dir(spark, "snapshot")
-    snapshots.write_table(months(enc(spark, d), "citizenship"), path, date="date")
-    return spark.read.parquet(path).filter(F.col("snapshot_year") >= 2000).drop("snapshot_year")
+    m = months(enc(spark, d), "citizenship")
+    path, text = scratch_dir(spark, "snapshot"), scratch_dir(spark, "snapshot-csv")
+    snapshots.write_table(m, path, date="date")
+    late = spark.read.parquet(path).filter(F.col("snapshot_year") >= 2000).drop("snapshot_year")
+    # the CSV round trip serves the earlier years
+    snapshots.write_table(m, text, date="date", fmt="csv")
+    kinds = "date date, citizenship string, encounter_count bigint, snapshot_year int"
+    early = spark.read.schema(kinds).option("header", True).csv(text).filter(F.col("snapshot_year") < 2000)
+    return late.unionByName(early.drop("snapshot_year"))
 
 
 LEDGER_SQL = """
@@ -186,15 +198,16 @@ def s8(spark, d):
        WHERE date <= date '2001-06-01' GROUP BY date""",
 )
 def s9(spark, d):
-    def tag(df, name, day):
-        return df.withColumns({"dataset": F.lit(name), "snapshot_date": F.lit(day).cast("date")})
+    def land(df, name, day):
+        snapshots.land_snapshot(df.withColumns({"dataset": F.lit(name), "snapshot_date": F.lit(day).cast("date")}), path)
 
-    e, s = months(enc(spark, d)), months(ship(spark, d))
-    stored = tag(e.filter("date <= date'2001-05-01'"), "enc", "2001-05-01")
+    path = scratch_dir(spark, "snapshots")
+    e, s = landed(months(enc(spark, d)), "enc"), landed(months(ship(spark, d)), "ship")
+    land(e.filter("date <= date'2001-05-01'"), "enc", "2001-05-01")
     for day in ("2001-05-01", "2001-06-01"):
-        stored = stored.unionByName(tag(s.filter(F.col("date") <= F.lit(day).cast("date")), "ship", day))
-    live = tag(e, "enc", "2001-08-01")  # the refresh of ship failed
-    return snapshots.latest_good_snapshot(live, stored)
+        land(s.filter(F.col("date") <= F.lit(day).cast("date")), "ship", day)
+    land(e, "enc", "2001-08-01")  # the refresh of ship failed
+    return snapshots.newest_landed(spark, path)
 
 
 @check(

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import NCA, check, enc, months
-from waymark.functions.calendar import MONTH_PREFIXES, fiscal_year
-from waymark.operators.cleaning import block_label, range_label
+from checks.views import NATIONS, NCA, check, enc, months
+from waymark.functions.calendar import MONTH_PREFIXES, SPANISH_MONTHS, fiscal_year
+from waymark.operators.cleaning import NAME_EXACT, NAME_PARTS, block_label, range_label, recode
 from waymark.operators.reshape import to_wide
+from waymark.session import landed
 from waymark.sources import sheets
 
 FY = "CAST(year(date) + CASE WHEN month(date) > 9 THEN 1 ELSE 0 END AS INTEGER)"
@@ -30,7 +31,7 @@ def _sheet(wide, columns):
         return F.when(F.col(c) < 300, "X").otherwise(F.format_number(c, 0)).alias(c)
 
     body = rows.select(
-        F.substring(label, 1, 9).alias("fiscal_year"),
+        label.alias("fiscal_year"),
         F.date_format("date", "MMMM").alias("month"),
         _line().alias("line"),
         *[text(c) for c in columns],
@@ -45,12 +46,12 @@ def _sheet(wide, columns):
     return body.unionByName(totals)
 
 
-BLOCKS = [f"{cat}_{3 + 4 * i + j}" for i in range(4) for j, cat in enumerate(["total", "a", "n", "r"])]
-BLOCK_NAMES = ["Total", *NCA]
+BLOCK_NAMES = ["Total", *NATIONS]
+BLOCKS = [f"{cat}_{3 + 4 * i + j}" for i in range(len(BLOCK_NAMES)) for j, cat in enumerate(["total", "a", "n", "r"])]
 
 
 def _block_sheet(spark, d):
-    own = months(enc(spark, d).filter(F.col("citizenship").isin(NCA)), "citizenship", "component")
+    own = months(enc(spark, d), "citizenship", "component")
     both = own.select("date", F.explode(F.array("citizenship", F.lit("Total"))).alias("citizenship"), "component", "encounter_count")
     both = both.withColumn("cat", F.explode(F.array(F.lower("component"), F.lit("total"))))
     block = F.array_position(F.array(*[F.lit(n) for n in BLOCK_NAMES]), F.col("citizenship")) - 1
@@ -64,24 +65,39 @@ def _block_sheet(spark, d):
     "d39_book_out_sheet",
     "enc",
     f"""SELECT 'citizenship' AS sheet, date, citizenship AS label, lower(component) AS cat, CAST(sum(encounter_count) AS DOUBLE) AS count FROM enc
-        WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4') GROUP BY 2, 3, 4 HAVING sum(encounter_count) >= 300
+        GROUP BY 2, 3, 4 HAVING sum(encounter_count) >= 300
         UNION ALL SELECT 'ranges', date, g, cat, sum(count) FROM (
-          SELECT date, CASE WHEN citizenship = 'NATION_2' THEN 'Single' ELSE 'Family' END AS g, lower(component) AS cat, CAST(sum(encounter_count) AS DOUBLE) AS count
-          FROM enc WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4') GROUP BY date, citizenship, 3 HAVING sum(encounter_count) >= 300) GROUP BY 2, 3, 4""",
+          SELECT date, CASE WHEN CAST(substr(citizenship, 8) AS INTEGER) < 8 THEN 'Single' ELSE 'Family' END AS g, lower(component) AS cat, CAST(sum(encounter_count) AS DOUBLE) AS count
+          FROM enc GROUP BY date, citizenship, 3 HAVING sum(encounter_count) >= 300) GROUP BY 2, 3, 4""",
 )
 def d39(spark, d):
-    sheet = _block_sheet(spark, d)
-    one = sheets.book_out_sheet(sheet, block_label("position", BLOCK_NAMES, 4, 3), "label", halve=True)
-    ranges = range_label("position", [(3, 6, "Total"), (7, 10, "Single"), (11, 18, "Family")])
-    two = sheets.book_out_sheet(sheet, ranges, "label")
+    # unpivoted once; both layouts label the same cells
+    cells = landed(sheets.book_out_cells(_block_sheet(spark, d)), "cells")
+    one = sheets.book_out_sheet(cells, block_label("position", BLOCK_NAMES, 4, 3), "label", halve=True)
+    ranges = range_label("position", [(3, 6, "Total"), (7, 38, "Single"), (39, 106, "Family")])
+    two = sheets.book_out_sheet(cells, ranges, "label")
     return one.withColumn("sheet", F.lit("citizenship")).unionByName(two.withColumn("sheet", F.lit("ranges")))
 
 
+@check(
+    "d39_book_out_by_agency",
+    "enc",
+    """SELECT date, lower(component) AS cat, CAST(sum(encounter_count) AS DOUBLE) AS count FROM enc
+       GROUP BY 1, 2 HAVING sum(encounter_count) >= 300""",
+)
+def d39_agency(spark, d):
+    own = months(enc(spark, d), "component").withColumn("cat", F.explode(F.array(F.lower("component"), F.lit("total_encounters"))))
+    columns = ["total_encounters_3", "a_4", "n_5", "r_6"]
+    place = F.array_position(F.array(*[F.lit(c) for c in ["total_encounters", "a", "n", "r"]]), F.col("cat")) + 2
+    wide = to_wide(own.withColumn("h", F.concat("cat", F.lit("_"), place)), ["date"], "h", columns, "encounter_count", fill=0)
+    return sheets.book_out_by_agency(sheets.book_out_cells(_sheet(wide, columns)))
+
+
 @check(
     "d40_agency_sheet",
     "enc",
-    f"""SELECT date, replace(citizenship, '_', ' ') || ' NATIONALS' AS citizenship, {S} AS encounter_count FROM enc
-        WHERE citizenship IN ('NATION_2', 'NATION_3', 'NATION_4') GROUP BY 1, 2 HAVING sum(encounter_count) >= 300""",
+    f"""SELECT date, CASE WHEN citizenship IN ('NATION_2', 'NATION_3', 'NATION_4') THEN replace(citizenship, '_', ' ') || ' NATIONALS' ELSE 'ALL OTHER COUNTRIES' END AS citizenship,
+           {S} AS encounter_count FROM enc GROUP BY 1, 2 HAVING sum(encounter_count) >= 300""",
 )
 def d40(spark, d):
     e = enc(spark, d)
@@ -90,7 +106,7 @@ def d40(spark, d):
     rows = m.withColumn("c", F.explode(F.array("c", F.lit("total"))))
     columns = [*[f"{n.lower()}_nationals" for n in NCA], "all_other_countries", "total"]
     wide = to_wide(rows, ["date"], "c", columns, "encounter_count", fill=0)
-    return sheets.agency_sheet(_sheet(wide, columns))
+    return sheets.agency_sheet(_sheet(wide, columns), residual=True)
 
 
 @check(
@@ -111,21 +127,72 @@ def d41(spark, d):
     return sheets.country_month_sheet(text, "citizenship", ENGLISH, "year")
 
 
+HEADERS = [f"{m}{y % 100:02d}" for y in range(1995, 2002) for m in ENGLISH]
+
+
+@check(
+    "d41_header_years",
+    "enc",
+    f"""WITH g AS (SELECT citizenship, make_date(y, m, 1) AS date FROM (SELECT DISTINCT citizenship FROM enc)
+         CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS m) CROSS JOIN (SELECT unnest(generate_series(1995, 2001)) AS y))
+       SELECT g.citizenship, g.date, CAST(coalesce(sum(encounter_count), 0) AS BIGINT) AS encounter_count
+       FROM g LEFT JOIN enc e ON e.citizenship = g.citizenship AND e.date = g.date GROUP BY 1, 2""",
+)
+def d41_headers(spark, d):
+    m = months(enc(spark, d), "citizenship").withColumn("h", F.lower(F.date_format("date", "MMMyy")))
+    wide = to_wide(m, ["citizenship"], "h", HEADERS, "encounter_count")
+    text = wide.select("citizenship", *[F.concat(F.format_number(h, 0), F.lit(".0")).alias(h) for h in HEADERS])
+    return sheets.country_month_sheet(text, "citizenship", HEADERS)
+
+
+SPELLED = {"NATION_1": "Brasil", "NATION_2": "Rep. Dominicana", "NATION_3": "Dominicana, Rep.", "NATION_4": "Estados Unidos de América"}
+
+
+@check(
+    "d41_spanish_names",
+    "enc",
+    """WITH n AS (SELECT CASE citizenship WHEN 'NATION_1' THEN 'Brazil' WHEN 'NATION_2' THEN 'Dominican Republic' WHEN 'NATION_3' THEN 'Dominican Republic'
+           WHEN 'NATION_4' THEN 'United States' ELSE citizenship END AS citizenship, date, encounter_count FROM enc),
+       c AS (SELECT DISTINCT citizenship, year(date) AS y FROM n),
+       g AS (SELECT citizenship, make_date(c.y, m, 1) AS date FROM c CROSS JOIN (SELECT unnest(generate_series(1, 12)) AS m))
+       SELECT g.citizenship, g.date, CAST(coalesce(sum(encounter_count), 0) AS BIGINT) AS encounter_count
+       FROM g LEFT JOIN n ON n.citizenship = g.citizenship AND n.date = g.date GROUP BY 1, 2""",
+)
+def d41_spanish(spark, d):
+    e = enc(spark, d).withColumns({"year": F.year("date"), "m": F.get(F.array(*[F.lit(m) for m in SPANISH_MONTHS]), F.month("date") - 1)})
+    rows = e.withColumn("citizenship", recode("citizenship", SPELLED)).select("citizenship", "year", "m", "encounter_count")
+    rows = rows.unionByName(rows.withColumn("citizenship", F.lit("Total general")))
+    wide = to_wide(rows, ["citizenship", "year"], "m", SPANISH_MONTHS, "encounter_count")
+    text = wide.select("citizenship", "year", *[F.format_number(m, 0).alias(m) for m in SPANISH_MONTHS])
+    return sheets.country_month_sheet(text, "citizenship", SPANISH_MONTHS, "year", exact=NAME_EXACT, parts=NAME_PARTS)
+
+
 @check(
     "d42_budget_lines",
     "enc",
-    f"""SELECT land_border_region AS cat, citizenship AS op, {FY} AS year, {S} AS value FROM enc
-        WHERE {FY} >= 1998 GROUP BY 1, 2, 3""",
+    f"""WITH v AS (SELECT land_border_region AS cat, citizenship AS op, {FY} AS year, CAST(sum(encounter_count) AS DOUBLE) AS n FROM enc GROUP BY 1, 2, 3),
+       g AS (SELECT cat, op, CAST(unnest(generate_series(1995, 2001)) AS INTEGER) AS year FROM (SELECT DISTINCT cat, op FROM v))
+       SELECT cat, op, year, CASE year WHEN 1995 THEN n + 0.5 WHEN 1996 THEN -n WHEN 1997 THEN -n ELSE n END AS value FROM g LEFT JOIN v USING (cat, op, year)""",
 )
 def d42(spark, d):
-    years = [1998, 1999, 2000, 2001]
+    years = list(range(1995, 2002))
     e = enc(spark, d).withColumn("fy", fiscal_year("date"))
     wide = to_wide(e, ["land_border_region", "citizenship"], "fy", years, "encounter_count")
-    cells = [F.concat(F.lit("$"), F.format_number(str(y), 0)).alias(f"fy_{y}") for y in years]
+
+    def cell(y):
+        n = F.col(str(y))
+        forms = {
+            1995: F.concat(F.lit("$"), F.format_number(n + 0.5, 2)),
+            1996: F.concat(F.lit("($"), F.format_number(n, 0), F.lit(")")),
+            1997: F.concat(F.lit("-"), n.cast("string")),
+            1998: F.concat(n.cast("string"), F.lit(".0")),
+        }
+        return forms.get(y, F.concat(F.lit("$ "), F.format_number(n, 0)))
+
     lines = wide.select(
         F.col("citizenship").alias("line_item"),
         (F.crc32("land_border_region") * 1000 + 1 + F.regexp_extract("citizenship", r"(\d+)", 1).try_cast("bigint")).alias("line"),
-        *cells,
+        *[cell(y).alias(f"fy_{y}") for y in years],
     )
     blank = [F.lit(None).cast("string").alias(f"fy_{y}") for y in years]
     heads = e.select("land_border_region").distinct()

@@ -17,6 +17,7 @@ HOST = "NATION_1"
 NCA = ["NATION_2", "NATION_3", "NATION_4"]
 CHNV = ["NATION_5", "NATION_6", "NATION_7", "NATION_8"]
 MEXICO = "NATION_9"
+NATIONS = [f"NATION_{i}" for i in range(25)]
 GROUPS = {"NCA": NCA, "CHNV": CHNV, "MEXICO": [MEXICO]}
 
 SQL_VIEWS = {

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from checks.views import CURRENT, check, date_text, enc, flow, months, rounded, table
+from checks.views import check, date_text, enc, flow, months, rounded, table
 from waymark.functions.calendar import fiscal_year
 from waymark.operators import aggregates as agg
 from waymark.operators import order
@@ -28,11 +28,11 @@ def w1(spark, d):
 @check(
     "w2_share_of_all",
     "enc",
-    f"""WITH m AS (SELECT citizenship, {S} AS encounter_count FROM enc WHERE year(date) = 2001 GROUP BY 1)
+    f"""WITH m AS (SELECT citizenship, {S} AS encounter_count FROM enc GROUP BY 1)
        SELECT *, round(encounter_count * 100.0::DOUBLE / (SELECT sum(encounter_count) FROM m), 6) AS share FROM m""",
 )
 def w2(spark, d):
-    rows = enc(spark, d).filter(F.year("date") == CURRENT).groupBy("citizenship")
+    rows = enc(spark, d).groupBy("citizenship")
     return rounded(agg.share(rows.agg(F.sum("encounter_count").alias("encounter_count")), "encounter_count", times=100.0), "share")
 
 
@@ -44,7 +44,7 @@ def w2(spark, d):
 )
 def w3(spark, d):
     e = enc(spark, d).select("date", "citizenship", "component", "encounter_count")
-    return agg.attach_group(e, ["date", "citizenship"], month_total=F.sum("encounter_count"))
+    return agg.attach_group(e, ["date", "citizenship"], stored=True, month_total=F.sum("encounter_count"))
 
 
 @check(
@@ -102,11 +102,11 @@ def w7(spark, d):
 @check(
     "w8_latest_per_group",
     "enc",
-    f"""WITH m AS ({M}), k AS (SELECT * FROM m WHERE encounter_count > 900)
+    f"""WITH m AS ({M}), k AS (SELECT * FROM m)
        SELECT citizenship, max(date) AS date, arg_max(encounter_count, date) AS encounter_count FROM k GROUP BY 1""",
 )
 def w8(spark, d):
-    k = months(enc(spark, d), "citizenship").filter(F.col("encounter_count") > 900)
+    k = months(enc(spark, d), "citizenship")
     return order.latest_per_group(k, ["citizenship"], ["date"])
 
 

@@ -130,41 +130,49 @@ def test_growth_with_own_base_year(spark):
     assert got["Z"].pct_change is None and got["Z"].first_value is None
 
 
-def _spline(y, n):
+def _spline(x, y, at):
     """Brute force: one dense system for all cubic pieces."""
     k = len(y) - 1
     a, b = [], []
     for i in range(k):
-        for x, value in ((0.0, y[i]), (1.0, y[i + 1])):
+        h = x[i + 1] - x[i]
+        for t, value in ((0.0, y[i]), (h, y[i + 1])):
             row = np.zeros(4 * k)
-            row[4 * i : 4 * i + 4] = [1, x, x**2, x**3]
+            row[4 * i : 4 * i + 4] = [1, t, t**2, t**3]
             a.append(row)
             b.append(value)
     for i in range(k - 1):
-        for left, right in (([0, 1, 2, 3], [0, 1, 0, 0]), ([0, 0, 2, 6], [0, 0, 2, 0])):
+        h = x[i + 1] - x[i]
+        for left, right in (([0, 1, 2 * h, 3 * h * h], [0, 1, 0, 0]), ([0, 0, 2, 6 * h], [0, 0, 2, 0])):
             row = np.zeros(4 * k)
             row[4 * i : 4 * i + 4] = left
             row[4 * i + 4 : 4 * i + 8] = [-v for v in right]
             a.append(row)
             b.append(0)
-    for i, cell in ((0, [0, 0, 2, 0]), (k - 1, [0, 0, 2, 6])):
+    for i, cell in ((0, [0, 0, 2, 0]), (k - 1, [0, 0, 2, 6 * (x[k] - x[k - 1])])):
         row = np.zeros(4 * k)
         row[4 * i : 4 * i + 4] = cell
         a.append(row)
         b.append(0)
     c = np.linalg.solve(np.array(a), np.array(b))
     out = []
-    for t in np.linspace(0, k, n):
-        i = min(int(t), k - 1)
-        x = t - i
-        out.append(c[4 * i : 4 * i + 4] @ [1, x, x**2, x**3])
+    for v in at:
+        i = min(int(np.searchsorted(x, v, side="right")) - 1, k - 1)
+        t = v - x[i]
+        out.append(c[4 * i : 4 * i + 4] @ [1, t, t**2, t**3])
     return np.array(out)
 
 
-def test_natural_spline_against_brute_force():
-    y = np.array([3.0, 8.0, 1.0, 4.0, 4.5, 9.0])
-    assert np.allclose(models.natural_spline(y, 61), _spline(y, 61))
-    assert np.allclose(models.natural_spline(np.array([2.0, 4.0]), 5), [2, 2.5, 3, 3.5, 4])
+def test_monthly_curve_against_brute_force_with_gaps_and_long_keys(spark):
+    years, y = [2000, 2001, 2002, 2005, 2009, 2010], [3.0, 8.0, 1.0, 4.0, 4.5, 9.0]
+    cells = [(7, t, v) for t, v in zip(years, y)] + [(8, 2000, 1.0)] + [(9, t, float(t)) for t in (2000, 2001, 2005)]
+    df = inline_table(spark, cells, "k bigint, year int, rate double")
+    rows = models.yearly_to_monthly(df, "k", "year", "rate").orderBy("k", "date").collect()
+    curve = [r.rate for r in rows if r.k == 7]
+    assert np.allclose(curve, _spline(np.array(years, float), y, 2000 + np.arange(len(curve)) / 12))
+    assert [r.rate for r in rows if r.k == 8] == [1.0]
+    line = [r for r in rows if r.k == 9]  # a straight line stays one across the gap
+    assert np.allclose([r.rate for r in line], [r.date.year + (r.date.month - 1) / 12 for r in line])
 
 
 def test_yearly_to_monthly_hits_every_january_of_even_steps(spark):
@@ -191,3 +199,28 @@ def test_spline_regression_against_numpy(spark):
     basis = basis / np.abs(basis).max(axis=0)
     fit = basis @ np.linalg.lstsq(basis, np.array([value[x] for x in days]), rcond=None)[0]
     assert np.allclose([got[x] for x in days], fit, atol=1e-5)
+
+
+def test_short_series_are_not_lost(spark):
+    cells = [("long", f"2000-{m:02d}-01", float(m)) for m in range(1, 13)]
+    cells += [("four", f"2001-{m:02d}-01", float(m * m)) for m in range(1, 5)] + [("one", "2001-05-01", 7.0)]
+    df = inline_table(spark, cells, "k string, date date, v double")
+    got = models.spline_regression(df, "k", "v").collect()
+    assert len(got) == len(cells)
+    assert all(abs(r.predicted - r.v) < (0.1 if r.k == "long" else 1e-6) for r in got)
+
+
+def test_unlisted_demographics_count(spark):
+    cells = [("2001-01-01", "A", d, n) for d, n in (("X", 10), ("Y", 3), ("Z", 100))] + [("2001-02-01", "A", "X", 5)]
+    df = inline_table(spark, cells, "date date, citizenship string, demographic string, encounter_count bigint")
+    got = series.demographic_series(df, ["A"], {"X": "Ex", "W": "Double"}, ["Ex", "Double"]).collect()
+    cell = {(r.date.month, r.label): (r.encounter_count, r.summig, r.label_ord) for r in got}
+    assert cell[(1, "Z")] == (100, 113, 3) and cell[(1, "Double")] == (0, 113, 2) and cell[(2, "Y")] == (0, 5, 3)
+
+
+def test_top_other_series_reads_the_facts_once(spark):
+    cells = [(f"2000-{m:02d}-01", f"C{c}", c * m) for m in range(1, 5) for c in range(1, 6)]
+    df = inline_table(spark, cells, "date date, citizenship string, encounter_count bigint")
+    out = series.top_other_series(df, ["C5"], 2)
+    assert {r.citizenship for r in out.collect()} == {"C4", "C3"}
+    assert "LocalTableScan" not in out._jdf.queryExecution().executedPlan().toString()  # only the landed months

@@ -2,9 +2,12 @@
 
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from waymark.operators.cleaning import block_label, clean_names, rename_positions
+from waymark.functions.numbers import amount, digits_only
+from waymark.operators.cleaning import NAME_EXACT, NAME_PARTS, block_label, clean_names, rename_positions
 from waymark.session import scratch_dir
 from waymark.sources import delimited, dimensions, sheets, snapshots
 from waymark.sources.delimited import inline_table
@@ -21,7 +24,7 @@ def test_read_table_with_mark_and_grouped_text(spark, tmp_path, rows):
 def test_read_with_preamble_and_quotes(spark, tmp_path, rows):
     notes = "Extracted from the portal, 2024\n" + "\n" * 12 + '"Country of origin, name",Year,n\n'
     (tmp_path / "p.csv").write_text(notes + '"Venezuela, Bol. Rep.",2023,"1,200"\nChile,2022,-\n')
-    got = delimited.read_with_preamble(spark, str(tmp_path / "p.csv"), ["name", "year", "n"], "year")
+    got = delimited.read_with_preamble(spark, str(tmp_path / "p.csv"), ["name", "year", "n"], "year", ["Country of origin, name", "Year", "n"])
     assert rows(got) == [("Chile", "2022", "-"), ("Venezuela, Bol. Rep.", "2023", "1,200")]
 
 
@@ -80,7 +83,7 @@ def test_dimensions(spark, rows):
 def test_agency_sheet(spark, rows):
     cells = [
         (1, "2023", "October", "1,000", "X", "9", "1,009"), (2, None, "January", "20", "7", "1", "28"),
-        (3, None, "Total", "1,020", "7", "10", "1,037"), (4, "2024 (FYTD)"[:9], "October", "5", "6", "x", "11"),
+        (3, None, "Total", "1,020", "7", "10", "1,037"), (4, "2024 (FYTD)", "October", "5", "6", "x", "11"),
         (5, "Counts before 2020 are provisional", "October", "1", "1", "1", "3"),
     ]
     schema = "line bigint, fiscal_year string, month string, el_salvador string, cuba string, all_other string, total string"
@@ -94,7 +97,7 @@ def test_agency_sheet(spark, rows):
 def test_book_out_blocks_halve_repeated_rows(spark, rows):
     cells = [(1, "2024", "March", "9", "4", "8", "X"), (2, None, "March", "9", "4", "8", "3")]
     df = inline_table(spark, cells, "line bigint, fiscal_year string, month string, total_3 string, parole_4 string, total_5 string, parole_6 string")
-    got = rows(sheets.book_out_sheet(df, block_label("position", ["Cuba", "Peru"], 2, 3), "citizenship", halve=True))
+    got = rows(sheets.book_out_sheet(sheets.book_out_cells(df), block_label("position", ["Cuba", "Peru"], 2, 3), "citizenship", halve=True))
     march = dt.date(2024, 3, 1)
     assert got == [(march, "Cuba", "parole", 4.0), (march, "Peru", "parole", 3.0)]
 
@@ -111,3 +114,85 @@ def test_country_month_sheet_by_position(spark, rows):
     named = rename_positions(clean_names(df), ["country_es", "Jan", "Feb"])
     got = rows(sheets.country_month_sheet(named, "country_es", ["Jan", "Feb"], 2024))
     assert got == [("Honduras", dt.date(2024, 1, 1), 1005), ("Honduras", dt.date(2024, 2, 1), 0)]
+
+
+def test_preamble_reader_loses_no_record(spark, tmp_path, rows):
+    body = 'Peru,2021,"1,5",x\nChile,"2,021"\n"Two\nlines",2022,3,\nCuba,2023\n'
+    (tmp_path / "p.csv").write_text("Notes, 2024\n5,6,7,8\nName,Year,N,Mark\n" + body + "Source: us\n")
+    columns = ["name", "year", "n", "mark"]
+    got = rows(delimited.read_with_preamble(spark, str(tmp_path), columns, "year"))
+    assert got == [("Chile", "2,021", None, None), ("Cuba", "2023", None, None), ("Peru", "2021", "1,5", "x"), ("Two\nlines", "2022", "3", None)]
+    told = delimited.preamble_rows(spark, str(tmp_path), columns, "year").filter("not kept")
+    assert told.count() == 4  # two notes, the header, the source line
+    with pytest.raises(Exception, match="no header found"):
+        delimited.read_with_preamble(spark, str(tmp_path), ["other", "year", "n", "mark"], "year").collect()
+
+
+def test_files_with_other_headers_meet_by_name(spark, tmp_path, rows):
+    (tmp_path / "JAN 2023.csv").write_text("country,visa,issuances\nPE,H2A,1\n")
+    (tmp_path / "FEB 2023.csv").write_text("visa,country,issuances\nH2A,PE,2\n")
+    (tmp_path / "MAR 2023.csv").write_text("country,issuances\nPE,10\n")
+    got = delimited.read_tagged(spark, str(tmp_path), {"month": r"/([A-Z]+) \d{4}"})
+    want = [("PE", None, "10", "MAR"), ("PE", "H2A", "1", "JAN"), ("PE", "H2A", "2", "FEB")]
+    assert rows(got, "country", "visa", "issuances", "month") == want
+    schema = StructType.fromDDL("country string, issuances int")
+    assert rows(delimited.read_table(spark, str(tmp_path), schema)) == [("PE", 1), ("PE", 10), ("PE", 2)]
+    with pytest.raises(Exception, match="nowhere"):
+        delimited.read_table(spark, str(tmp_path), StructType.fromDDL("nowhere int"))
+
+
+def test_csv_snapshot_with_date_keeps_every_row(spark, tmp_path, rows):
+    df = inline_table(spark, [(f"{y}-01-01", y) for y in (2019, 2020, 2021)], "date date, v int")
+    snapshots.write_table(df, str(tmp_path / "s"), date="date", fmt="csv")
+    back = spark.read.option("header", True).csv(str(tmp_path / "s"))
+    assert rows(back, "date", "v") == [("2019-01-01", "2019"), ("2020-01-01", "2020"), ("2021-01-01", "2021")]
+
+
+def test_newest_snapshots_prune(spark, tmp_path, rows):
+    schema = "dataset string, snapshot_date date, v int"
+    for cells in ([("a", "2024-01-01", 1)], [("a", "2024-02-01", 2), ("b", "2024-01-01", 3)], [("a", "2024-02-01", 5)]):
+        snapshots.land_snapshot(inline_table(spark, cells, schema), str(tmp_path / "s"))
+    got = snapshots.newest_landed(spark, str(tmp_path / "s"))
+    assert rows(got, "dataset", "v") == [("a", 5), ("b", 3)]
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [(" in plan and "Join" not in plan
+
+
+def test_scratch_folder_must_be_shared_off_one_machine(spark):
+    class Remote:
+        class sparkContext:
+            master = "spark://host:7077"
+
+        class conf:
+            get = staticmethod(lambda key, default=None: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_dir(Remote, "x")
+    assert scratch_dir(spark, "x") != scratch_dir(spark, "x")
+
+
+def test_sheet_totals_equal_output_totals(spark):
+    cells = [(1, "FY 23", "October", "1,000", "20", "30", "1,050"), (2, None, "November", "2", "3", "4", "9"), (3, "2024 (FYTD)", "October", "5", "6", "7", "18"),
+             (4, None, "Total", "1,007", "29", "41", "1,077"), (5, "1 As of March", None, None, None, None, None)]
+    schema = "line bigint, fiscal_year string, month string, cuba string, peru string, all_other string, total string"
+    df = inline_table(spark, cells, schema)
+    kept = sheets.agency_sheet(df, residual=True)
+    assert kept.agg(F.sum("encounter_count")).first()[0] == 1077
+    assert {r.date for r in kept.select("date").distinct().collect()} == {dt.date(2022, 10, 1), dt.date(2022, 11, 1), dt.date(2023, 10, 1)}
+    assert sheets.agency_sheet(df).agg(F.sum("encounter_count")).first()[0] == 1077 - 41
+
+
+def test_amounts_keep_sign_and_decimals(spark, rows):
+    cells = ["$1,234.50", "(5)", "-7", "1234.0", "($1,000)", " € 3 ", "", None, "12 people", "D", "1,2,3", ".5"]
+    df = inline_table(spark, [(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = [r.v for r in df.select("i", amount("c").alias("v")).orderBy("i").collect()]
+    assert got == [1234.5, -5, -7, 1234, -1000, 3, None, None, None, None, 123, 0.5]
+    digits = [r.v for r in df.select("i", digits_only("c").alias("v")).orderBy("i").collect()]
+    assert digits[0] is None and digits[2] is None and digits[3] is None and digits[1] == 5
+
+
+def test_month_headers_with_years_and_recoded_names(spark, rows):
+    df = inline_table(spark, [("Brasil", "1", "2"), ("Rep. Dominicana", "3", None), ("Dominicana, Rep.", "4", "5"), ("Total", "8", "7")], "pais string, jan22 string, ene_2023 string")
+    got = rows(sheets.country_month_sheet(df, "pais", ["jan22", "ene_2023"], exact=NAME_EXACT, parts=NAME_PARTS))
+    a, b = dt.date(2022, 1, 1), dt.date(2023, 1, 1)
+    assert got == [("Brazil", a, 1), ("Brazil", b, 2), ("Dominican Republic", a, 7), ("Dominican Republic", b, 5)]

@@ -16,7 +16,11 @@ MONTH_PREFIXES = {
     "ene": 1, "abr": 4, "ago": 8, "set": 9, "dic": 12,
 }
 
-# Spanish month names in calendar order.
+# Month names in calendar order, English and Spanish.
+ENGLISH_MONTHS = [
+    "January", "February", "March", "April", "May", "June",
+    "July", "August", "September", "October", "November", "December",
+]
 SPANISH_MONTHS = [
     "Enero", "Febrero", "Marzo", "Abril", "Mayo", "Junio",
     "Julio", "Agosto", "Septiembre", "Octubre", "Noviembre", "Diciembre",
@@ -52,10 +56,30 @@ def fiscal_month_order(month_number, start_month: int = FISCAL_START) -> Column:
     return F.when(m >= start_month, m - 12).otherwise(m)
 
 
+def month_names() -> dict[str, int]:
+    """Every accepted spelling, in lower case: full names, their three letters, and usual variants."""
+    names = {n.lower(): i + 1 for months in (ENGLISH_MONTHS, SPANISH_MONTHS) for i, n in enumerate(months)}
+    return {**MONTH_PREFIXES, **names, "sept": 9, "setiembre": 9}
+
+
 def month_number(text) -> Column:
-    """Month number of an English or Spanish month name or abbreviation; null when unknown."""
-    lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(MONTH_PREFIXES.items())])
-    return F.try_element_at(lookup, F.substring(F.lower(F.trim(_col(text))), 1, 3))
+    """Month number of an English or Spanish month name or abbreviation; null when unknown.
+
+    A point or a year may follow (``Jan.``, ``jan22``, ``ene_2024``); any other text around the name makes it unknown.
+    """
+    lookup = F.create_map(*[F.lit(x) for x in chain.from_iterable(month_names().items())])
+    bare = F.regexp_replace(F.lower(F.trim(_col(text))), r"\.?[\s._-]*(\d{2}|\d{4})?$", "")
+    return F.try_element_at(lookup, bare)
+
+
+def header_year(text, century: int | None = None) -> Column:
+    """Year at the end of a month header (``jan22`` -> 2022, ``ene_2024`` -> 2024); null without one.
+
+    Two digits get ``century``, or without it the century that puts them between 1969 and 2068.
+    """
+    n = F.nullif(F.regexp_extract(F.trim(_col(text)), r"^\D+(\d{2}|\d{4})$", 1), F.lit("")).try_cast("int")
+    base = F.when(n >= 69, 1900).otherwise(2000) if century is None else F.lit(century)
+    return F.when(n < 100, n + base).otherwise(n)
 
 
 def month_start(year, month) -> Column:

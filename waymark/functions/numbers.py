@@ -19,10 +19,25 @@ def parse_number(text) -> Column:
     return F.nullif(F.replace(found, F.lit(",")), F.lit("")).try_cast("double")
 
 
+def amount(text) -> Column:
+    """Number of a whole cell as landed sheets write it: currency signs, thousands separators, a sign, decimals.
+
+    Brackets around the number make it negative, as in accounts. A cell with anything else in it gives null.
+    """
+    c = F.regexp_replace(_col(text), r"[\s\p{Sc}]", "")
+    inner = F.regexp_replace(c, r"^\((.*)\)$", "-$1")
+    whole = F.when(inner.rlike(r"^[-+]?(\d+|\d{1,3}(,\d{3})+|\d+(,\d+)+)(\.\d*)?$|^[-+]?\.\d+$"), F.replace(inner, F.lit(",")))
+    return whole.try_cast("double")
+
+
 def digits_only(text) -> Column:
-    """Number of a cell after all punctuation and blanks are removed; blank gives null."""
+    """Number of a cell after all punctuation and blanks are removed; blank gives null.
+
+    For whole counts only: a cell with a decimal part or a leading sign would change its value, and gives null.
+    """
     bare = F.regexp_replace(_col(text), r"[\p{Punct}\s]+", "")
-    return F.nullif(bare, F.lit("")).try_cast("bigint")
+    spoiled = _col(text).rlike(r"\d\.\d{1,2}(\D|$)|\d\.\d{4,}|^\s*[-+]\s*\d")
+    return F.when(~spoiled, F.nullif(bare, F.lit(""))).try_cast("bigint")
 
 
 def unsuppress(text, marks=SUPPRESSION_MARKS) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from waymark.functions.calendar import fiscal_year
 from waymark.functions.numbers import ratio
+from waymark.session import landed
 
 
 def _col(c) -> Column:
@@ -25,11 +26,12 @@ def total(df: DataFrame, by: list, *values: str) -> DataFrame:
     return df.groupBy(*by).agg(*[F.sum(v).alias(v) for v in values])
 
 
-def attach_group(df: DataFrame, by: list[str], **cells: Column) -> DataFrame:
+def attach_group(df: DataFrame, by: list[str], stored: bool = False, **cells: Column) -> DataFrame:
     """Aggregates of a group beside each of its rows.
 
     The group is reduced by partial aggregation and joined back, so a group that holds a third of all rows is never
-    sorted or buffered in one task. Without keys the cells come from a one-row subquery.
+    sorted or buffered in one task. Without keys the cells come from a one-row subquery. With ``stored`` the groups are
+    written out first, so that the planner knows their size and need not shuffle the rows to meet a small table.
     """
     if not by:
         out = df
@@ -37,6 +39,7 @@ def attach_group(df: DataFrame, by: list[str], **cells: Column) -> DataFrame:
             out = out.withColumn(name, df.agg(cell).scalar())
         return out
     small = df.groupBy(*by).agg(*[c.alias(n) for n, c in cells.items()])
+    small = landed(small, "groups") if stored else small
     return df.alias("l").join(small.alias("r"), _on(by)).select("l.*", *[F.col(f"r.{n}") for n in cells])
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.operators.order import sharing
+from waymark.session import landed
 
 
 def _col(c) -> Column:
@@ -51,9 +52,14 @@ def after_last(df: DataFrame, other: DataFrame, date: str = "date") -> DataFrame
     return df.filter(F.col(date) > other.agg(F.max(date)).scalar())
 
 
-def keep_groups(df: DataFrame, by: list[str], value: str, least: float = 0) -> DataFrame:
-    """Rows of the groups whose total exceeds ``least``; totals are aggregated first, so no group is sorted whole."""
+def keep_groups(df: DataFrame, by: list[str], value: str, least: float = 0, stored: bool = False) -> DataFrame:
+    """Rows of the groups whose total exceeds ``least``; totals are aggregated first, so no group is sorted whole.
+
+    With ``stored`` the kept groups are written out first. The planner then knows their size: below its threshold it
+    broadcasts them and the rows are not shuffled at all.
+    """
     good = df.groupBy(*by).agg(F.sum(value).alias("_t")).filter(F.col("_t") > least).drop("_t")
+    good = landed(good, "groups") if stored else good
     on = F.lit(True)
     for k in by:
         on = on & F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))

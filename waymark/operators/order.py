@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from waymark.session import landed
+
 BLOCK_LINES = 100_000
 
 
@@ -28,9 +30,16 @@ def sharing(column, other) -> Column:
 
 
 def magnitude_block(value, per_doubling: int = 16) -> Column:
-    """Block number that never falls as ``value`` rises, from about 1e-6 up."""
+    """Block number that never falls as ``value`` rises, from about 1e-6 up; infinities and NaN have end blocks.
+
+    All rows of one value share a block. A window inside a block suits a frame with few rows per value, such as
+    distinct levels or group totals.
+    """
     v = _col(value).cast("double")
-    return (F.signum(v) * F.floor(F.log2(F.abs(v) * 2.0**20 + 1) * per_doubling)).cast("int")
+    end = F.lit(2**30)
+    inside = (F.signum(v) * F.floor(F.log2(F.abs(v) * 2.0**20 + 1) * per_doubling)).try_cast("int")
+    ends = F.when(F.isnan(v), end + 1).when(v == float("inf"), end).when(v == float("-inf"), -end)
+    return ends.otherwise(inside)
 
 
 def line_block(line, size: int = BLOCK_LINES) -> Column:
@@ -101,67 +110,83 @@ def fill_down(
 ) -> DataFrame:
     """Replace nulls by the nearest earlier non-null value in line order.
 
-    ``by`` names the file or sheet; a file of any length is split into blocks of ``size`` lines.
+    ``by`` names the file or sheet; a file of any length is split into blocks of ``size`` lines. A line without a number
+    keeps what it has.
     """
     by = list(by or [])
-    keys = [*by, "_block"]
-    rows = df.withColumn("_block", line_block(line, size))
+    # lines without a number form a block of their own before the others; file names are keys that are never null, so
+    # that windows and join share one shuffle
+    named = {f"_by{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for i, c in enumerate(by)}
+    rows = df.withColumns({**named, "_block": F.coalesce(line_block(line, size), F.lit(-(2**62)))})
+    keys = [*named, "_block"]
     inside = Window.partitionBy(*keys).orderBy(line).rowsBetween(Window.unboundedPreceding, 0)
-    before = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*named).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    known = F.col("_block") > F.lit(-(2**62))  # nothing is carried from lines of unknown place
     ends = rows.groupBy(*keys).agg(
-        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull(), F.col(line))).alias(f"_end_{c}") for c in columns]
+        *[F.max_by(F.col(c), F.when(F.col(c).isNotNull() & known, F.col(line))).alias(f"_end_{c}") for c in columns]
     )
     carry = ends.select(
         *keys, *[F.last(f"_end_{c}", ignorenulls=True).over(before).alias(f"_carry_{c}") for c in columns]
     )
     filled = rows
     for c in columns:
-        filled = filled.withColumn(f"_fill_{c}", F.last(c, ignorenulls=True).over(inside))
-    joined = filled.alias("l").join(carry.alias("c"), _on(by, "l", "c", ("_block",)))
+        filled = filled.withColumn(f"_fill_{c}", F.when(known, F.last(c, ignorenulls=True).over(inside)).otherwise(F.col(c)))
+    joined = filled.join(carry, keys)
     return joined.select(
-        *[
-            F.coalesce(F.col(f"l._fill_{c}"), F.col(f"c._carry_{c}")).alias(c) if c in columns else F.col(f"l.{c}")
-            for c in df.columns
-        ]
+        *[F.coalesce(f"_fill_{c}", f"_carry_{c}").alias(c) if c in columns else F.col(c) for c in df.columns]
     )
 
 
-def exact_median(df: DataFrame, value: str, by: list[str] | None = None, name: str = "median") -> DataFrame:
-    """Exact median per group (or overall).
+def exact_median(
+    df: DataFrame, value: str, by: list[str] | None = None, name: str = "median", total: str | None = None
+) -> DataFrame:
+    """Exact median per group (or overall), and with ``total`` also over all groups, labelled so in the first column.
 
     A first pass counts rows per block of values (a few thousand counters per group). They tell which blocks hold the
-    middle ranks, and only the rows of those blocks are counted per value and ranked.
+    middle ranks, at most two per group; these are written out, so that the planner knows their size when it chooses
+    how the second pass meets them. Only the rows of those blocks are counted per value and ranked.
     """
     by = list(by or [])
-    keys = [*by, "_block"]
     rows = df.filter(F.col(value).isNotNull()).select(*by, value, magnitude_block(value, 256).alias("_block"))
-    counts = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.partitionBy(*by).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*by)
-    placed = counts.select(
-        *keys,
-        (F.sum("_n").over(upto) - F.col("_n")).alias("_carry"),
-        F.sum("_n").over(upto).alias("_upto"),
-        F.sum("_n").over(whole).alias("_all"),
-    )
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
-    middle = placed.filter((low <= F.col("_upto")) & (high > F.col("_carry"))).drop("_upto")
+    counts = rows.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    if total is not None:
+        counts = landed(counts, "counts")
+
+    def middle_blocks(counted: DataFrame, keys: list[str]) -> DataFrame:
+        upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
+        placed = counted.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
+        low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+        carry = F.col("_upto") - F.col("_n")
+        hit = placed.filter((low <= F.col("_upto")) & (high > carry))
+        return hit.select(*keys, "_block", carry.alias("_carry"), "_all", F.lit(len(keys) < len(by)).alias("_over"))
+
+    middle = middle_blocks(counts, by)
+    if total is not None and by:
+        whole = middle_blocks(counts.groupBy("_block").agg(F.sum("_n").alias("_n")), [])
+        middle = middle.unionByName(whole, allowMissingColumns=True)
+    middle = landed(middle, "middle")
+    on = F.col("l._block") == F.col("r._block")
     if by:
-        inside = rows.alias("l").join(middle.alias("r"), _on(by, "l", "r", ("_block",))).select("l.*", "r._carry", "r._all")
-    else:
-        # at most two blocks: they travel as one value, and no row of another block is shuffled
-        found = middle.agg(F.map_from_entries(F.collect_list(F.struct("_block", F.struct("_carry", "_all"))))).scalar()
-        hit = rows.withColumn("_at", F.try_element_at(found, F.col("_block"))).filter(F.col("_at").isNotNull())
-        inside = hit.select(value, "_block", "_at._carry", "_at._all")
+        same = F.lit(True)
+        for c in by:
+            same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+        on = on & (F.col("r._over") | same) if total is not None else on & same
+    inside = rows.alias("l").join(middle.alias("r"), on)
+    inside = inside.select(*[F.col(f"r.{c}") for c in by], f"l.{value}", "r._block", "r._carry", "r._all", "r._over")
+    keys = [*by, "_over", "_block"]
     values = inside.groupBy(*keys, value, "_carry", "_all").agg(F.count(F.lit(1)).alias("_n"))
     step = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
     ranked = values.withColumn("_upto", F.col("_carry") + F.sum("_n").over(step))
+    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
 
     def at(position):
         return (position > F.col("_upto") - F.col("_n")) & (position <= F.col("_upto"))
 
     middle_two = F.max(F.when(at(low), F.col(value))) + F.max(F.when(at(high), F.col(value)))
-    return ranked.groupBy(*by).agg((middle_two / F.lit(2.0)).alias(name))
+    out = ranked.groupBy(*by, "_over").agg((middle_two / F.lit(2.0)).alias(name))
+    if total is not None and by:
+        out = out.withColumn(by[0], F.when(F.col("_over"), F.lit(total)).otherwise(F.col(by[0])))
+    return out.drop("_over")
 
 
 def top_with_ties(df: DataFrame, value: str, n: int, name: str = "rank") -> DataFrame:

@@ -13,10 +13,6 @@ from waymark.operators.order import magnitude_block, running_total
 # Country groups of the border reports.
 NCA = ["GUATEMALA", "HONDURAS", "EL SALVADOR"]
 CHNV = ["CUBA", "NICARAGUA", "VENEZUELA", "HAITI"]
-LISTED = [
-    "BRAZIL", "COLOMBIA", "CUBA", "ECUADOR", "EL SALVADOR", "GUATEMALA", "HAITI",
-    "HONDURAS", "MEXICO", "NICARAGUA", "OTHER", "PERU", "VENEZUELA",
-]
 GROUPS = {"NORTHERN CENTRAL AMERICA": NCA, "CHNV COUNTRIES": CHNV, "MEXICO": ["MEXICO"]}
 SUBREGIONS = {
     "Mexico": ["MEXICO"],

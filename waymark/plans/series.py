@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from waymark.functions.calendar import fiscal_year
@@ -15,11 +15,13 @@ from waymark.operators.aggregates import (
     share,
     yearly_change,
 )
+from waymark.operators.cleaning import recode
 from waymark.operators.filters import before_first, in_months, not_in
 from waymark.operators.joins import lookup, override, subtract_part
 from waymark.operators.order import at_latest, by_order, ranked_labels, top_with_ties
-from waymark.operators.reshape import densify, stack, stack_tagged, to_wide, to_wide_many
+from waymark.operators.reshape import densify, full_grid, stack, stack_tagged, to_wide, to_wide_many
 from waymark.plans.groups import group_label
+from waymark.session import landed
 
 VALUE = "encounter_count"
 
@@ -66,11 +68,17 @@ def demographic_share(facts: DataFrame, demographic: str, value: str = VALUE) ->
 def demographic_series(
     facts: DataFrame, countries: list[str], labels: dict[str, str], order: list[str], value: str = VALUE
 ) -> DataFrame:
-    """Monthly counts per demographic for some countries: absent cells 0, display labels in a set order, month total."""
+    """Monthly counts per demographic for some countries: absent cells 0, display labels in a set order, month total.
+
+    A demographic without a label keeps its own name and comes last; it counts in the month total like the others.
+    """
     some = facts.filter(F.col("citizenship").isin(countries))
-    months = some.groupBy("date", "demographic").agg(F.sum(value).alias(value))
-    dense = densify(months, ["date"], "demographic", list(labels), value)
-    label = group_label("demographic", {v: [k] for k, v in labels.items()}, None)
+    grid = full_grid(some, "date", "demographic", value)
+    listed = grid.filter(F.col("demographic").isin(list(labels)))
+    # labels that no row has still get their zeros
+    missing = densify(listed, ["date"], "demographic", list(labels), value)
+    dense = missing.unionByName(grid.filter(not_in("demographic", labels)))
+    label = recode("demographic", labels)
     named = attach_group(dense.withColumn("label", label), ["date"], summig=F.sum(value))
     return named.withColumn("label_ord", by_order("label", order))
 
@@ -142,16 +150,17 @@ def yearly_group_share(sources: dict[str, DataFrame], value: str = VALUE) -> Dat
     return share(rows, value, ["source", "fiscal_year"], "freq")
 
 
-def top_other_series(facts: DataFrame, exclude: list[str], n: int, chosen: DataFrame | None = None, value: str = VALUE):
+def top_other_series(facts: DataFrame, exclude: list[str], n: int, chosen: Column | None = None, value: str = VALUE):
     """Monthly series of the largest countries outside a list, ordered by their totals.
 
-    The top is taken at the latest month, or over the rows of ``chosen``.
+    The top is taken at the latest month, or over the months where ``chosen`` holds. The facts are read once, into
+    month totals that are written out and serve the choice and the series.
     """
-    window = at_latest(facts) if chosen is None else chosen
+    months = landed(facts.groupBy("date", "citizenship").agg(F.sum(value).alias(value)), "months")
+    window = at_latest(months) if chosen is None else months.filter(chosen)
     totals = window.filter(not_in("citizenship", exclude)).groupBy("citizenship").agg(F.sum(value).alias(value))
     best = top_with_ties(totals, value, n).select("citizenship")
-    # the facts shrink to month grain before they meet the chosen names
-    series = facts.groupBy("date", "citizenship").agg(F.sum(value).alias(value)).join(best, "citizenship", "left_semi")
+    series = months.join(best, "citizenship", "left_semi")
     return ranked_labels(series.select("date", "citizenship", value), "citizenship", value, "citizenship_ord")
 
 

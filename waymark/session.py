@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
@@ -35,12 +35,22 @@ def local_session(cores: int | str = 8, shuffle_partitions: int = 8, memory: str
 
 
 def scratch_dir(spark: SparkSession, label: str) -> str:
-    """A new folder for landed data.
+    """A new folder for landed data, under the shared folder named by ``spark.checkpoint.dir``.
 
-    It lies under the shared folder named by ``spark.checkpoint.dir`` so that every executor sees it;
-    only where that is unset (tests on one machine) a local temporary folder is made.
+    Every executor must see it. Only a local master (tests on one machine) may leave the setting unset; it then gets a
+    temporary folder for the session.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        return f"{shared.rstrip('/')}/waymark/{label}-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix=f"waymark-{label}-")
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="waymark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared.rstrip('/')}/waymark/{label}-{uuid.uuid4().hex}"
+
+
+def landed(df: DataFrame, label: str) -> DataFrame:
+    """A frame written to the shared folder and read back: its size is then known to the planner."""
+    path = scratch_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

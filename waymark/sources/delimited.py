@@ -2,46 +2,101 @@
 
 from __future__ import annotations
 
+import re
+from urllib.parse import unquote
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructType
 
+from waymark.functions.numbers import amount
 from waymark.functions.text import snake_all
 
 
+def _reader(spark: SparkSession):
+    return spark.read.option("quote", '"').option("escape", '"').option("recursiveFileLookup", True)
+
+
+def headers(spark: SparkSession, paths: str | list[str]) -> dict[str, list[str]]:
+    """Header line -> files that start with it. The driver gets one row per file, as when it lists them."""
+    lines = spark.read.option("recursiveFileLookup", True).text(paths)
+    heads = lines.filter("_metadata.file_block_start = 0").select(
+        F.col("_metadata.file_path").alias("file"), "value", F.monotonically_increasing_id().alias("at")
+    )
+    first = heads.groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    out: dict[str, list[str]] = {}
+    for row in first.collect():
+        out.setdefault(row["header"], []).append(unquote(row["file"]))
+    return {h: sorted(out[h]) for h in sorted(out)}
+
+
+def _by_header(spark: SparkSession, paths: str | list[str], pick) -> DataFrame:
+    """One read per distinct header, united by name; ``pick`` selects from a read and its snake_case names."""
+    out = None
+    for files in headers(spark, paths).values():
+        raw = _reader(spark).option("header", True).option("enforceSchema", False).csv(files)
+        part = pick(raw, snake_all(raw.columns))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    if out is None:
+        raise ValueError(f"no file with a header under {paths}")
+    return out
+
+
 def read_table(spark: SparkSession, paths: str | list[str], schema: StructType | None = None) -> DataFrame:
     """CSV with a header; names become snake_case and a byte order mark is dropped.
 
-    With a schema the columns are picked by name and cast; a cell that does not parse gives null.
+    Files may differ in the order and number of their columns: they meet by name, and a column that a file lacks is
+    null. With a schema the columns are picked by name and cast; a cell that does not parse gives null, and a column
+    that no file has is an error.
     """
-    raw = spark.read.option("header", True).option("quote", '"').option("escape", '"').csv(paths)
-    named = raw.toDF(*snake_all(raw.columns))
+    named = _by_header(spark, paths, lambda raw, names: raw.toDF(*names))
     if schema is None:
         return named
     return named.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_with_preamble(spark: SparkSession, paths: str | list[str], columns: list[str], numeric: str) -> DataFrame:
-    """CSV whose header follows a block of notes.
+def preamble_rows(
+    spark: SparkSession, paths: str | list[str], columns: list[str], numeric: str, header: list[str] | None = None
+) -> DataFrame:
+    """All records of files whose header follows a block of notes, with ``kept``: is it a data record?
 
-    A data line reaches the last column and its ``numeric`` cell holds a number, so notes and header fall out in the
-    same pass and the file stays splittable.
+    Data are the records after the header of their file, which is the first record with the cells ``header`` (by
+    default ``columns``, both compared as snake_case names), whose ``numeric`` cell is a number; what follows without
+    one are notes. Records may be short (missing cells are null), hold quoted line breaks and grouped numbers. A file
+    without the header fails the job.
     """
-    lines = spark.read.text(paths)
-    schema = ", ".join(f"`{c}` string" for c in [*columns, "_short"])
-    cells = lines.select(F.from_csv("value", schema, {"columnNameOfCorruptRecord": "_short"}).alias("c")).select("c.*")
-    whole = F.col("_short").isNull() | F.col(columns[-1]).isNotNull()
-    return cells.filter(whole & F.col(numeric).try_cast("double").isNotNull()).drop("_short")
+    schema = ", ".join(f"`{c}` string" for c in columns)
+    cells = _reader(spark).schema(schema).option("multiLine", True).csv(paths)
+    rows = cells.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+    plain = [F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9A-Za-z]+", "")) for c in columns]
+    wanted = [re.sub(r"[^0-9A-Za-z]+", "", c).lower() for c in header or columns]
+    is_header = F.lit(True)
+    for cell, text in zip(plain, wanted):
+        is_header = is_header & (cell == text)
+    # a file is read by one task, so its records have rising numbers
+    start = rows.groupBy("_file").agg(F.min(F.when(is_header, F.col("_at"))).alias("_start"))
+    alarm = F.raise_error(F.concat(F.lit("no header found in "), "_file")).cast("bigint")
+    joined = rows.join(start, "_file").withColumn("_start", F.coalesce("_start", alarm))
+    kept = (F.col("_at") > F.col("_start")) & amount(numeric).isNotNull()
+    return joined.select(*columns, F.coalesce(kept, F.lit(False)).alias("kept"))
+
+
+def read_with_preamble(
+    spark: SparkSession, paths: str | list[str], columns: list[str], numeric: str, header: list[str] | None = None
+) -> DataFrame:
+    """Data records of ``preamble_rows``, whose records with ``kept`` false tell what was left out."""
+    return preamble_rows(spark, paths, columns, numeric, header).filter("kept").drop("kept")
 
 
 def read_tagged(spark: SparkSession, paths: str | list[str], tags: dict[str, str]) -> DataFrame:
-    """Files of one layout in one scan, with columns taken from each file path (name -> pattern with one group)."""
-    reader = spark.read.option("header", True).option("quote", '"').option("escape", '"')
-    raw = reader.option("recursiveFileLookup", True).csv(paths)
-    names = snake_all(raw.columns)
-    path = F.url_decode(F.col("_metadata.file_path"))
-    made = [F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).alias(tag) for tag, pattern in tags.items()]
-    return raw.select(*[F.col(f"`{old}`").alias(new) for old, new in zip(raw.columns, names)], *made)
+    """Files with columns taken from each file path (name -> pattern with one group); files meet by column name."""
+
+    def pick(raw: DataFrame, names: list[str]) -> DataFrame:
+        path = F.url_decode(F.col("_metadata.file_path"))
+        made = [F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).alias(tag) for tag, pattern in tags.items()]
+        return raw.select(*[F.col(f"`{old}`").alias(new) for old, new in zip(raw.columns, names)], *made)
+
+    return _by_header(spark, paths, pick)
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:

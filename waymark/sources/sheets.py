@@ -5,24 +5,29 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.calendar import calendar_year, month_number, month_start, parse_fiscal_label
-from waymark.functions.numbers import digits_only, parse_number, unsuppress
+from waymark.functions.calendar import calendar_year, header_year, month_number, month_start, parse_fiscal_label
+from waymark.functions.numbers import amount, parse_number, unsuppress
 from waymark.functions.text import strip_position, underscores_to_blanks
 from waymark.operators.aggregates import halve_repeats
-from waymark.operators.cleaning import drop_footnote_rows, drop_labels
+from waymark.operators.cleaning import drop_labels, recode
 from waymark.operators.filters import keep_groups
 from waymark.operators.order import fill_down
 from waymark.operators.reshape import to_long
 
+#: ``2019``, ``FY 19``, ``2024 (FYTD)``: what a fiscal year label looks like; anything else in that column is a note.
+FISCAL_LABEL = r"^(?i)\s*(fy\s*)?(\d{2}|\d{4})\s*(\([^)]*\))?\s*$"
+
 
 def _fiscal_months(sheet: DataFrame, line: str, by: list[str] | None, century: int) -> DataFrame:
-    """Fill the fiscal year down, drop note and total rows, and give each row its month date."""
-    rows = fill_down(sheet, ["fiscal_year"], line, by)
-    rows = drop_footnote_rows(rows, "fiscal_year").filter((F.col("month") != "Total") & (F.trim("month") != ""))
+    """Fill the fiscal year down, drop rows without a month (totals) or with a note as label, and date each row."""
+    year = F.col("fiscal_year").rlike(FISCAL_LABEL)
+    note = F.coalesce(~year & (F.trim("fiscal_year") != ""), F.lit(False))
+    labelled = sheet.withColumns({"fiscal_year": F.when(year, F.col("fiscal_year")), "_note": note})
+    rows = fill_down(labelled, ["fiscal_year"], line, by)
     # parsed once per row in a step of their own: both feed the date more than once
     rows = rows.withColumns({"_m": month_number("month"), "_fy": parse_fiscal_label("fiscal_year", century)})
-    dated = rows.withColumn("date", month_start(calendar_year("_fy", "_m"), "_m"))
-    return dated.drop("fiscal_year", "month", line, "_m", "_fy")
+    dated = rows.filter(F.col("_m").isNotNull() & ~F.col("_note")).withColumn("date", month_start(calendar_year("_fy", "_m"), "_m"))
+    return dated.drop("fiscal_year", "month", line, "_m", "_fy", "_note")
 
 
 def agency_sheet(
@@ -32,58 +37,77 @@ def agency_sheet(
     line: str = "line",
     by: list[str] | None = None,
     century: int = 2000,
+    residual: bool = False,
 ) -> DataFrame:
     """Month rows by category columns -> one row per month and category.
 
-    The fiscal year stands only in the first row of each year, total rows and the columns ``total`` and
-    ``all_other...`` are dropped, suppressed cells give no row, names become upper case with blanks.
+    The fiscal year stands only in the first row of each year. Total rows and the column ``total`` are dropped, and
+    ``all_other...`` too unless ``residual`` keeps it; suppressed cells give no row, names become upper case with blanks.
     """
     rows = _fiscal_months(sheet, line, by, century)
     ids = ["date", *(by or [])]
-    columns = [c for c in rows.columns if c not in ids and c != "total" and "all_other" not in c]
+    columns = [c for c in rows.columns if c not in ids and c != "total" and (residual or "all_other" not in c)]
     long = to_long(rows, ids, columns, key, value)
     named = F.upper(underscores_to_blanks(strip_position(key)))
     return long.select(*ids, named.alias(key), unsuppress(value).cast("bigint").alias(value)).dropna(subset=[value])
 
 
-def book_out_sheet(
-    sheet: DataFrame,
-    label: Column,
-    name: str,
-    line: str = "line",
-    century: int = 2000,
-    halve: bool = False,
-) -> DataFrame:
-    """Month rows by repeated column blocks (``category_position``) -> month, block label, category, count.
-
-    ``label`` maps the column ``position`` to the block's label; total blocks and total categories are dropped.
-    """
+def book_out_cells(sheet: DataFrame, line: str = "line", century: int = 2000) -> DataFrame:
+    """Month rows by repeated column blocks (``category_position``) -> month, position, category, count."""
     rows = _fiscal_months(sheet, line, None, century)
     columns = [c for c in rows.columns if c != "date"]
     long = to_long(rows, ["date"], columns, "_name", "_cell")
-    long = long.withColumn("position", F.regexp_extract("_name", r"_(\d+)$", 1).try_cast("int"))
-    tidy = long.select("date", label.alias(name), strip_position("_name").alias("cat"), unsuppress("_cell").alias("count"))
-    tidy = tidy.filter(F.col("count").isNotNull() & (F.col(name) != "Total") & ~F.col("cat").contains("total"))
+    position = F.regexp_extract("_name", r"_(\d+)$", 1).try_cast("int")
+    cells = long.select("date", position.alias("position"), strip_position("_name").alias("cat"), unsuppress("_cell").alias("count"))
+    return cells.filter(F.col("count").isNotNull())
+
+
+def book_out_sheet(cells: DataFrame, label: Column, name: str, halve: bool = False) -> DataFrame:
+    """Cells of ``book_out_cells`` -> month, block label, category, count.
+
+    ``label`` maps the column ``position`` to the block's label; total blocks and total categories are dropped. Several
+    layouts of one sheet can share its cells.
+    """
+    tidy = cells.select("date", label.alias(name), "cat", "count")
+    tidy = tidy.filter((F.col(name) != "Total") & ~F.col("cat").contains("total"))
     keys = ["date", name, "cat"]
     return halve_repeats(tidy, keys, "count") if halve else tidy.groupBy(*keys).agg(F.sum("count").alias("count"))
 
 
+def book_out_by_agency(cells: DataFrame, total: str = "total_encounters") -> DataFrame:
+    """Cells of a sheet without blocks -> month, category (agency), count; only the column ``total`` is dropped."""
+    tidy = cells.filter(F.col("cat") != total)
+    return tidy.groupBy("date", "cat").agg(F.sum("count").alias("count"))
+
+
 def country_month_sheet(
-    sheet: DataFrame, label: str, months: list[str], year, value: str = "encounter_count", name: Column | None = None
+    sheet: DataFrame,
+    label: str,
+    months: list[str],
+    year=None,
+    value: str = "encounter_count",
+    name: Column | None = None,
+    exact: dict[str, str] | None = None,
+    parts: dict[str, str] | None = None,
+    century: int | None = None,
 ) -> DataFrame:
     """Country rows by month columns -> one row per country and month.
 
-    Total and region rows are dropped; ``year`` is a number or a column; blank cells count 0.
+    Total and region rows are dropped; ``year`` is a number, a column, or None where the month headers carry it
+    (``jan22``); blank cells count 0. With ``exact`` or ``parts`` the spellings are recoded, and countries that then
+    share a name are summed.
     """
     rows = drop_labels(sheet.filter(F.col(label).isNotNull()), label)
-    y = F.lit(year) if isinstance(year, int) else F.col(year)
-    ids = [label] if isinstance(year, int) else [label, year]
+    ids = [label, year] if isinstance(year, str) else [label]
     long = to_long(rows.select(*ids, *months), ids, months, "_month", "_cell")
-    return long.select(
-        (name if name is not None else F.col(label)).alias("citizenship"),
+    y = header_year("_month", century) if year is None else F.col(year) if isinstance(year, str) else F.lit(year)
+    named = name if name is not None else F.col(label)
+    out = long.select(
+        recode(named, exact, parts).alias("citizenship"),
         month_start(y, month_number("_month")).alias("date"),
-        F.coalesce(digits_only("_cell"), F.lit(0)).cast("bigint").alias(value),
+        F.coalesce(F.round(amount("_cell")), F.lit(0)).cast("bigint").alias(value),
     )
+    return out.groupBy("citizenship", "date").agg(F.sum(value).alias(value)) if exact or parts else out
 
 
 def budget_lines(sheet: DataFrame, label: str, parents: list[str], line: str = "line") -> DataFrame:
@@ -96,7 +120,7 @@ def budget_lines(sheet: DataFrame, label: str, parents: list[str], line: str = "
         "cat",
         F.col(label).alias("op"),
         parse_number("_year").cast("int").alias("year"),
-        digits_only("_cell").alias("value"),
+        amount("_cell").alias("value"),
     )
     return keep_groups(tidy, ["cat", "op"], "value")
 
@@ -106,7 +130,7 @@ def admissions_sheet(sheet: DataFrame, months: list[str], year: str = "year", la
     ids = [year, *([label] if label else [])]
     long = to_long(sheet.select(*ids, *months), ids, months, "_month", "_cell")
     keys = ["date", *([label] if label else [])]
-    parsed = long.withColumns({"_m": month_number("_month"), "_fy": digits_only(year)})
+    parsed = long.withColumns({"_m": month_number("_month"), "_fy": amount(year).cast("int")})
     date = month_start(calendar_year("_fy", "_m"), "_m")
-    tidy = parsed.select(date.alias("date"), *([label] if label else []), digits_only("_cell").alias("value"))
+    tidy = parsed.select(date.alias("date"), *([label] if label else []), F.round(amount("_cell")).cast("bigint").alias("value"))
     return tidy.groupBy(*keys).agg(F.sum("value").alias("value"))

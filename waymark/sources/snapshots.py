@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.operators.joins import full_join, on_keys
@@ -17,11 +17,11 @@ def write_table(df: DataFrame, path: str, date: str | None = None, fmt: str = "p
     out = df
     if date is not None:
         out = df.withColumn("snapshot_year", F.year(date)).hint("rebalance", F.col("snapshot_year"), F.col(date))
-        out.write.mode("overwrite").partitionBy("snapshot_year").format(fmt).save(path)
-        return
     writer = out.write.mode("overwrite").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True)
+    if date is not None:
+        writer = writer.partitionBy("snapshot_year")
     writer.save(path)
 
 
@@ -57,8 +57,36 @@ def latest_good_snapshot(live: DataFrame, stored: DataFrame) -> DataFrame:
     """Rows of the newest snapshot per dataset.
 
     ``live`` holds the rows of the refreshes that worked; a dataset whose refresh failed or was skipped has none, so
-    its newest stored snapshot is used. Both frames carry ``dataset`` and ``snapshot_date``.
+    its newest stored snapshot is used. Both frames carry ``dataset`` and ``snapshot_date``. Where these partition
+    landed snapshots, the newest dates come from one row per snapshot (at most a date per refresh), and the scan
+    prunes to them.
     """
     both = stored.unionByName(live.select(*stored.columns))
     newest = both.groupBy("dataset").agg(F.max("snapshot_date").alias("snapshot_date"))
-    return both.join(newest, ["dataset", "snapshot_date"], "left_semi").select(*stored.columns)
+    chosen = newest.agg(F.collect_list(F.struct("dataset", "snapshot_date"))).scalar()
+    return both.filter(F.array_contains(chosen, F.struct("dataset", "snapshot_date")))
+
+
+def stored_snapshots(spark: SparkSession, path: str) -> list[tuple[str, str]]:
+    """Datasets and dates of the snapshots landed under ``path``, from the partition folders alone."""
+    rows = spark.read.parquet(path).select("dataset", "snapshot_date").distinct().collect()  # one row per snapshot
+    return sorted((r["dataset"], str(r["snapshot_date"])) for r in rows)
+
+
+def newest_landed(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest snapshot per dataset under a folder partitioned by ``dataset`` and ``snapshot_date``.
+
+    The newest dates are known before the scan, which then reads those folders only.
+    """
+    newest = dict(stored_snapshots(spark, path))  # sorted, so the last date of a dataset stays
+    rows = spark.read.parquet(path)
+    keep = F.lit(False)
+    for name, day in newest.items():
+        keep = keep | ((F.col("dataset") == name) & (F.col("snapshot_date") == F.lit(day).cast("date")))
+    return rows.filter(keep)
+
+
+def land_snapshot(df: DataFrame, path: str) -> None:
+    """Add a snapshot (``dataset``, ``snapshot_date`` and data columns) to a folder; one landed again replaces itself."""
+    writer = df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy("dataset", "snapshot_date").parquet(path)
