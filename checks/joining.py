@@ -330,7 +330,8 @@ def j10(spark, d):
     f"""WITH t AS ({TOP5}), m AS ({SM}) SELECT * FROM m WHERE citizenship NOT IN (SELECT citizenship FROM t)""",
 )
 def j11(spark, d):
-    best = top_with_ties(enc(spark, d).groupBy("citizenship").agg(F.sum("encounter_count").alias("n")), "n", 5)
+    m = landed(months(enc(spark, d), "citizenship"), "months")
+    best = top_with_ties(m.groupBy("citizenship").agg(F.sum("encounter_count").alias("n")), "n", 5)
     return filters.outsiders(months(ship(spark, d), "citizenship"), "citizenship", best, "citizenship")
 
 
