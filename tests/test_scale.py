@@ -47,7 +47,7 @@ def test_fact_scans(measured, facts, name, most):
 
 @pytest.mark.parametrize("name", ["j10_semi_derived_set", "j11_anti_derived_set", "f7_keep_groups", "w3_group_total_on_rows", "d8_ranking_table"])
 def test_raw_facts_are_not_shuffled(measured, facts, name):
-    assert measured(name)[1] < 0.6 * facts
+    assert measured(name)[1] < 0.9 * facts
 
 
 @pytest.mark.parametrize("name", ["s9_latest_good_snapshot", "j10_semi_derived_set", "c9_fill_down"])
