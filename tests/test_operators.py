@@ -229,3 +229,25 @@ def test_latest_two_of_single_month(spark):
     df = inline_table(spark, [("2024-01-01", 5)], "date date, v int")
     got = agg.latest_two(df, "v").first()
     assert (got.latest, got.difference) == (5, None)
+
+
+def test_median_with_nan_and_infinity(spark):
+    cells = [("a", 1.0), ("a", float("inf")), ("a", 5.0), ("b", float("-inf")), ("b", 2.0), ("c", float("nan")), ("c", 1.0), ("c", 3.0), ("d", None)]
+    df = inline_table(spark, [(k, None if v is None else str(v)) for k, v in cells], "k string, v string").withColumn("v", F.col("v").cast("double"))
+    got = {r.k: r.median for r in order.exact_median(df, "v", ["k"], total="all").collect()}
+    assert got == {"a": 5.0, "b": float("-inf"), "c": 3.0, "all": 2.5}  # NaN counts as the largest value
+
+
+def test_median_per_group_against_statistics(spark, hot):
+    values = {}
+    for r in hot.collect():
+        values.setdefault(r.k, []).append(r.v)
+    want = {k: statistics.median(v) for k, v in values.items()} | {"every": statistics.median([x for v in values.values() for x in v])}
+    assert {r.k: r.median for r in order.exact_median(hot, "v", ["k"], total="every").collect()} == want
+
+
+def test_fill_down_keeps_lines_without_number(spark, rows):
+    cells = [(1, "a", "x"), (2, "a", None), (None, "a", None), (None, "a", "y"), (3, None, None), (1, None, "z")]
+    df = inline_table(spark, cells, "line bigint, sheet string, label string")
+    got = rows(order.fill_down(df, ["label"], "line", ["sheet"], size=1), "sheet", "line", "label")
+    assert got == [(None, 1, "z"), (None, 3, "z"), ("a", None, None), ("a", None, "y"), ("a", 1, "x"), ("a", 2, "x")]

@@ -72,7 +72,10 @@ def drop_labels(df: DataFrame, column: str, labels=TOTAL_LABELS, containing: lis
 
 
 def drop_footnote_rows(df: DataFrame, column: str, longest: int = 9) -> DataFrame:
-    """Note rows carry long text where the fiscal year label should be."""
+    """Drop rows whose label is longer than a label can be.
+
+    For a sheet whose notes are known only by their length; the sheet normalisers tell notes by their shape instead.
+    """
     return df.filter(F.length(column) <= longest)
 
 
@@ -118,7 +121,11 @@ def drop_nulls(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
 
 
 def drop_zero_columns(df: DataFrame, but: list[str] | None = None) -> DataFrame:
-    """Drop numeric columns that sum to 0; one aggregate row with one cell per column decides."""
+    """Drop numeric columns that sum to 0; one aggregate row with one cell per column decides.
+
+    The names of the result depend on the data, so that row is computed when the plan is built: the frame's own work runs
+    once then and once more when the result is read. Land an expensive frame first.
+    """
     columns = numeric_columns(df, but)
     if not columns:
         return df
