@@ -5,9 +5,9 @@ a rank and one of ``k`` coordinates; the earliest dart of a coordinate is its mi
 a coordinate with the probability of their generalised Jaccard similarity. Only darts up to the rank where all
 coordinates are likely filled are thrown: about ``k (ln k + 2)`` per text, however many shingles it has.
 
-Texts that share a band are candidates. A bucket is never expanded into pairs: its members meet the member with the
-least id, and in later rounds parts of a bucket that are still apart meet through members drawn anew, until a round
-links nothing.
+Texts that share a band are candidates. A bucket is never expanded into pairs: its members meet the member that meets
+most texts over all its bands (in a group of near copies, the text they come from), and in later rounds parts of a
+bucket that are still apart meet through leading and drawn members, until a round links nothing.
 """
 
 from __future__ import annotations
@@ -86,18 +86,19 @@ def band_keys(values: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.nd
 
 
 def sketch(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, size: int = WORDS) -> DataFrame:
-    """``doc_id``, ``key``, ``digest`` of the text and ``bands`` (empty for texts without words) of every row."""
+    """``doc_id``, ``key``, ``digest`` of the text, ``bands`` (empty for texts without words) and ``weight`` of every row."""
 
     def columns(texts):
-        keys = []
+        out = {"bands": [], "weight": []}
         for t in texts:
             s = shingles(t, size)
-            keys.append(band_keys(signature(s, bands * rows), bands, rows) if len(s[0]) else [])
-        return {"bands": keys}
+            out["bands"].append(band_keys(signature(s, bands * rows), bands, rows) if len(s[0]) else [])
+            out["weight"].append(int(s[1].sum()))
+        return out
 
     text = F.coalesce(F.col("text"), F.lit(""))
     rows_in = docs.select("doc_id", doc_key().alias("key"), F.unhex(F.md5(text.cast("binary"))).alias("digest"), "text")
-    return map_texts(rows_in, columns, "bands array<bigint>")
+    return map_texts(rows_in, columns, "bands array<bigint>, weight bigint")
 
 
 def doc_key():
@@ -106,9 +107,8 @@ def doc_key():
     return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64(text).bitwiseOR(F.lit(-(2**63))))
 
 
-def similar_pairs(pairs: DataFrame, docs: DataFrame, threshold: float, size: int = WORDS) -> DataFrame:
-    """The pairs (``a``, ``b``, keys of documents) whose whole texts reach the threshold."""
-    texts = docs.select(doc_key().alias("key"), "text")
+def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, size: int = WORDS) -> DataFrame:
+    """The pairs (``a``, ``b``) whose whole texts (``key``, ``text``) reach the threshold."""
     one = pairs.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("key")).drop("key")
     two = one.join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("key")).drop("key")
 
@@ -125,19 +125,48 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, threshold: float, size: int
     return two.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _meetings(buckets: DataFrame, labels: DataFrame | None, turn: int) -> DataFrame:
-    """Candidate pairs of a round: in each bucket one part meets every other part, each through one member."""
-    if labels is None:
-        lead = buckets.groupBy("band").agg(F.min("node").alias("a"), F.max("node").alias("_last"))
-        met = buckets.join(lead.filter("a <> _last").drop("_last"), "band")
-        return met.filter("a <> node").select("a", F.col("node").alias("b")).distinct()
-    parts = buckets.join(labels, "node", "left").withColumn("part", F.coalesce("label", "node"))
-    drawn = F.xxhash64("node", "band", F.lit(turn))
-    members = parts.groupBy("band", "part").agg(F.min_by("node", drawn).alias("node"))
-    order = F.xxhash64("part", "band", F.lit(turn))
-    lead = members.groupBy("band").agg(F.min_by("node", order).alias("_a"), F.count("*").alias("_n")).filter("_n > 1")
-    met = members.join(lead, "band").filter("_a <> node")
-    return met.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b")).distinct()
+def _fit(a: str, b: str, threshold: float):
+    """Can texts of these weights be similar enough? The smaller weight over the larger bounds their similarity."""
+    return F.least(a, b) >= F.lit(threshold) * F.greatest(a, b)
+
+
+def _place():
+    """Rank of a text as leader: by the number of texts it meets, ties by a hash."""
+    return F.col("met") * 1024 + F.pmod(F.xxhash64("node"), F.lit(1024))
+
+
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b"))
+
+
+def _meetings(shared: DataFrame, turn: int, threshold: float, draws: int = 4) -> DataFrame:
+    """Candidate pairs of a later round over (``band``, ``node``, ``weight``, ``met``, ``label``) rows of mixed buckets.
+
+    In each bucket one part meets every other part, each through one member: once the leading members meet, and ``draws``
+    times members and parts drawn anew.
+    """
+    seeds = F.explode(F.sequence(F.lit(turn * (draws + 1)), F.lit(turn * (draws + 1) + draws)))
+    drawn = shared.withColumn("_seed", seeds)
+    leading = F.col("_seed") % (draws + 1) == 0
+    place = F.when(leading, _place()).otherwise(F.xxhash64("node", "band", "_seed"))
+    members = drawn.withColumn("_p", place).groupBy("band", "_seed", "label").agg(
+        F.max_by("node", "_p").alias("node"), F.max_by("weight", "_p").alias("weight"), F.max("_p").alias("_p")
+    )
+    order = F.when(leading, F.col("_p")).otherwise(F.xxhash64("label", "band", "_seed"))
+    ranked = members.withColumn("_o", order)
+    lead = ranked.groupBy("band", "_seed").agg(F.max_by("node", "_o").alias("_a"), F.max_by("weight", "_o").alias("_w"))
+    met = ranked.join(lead, ["band", "_seed"]).filter("_a <> node").filter(_fit("weight", "_w", threshold))
+    return _ordered(met).distinct()
+
+
+def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """Labels after the edges have joined their components; only the graph of the labels is searched."""
+    one = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), "a")
+    two = one.join(labels.select(F.col("node").alias("b"), F.col("label").alias("_lb")), "b")
+    merged = components(two.filter("_la <> _lb").select(F.col("_la").alias("a"), F.col("_lb").alias("b")))
+    merged = merged.select(F.col("node").alias("label"), F.col("label").alias("_to"))
+    joined = labels.join(merged, "label", "left").select("node", F.coalesce("_to", "label").alias("label"))
+    return landed(joined, "labels")
 
 
 def near_duplicates(
@@ -151,23 +180,43 @@ def near_duplicates(
     has a document with one. A table without rows gives none.
     """
     sketched = landed(sketch(docs, bands, rows, size), "sketches")
-    same = sketched.groupBy("digest").agg(F.min("key").alias("node"))
-    member = landed(sketched.join(same, "digest").drop("digest"), "members")
-    buckets = member.filter("key = node").select("node", F.explode("bands").alias("band"))
+    # the groups of equal texts stand in a table of their own, so that the join can split a large one
+    same = sketched.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("_n")).filter("_n > 1")
+    same = landed(same.drop("_n"), "same")
+    member = sketched.join(same, "digest", "left").withColumn("node", F.coalesce("node", "key")).drop("digest")
+    member = landed(member, "members")
+    buckets = member.filter("key = node").select("node", "weight", F.explode("bands").alias("band"))
     # rows with one id and several texts: their texts are linked from the start
     several = member.groupBy("key").agg(F.min("node").alias("a"), F.max("node").alias("_b")).filter("a <> _b")
     links = landed(member.join(several, "key").select("a", F.col("node").alias("b")).filter("a <> b").distinct(), "links")
-    tried, labels, turn = None, None, 0
+    # buckets of one text never meet anything; the texts in the others are all that is compared
+    crowd = buckets.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 1")
+    crowded = landed(buckets.join(landed(crowd, "lead"), "band"), "buckets")
+    # how many texts a text meets over all its bands: the source of a group of near copies meets most
+    met = crowded.groupBy("node").agg(F.sum("_n").alias("met"))
+    shared = landed(crowded.drop("_n").join(landed(met, "met"), "node"), "buckets")
+    alive = shared.select("node").distinct()
+    keyed = docs.select(doc_key().alias("key"), "text")
+    texts = landed(keyed.join(alive.withColumnRenamed("node", "key"), "key", "left_semi"), "texts")
+    place = _place()
+    lead = shared.groupBy("band").agg(F.max_by("node", place).alias("_a"), F.max_by("weight", place).alias("_w"))
+    first = shared.join(landed(lead, "lead"), "band").filter("_a <> node").filter(_fit("weight", "_w", threshold))
+    pairs = landed(_ordered(first).distinct(), "pairs")
+    nodes = alive.unionByName(links.select(F.col("a").alias("node"))).unionByName(links.select(F.col("b").alias("node")))
+    labels = nodes.distinct().select("node", F.col("node").alias("label"))
+    tried, turn = pairs, 0
+    found = landed(similar_pairs(pairs, texts, threshold, size), "found")
+    labels = _relabelled(labels, found.unionByName(links))
     while True:
-        pairs = _meetings(buckets, labels, turn)
-        pairs = landed(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = landed(similar_pairs(pairs, docs, threshold, size), "found")
-        turn += 1
-        if labels is not None and found.isEmpty():
+        named = shared.join(labels, "node")
+        mixed = named.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y")
+        named = landed(named.join(landed(mixed.select("band"), "mixed"), "band"), "buckets")
+        shared = named.drop("label")
+        pairs = landed(_meetings(named, turn, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
+        found = landed(similar_pairs(pairs, texts, threshold, size), "found")
+        if found.isEmpty():
             break
-        links = links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        labels = components(links)
+        labels, tried, turn = _relabelled(labels, found), tried.unionByName(pairs), turn + 1
     return member.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
 
 
