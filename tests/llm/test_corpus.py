@@ -60,8 +60,10 @@ def test_consistent_weighted_samples_estimate_similarity(spark):
     rng = random.Random(2)
     base = _words(rng, 60) * 2 + _words(rng, 200)
     texts = [" ".join(base), " ".join(base[:240] + _words(rng, 80)), " ".join(base[60:] + base[60:120])]
-    frame = spark.createDataFrame(list(enumerate(texts)), "id int, body string")
-    sig = {r.id: np.array(r.signature) for r in fingerprints.signatures(frame, ["id"], "body", 256).collect()}
+    frame = spark.createDataFrame([(i, t, texts[0]) for i, t in enumerate(texts)], "id int, body string, other string")
+    rows = fingerprints.signatures(frame, ["id"], "body", "other", 256).collect()
+    sig = {r.id: np.array(r.s) for r in rows}
+    assert all((np.array(r.e) == sig[0]).all() for r in rows)
     for a, b in ((0, 1), (0, 2), (1, 2)):
         true = shingles.similarity(shingles.shingles(texts[a]), shingles.shingles(texts[b]))
         assert abs((sig[a] == sig[b]).mean() - true) < 4 * (true * (1 - true) / 256) ** 0.5 + 0.01
@@ -94,7 +96,7 @@ def test_fingerprints_of_odd_tables(spark, odd, none):
 
 
 def test_fingerprints_run_in_the_jvm(odd):
-    plan = fingerprints.signatures(odd.select("doc_id", "text"), ["doc_id"], "text")._jdf.queryExecution().executedPlan().toString()
+    plan = fingerprints.fingerprint_documents(odd)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan
 
 

@@ -28,49 +28,77 @@ def _two_uniforms(term: Column, salt: int) -> tuple[Column, Column]:
     return (F.shiftrightunsigned(h, 32) + 0.5) * _HALF, (low + 0.5) * _HALF
 
 
-def sample(term: Column, log_weight: Column, k: int) -> Column:
-    """ln a of a weighted term for sample ``k``."""
+def draws(term: Column, k: int) -> tuple[Column, Column, Column]:
+    """ln c, r and b of a term for sample ``k``."""
     u1, u2 = _two_uniforms(term, 3 * k)
     u3, u4 = _two_uniforms(term, 3 * k + 1)
-    b = _two_uniforms(term, 3 * k + 2)[0]
-    r = -F.log(u1 * u2)
-    return F.log(-F.log(u3 * u4)) - r * (F.floor(log_weight / r + b) - b + 1)
+    return F.log(-F.log(u3 * u4)), -F.log(u1 * u2), _two_uniforms(term, 3 * k + 2)[0]
 
 
-def with_terms(df: DataFrame, body: str, words: int = WORDS) -> DataFrame:
-    """One row per distinct shingle of ``body``: ``term`` (hash), ``weight`` (occurrences) and ``first`` (1 for one row).
+def sample(drawn: tuple[Column, Column, Column], log_weight: Column) -> Column:
+    """ln a of a weighted term; null for a null weight."""
+    log_c, r, b = drawn
+    return log_c - r * (F.floor(log_weight / r + b) - b + 1)
 
-    A text with fewer words is one shingle; one without words has the shingle of the empty text. Shingles are hashed,
-    sorted and counted inside the row, so the texts are not shuffled again.
-    """
-    split = df.withColumn("_w", F.split(F.btrim(F.col(body), F.lit(" \t\n\x0b\x0c\r")), "[ \\t-\\r]+")).drop(body)
-    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - words, F.lit(0)))
+
+def _shingles(body: str, words: int, tag: int) -> Column:
+    """Hashes of the runs of ``words`` words of a split text, with ``tag`` as lowest bit."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size(body) - words, F.lit(0)))
     # get() gives null past the end, which the hash skips: a short text is hashed whole
-    hashed = F.transform(starts, lambda i: F.xxhash64(*[F.get("_w", i + j) for j in range(words)]))
-    ordered = split.withColumn("_h", F.sort_array(hashed)).drop("_w")
+    return F.transform(
+        starts, lambda i: F.xxhash64(*[F.get(body, i + j) for j in range(words)]).bitwiseAND(F.lit(-2)).bitwiseOR(F.lit(tag))
+    )
+
+
+def with_terms(df: DataFrame, first: str, second: str, words: int = WORDS) -> DataFrame:
+    """One row per distinct shingle of two texts: ``term`` (hash), its number in each text, ``w0`` and ``w1``, or null.
+
+    A text with fewer words is one shingle; one without words has the shingle of the empty text. The shingles of both texts
+    are hashed, sorted together and counted inside the row, so the texts are not shuffled again and what both share
+    is drawn once. ``lead`` is 1 in one row for each row of ``df``.
+    """
+    split = {n: F.split(F.btrim(F.col(c), F.lit(" \t\n\x0b\x0c\r")), "[ \\t-\\r]+") for n, c in (("_a", first), ("_b", second))}
+    rows = df.withColumns(split).drop(first, second)
+    hashed = F.concat(_shingles("_a", words, 0), _shingles("_b", words, 1))
+    ordered = rows.withColumn("_h", F.sort_array(hashed)).drop("_a", "_b")
     places = F.sequence(F.lit(0), F.size("_h") - 1)
     runs = ordered.withColumn(
         "_s", F.filter(places, lambda i: (i == 0) | (F.get("_h", i) != F.get("_h", F.greatest(i - 1, F.lit(0)))))
     )
     each = runs.withColumn("_j", F.explode(F.sequence(F.lit(0), F.size("_s") - 1)))
-    at = F.get("_s", F.col("_j"))
+    j, none = F.col("_j"), F.lit(None).cast("int")
+    start = F.get("_s", j)
+    after = F.coalesce(F.get("_s", j + 1), F.size("_h"))
+    last = F.coalesce(F.get("_s", j + 2), F.size("_h"))
+    here, nxt = F.get("_h", start), F.get("_h", after)
+    before = F.when(start > 0, F.get("_h", start - 1))
+    tagged = here.bitwiseAND(F.lit(1)) == 1
+    same_next = ~tagged & F.coalesce(nxt == here.bitwiseOR(F.lit(1)), F.lit(False))
+    done = tagged & F.coalesce(before == here.bitwiseAND(F.lit(-2)), F.lit(False))  # counted with the run before it
     return each.select(
-        *[c for c in df.columns if c != body],
-        F.get("_h", at).alias("term"),
-        (F.coalesce(F.get("_s", F.col("_j") + 1), F.size("_h")) - at).alias("weight"),
-        (F.col("_j") == 0).cast("int").alias("first"),
-    )
+        *[c for c in df.columns if c not in (first, second)],
+        here.bitwiseAND(F.lit(-2)).alias("term"),
+        F.when(~tagged, after - start).alias("w0"),
+        F.when(tagged, after - start).when(same_next, last - after).otherwise(none).alias("w1"),
+        (j == 0).cast("int").alias("lead"),
+        done.alias("_done"),
+    ).filter(~F.col("_done")).drop("_done")
 
 
-def signatures(df: DataFrame, keys: list[str], body: str, samples: int = SAMPLES) -> DataFrame:
-    """``keys``, ``signature`` (array of ``samples`` doubles) and ``rows`` (how many rows have these keys).
+def signatures(df: DataFrame, keys: list[str], first: str, second: str, samples: int = SAMPLES) -> DataFrame:
+    """``keys``, ``s`` and ``e`` (the signatures of two texts, arrays of ``samples`` doubles) and ``rows`` (rows with these keys).
 
-    Rows with equal keys must have equal bodies.
+    Rows with equal keys must have equal texts.
     """
-    terms = with_terms(df.select(*keys, body), body).withColumn("_lw", F.log(F.col("weight").cast("double")))
-    least = [F.min(sample(F.col("term"), F.col("_lw"), k)).alias(f"_v{k}") for k in range(samples)]
-    found = terms.groupBy(*keys).agg(*least, F.sum("first").alias("rows"))
-    return found.select(*keys, F.array(*[f"_v{k}" for k in range(samples)]).alias("signature"), "rows")
+    terms = with_terms(df.select(*keys, first, second), first, second)
+    logs = terms.select(*keys, "term", "lead", *[F.log(F.col(w).cast("double")).alias(w) for w in ("w0", "w1")])
+    least = []
+    for k in range(samples):
+        drawn = draws(F.col("term"), k)
+        least += [F.min(sample(drawn, F.col(w))).alias(f"_{w}_{k}") for w in ("w0", "w1")]
+    found = logs.groupBy(*keys).agg(*least, F.sum("lead").alias("rows"))
+    arrays = [F.array(*[f"_{w}_{k}" for k in range(samples)]).alias(n) for w, n in (("w0", "s"), ("w1", "e"))]
+    return found.select(*keys, *arrays, "rows")
 
 
 def fingerprint(signature: str) -> Column:
@@ -134,12 +162,11 @@ def fingerprint_documents(docs: DataFrame, samples: int = SAMPLES) -> DataFrame:
         F.length("text").cast("long").alias("n_chars"),
         F.sha2(F.col("text").cast("binary"), 256).alias("own"),
         F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
-        F.posexplode(F.array("text", "edited")).alias("form", "body"),
+        "text",
+        "edited",
     )
     keys = ["id", "next_id", "n_chars", "own", "edited_sha256"]
-    found = signatures(both, [*keys, "form"], "body", samples)
-    pick = [F.max(F.when(F.col("form") == i, F.col("signature"))).alias(n) for i, n in enumerate(("s", "e"))]
-    paired = landed(found.groupBy(*keys).agg(*pick, F.max("rows").alias("rows")), "signatures")
+    paired = landed(signatures(both, keys, "text", "edited", samples), "signatures")
     following = paired.groupBy(F.col("id").alias("next_id")).agg(F.min("s").alias("n"))
     joined = paired.join(following, "next_id")
     rows = joined.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
