@@ -7,7 +7,9 @@ coordinates are likely filled are thrown: about ``k (ln k + 2)`` per text, howev
 
 Texts that share a band are candidates. A bucket is never expanded into pairs: its members meet the member that meets
 most texts over all its bands (in a group of near copies, the text they come from), and in later rounds parts of a
-bucket that are still apart meet through leading and drawn members, until a round links nothing.
+bucket that are still apart meet through leading and drawn members, until a round links nothing. The texts of buckets
+that are still mixed then meet by an exact join of their rarest shingles (``prefix_pairs``), so no link between them
+is left to chance.
 """
 
 from __future__ import annotations
@@ -27,6 +29,10 @@ BANDS, ROWS = 24, 5
 THRESHOLD = 0.8
 #: Width of the rank cells in which darts are counted.
 CELL = 0.25
+#: Hash ranges in which the texts that hold a shingle are counted, to order shingles by rarity (a power of 2).
+COUNTERS = 1 << 20
+#: Guards the bounds on whole weights against rounding.
+_EPSILON = 1e-6
 
 _GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(0xD1B54A32D192ED03)
@@ -159,6 +165,79 @@ def _meetings(shared: DataFrame, turn: int, threshold: float, draws: int = 4) ->
     return _ordered(met).distinct()
 
 
+def _counter(hashes: np.ndarray) -> np.ndarray:
+    return (hashes >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64)
+
+
+def shingle_counts(texts: DataFrame, size: int = WORDS) -> np.ndarray:
+    """How many texts (``text``) hold the shingles of each hash range; its size does not depend on the table."""
+
+    def run(batches):
+        seen = np.zeros(COUNTERS, np.int64)
+        for part in slices(batches, "text"):
+            for t in part.column("text").to_pylist():
+                np.add.at(seen, _counter(shingles(t, size)[0]), 1)
+        at = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(seen[at])], ["at", "n"])
+
+    summed = texts.select("text").mapInArrow(run, "at bigint, n bigint").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(COUNTERS, np.int32)
+    out[summed.column("at").to_numpy()] = summed.column("n").to_numpy()
+    return out
+
+
+def prefix_pairs(texts: DataFrame, labels: DataFrame, threshold: float, size: int = WORDS) -> DataFrame:
+    """Pairs (``a``, ``b``) of texts (``key``, ``text``) with different labels, among them all that reach the threshold.
+
+    All texts list their shingles in one order, rare ones first. Two similar texts of weights v <= w have at least
+    threshold / (1 + threshold) * (v + w) in common, all of it from their first common shingle on. So that shingle
+    stands so early in both lists that as much is left, and in the first 1 - 2 * threshold / (1 + threshold) of the
+    lighter one. What many texts share stands late: texts that have only a template in common don't meet. The order
+    decides how many pairs are made, never which similar ones are found.
+    """
+    counts = shingle_counts(texts, size)
+
+    def columns(rows):
+        out = {"weight": [], "token": [], "before": []}
+        for t in rows:
+            hashes, n = shingles(t, size)
+            order = np.lexsort((hashes, counts[_counter(hashes)]))
+            before = np.cumsum(n[order]) - n[order]
+            weight = int(n.sum())
+            early = before <= weight * (1 - threshold) + _EPSILON
+            out["weight"].append(weight)
+            out["token"].append(hashes[order][early].view(np.int64))
+            out["before"].append(before[early])
+        return out
+
+    listed = map_texts(texts.select("key", "text"), columns, "weight bigint, token array<bigint>, before array<bigint>")
+    rows = listed.select("key", "weight", F.explode(F.arrays_zip("token", "before")).alias("_s"))
+    rows = rows.select("key", "weight", "_s.token", "_s.before").join(labels.withColumnRenamed("node", "key"), "key")
+    common = F.lit(threshold / (1 + threshold))
+    rest = F.col("weight") - F.col("before")
+    rows = landed(rows.withColumn("light", rest >= common * 2 * F.col("weight") - _EPSILON), "prefixes")
+    # a token of one part joins nothing; of a token's largest part no member meets another
+    parts = rows.groupBy("token", "label").agg(F.count("*").alias("_n"), F.max("light").alias("_light"))
+    lead = parts.groupBy("token").agg(
+        F.max_by("label", F.struct("_n", "label")).alias("_most"), F.count("*").alias("_n"), F.max("_light").alias("_light")
+    )
+    lead = landed(lead.filter("_n > 1 and _light").select("token", "_most"), "lead")
+    mixed = landed(rows.join(lead, "token"), "prefixes")
+    light = mixed.filter("light").drop("light").withColumnsRenamed(
+        {"key": "_a", "weight": "_v", "before": "_p", "label": "_l"}
+    )
+
+    def met(one: DataFrame, two: DataFrame) -> DataFrame:
+        left = F.least(F.col("_v") - F.col("_p"), F.col("weight") - F.col("before"))
+        enough = left >= common * (F.col("_v") + F.col("weight")) - _EPSILON
+        found = one.drop("_most").join(two.drop("_most", "light"), "token")
+        return found.filter("_l <> label").filter("_v <= weight").filter(enough).select("_a", F.col("key").alias("node"))
+
+    few = met(light.filter("_l <> _most"), mixed)
+    many = met(light.filter("_l = _most"), mixed.filter("label <> _most"))
+    return _ordered(few.unionByName(many)).distinct()
+
+
 def _relabelled(labels: DataFrame, edges: DataFrame) -> DataFrame:
     """Labels after the edges have joined their components; only the graph of the labels is searched."""
     one = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("_la")), "a")
@@ -217,6 +296,14 @@ def near_duplicates(
         if found.isEmpty():
             break
         labels, tried, turn = _relabelled(labels, found), tried.unionByName(pairs), turn + 1
+    # two texts alone in a bucket have met in the first round; any others that are still apart meet exactly
+    open_bands = named.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 2").select("band")
+    apart = landed(named.join(open_bands, "band", "left_semi").select("node", "label").distinct(), "apart")
+    if not apart.isEmpty():
+        left = landed(texts.join(apart.select(F.col("node").alias("key")), "key", "left_semi"), "texts")
+        pairs = prefix_pairs(left, apart, threshold, size).join(tried, ["a", "b"], "left_anti")
+        found = landed(similar_pairs(landed(pairs, "pairs"), texts, threshold, size), "found")
+        labels = _relabelled(labels, found)
     return member.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
 
 
