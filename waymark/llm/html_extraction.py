@@ -3,7 +3,9 @@
 Every block element has characters per tag, adjusted for the share of its links. The element whose children's
 densities sum highest is the core of the article; other elements at least as dense as the thinnest element between the
 core and the body belong to it too. All text below their common ancestor is kept, but for parts that are boilerplate by
-their element, role or name.
+their element or role. A name (class or id) only keeps a part out of that choice: below the chosen ancestor such a part
+goes only when it is thinner than the threshold, inside an article or main element only when most of it is links, and
+headings never go by their names.
 """
 
 from __future__ import annotations
@@ -26,10 +28,11 @@ _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea xmp svg math object canvas audio video title".split())
+RAW = frozenset("script style noscript template iframe textarea canvas audio video title annotation annotation-xml".split())
 INLINE = frozenset(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span "
-    "strike strong sub sup time tt u var wbr br".split()
+    "strike strong sub sup time tt u var wbr br "
+    "math semantics mrow mi mo mn ms mtext mspace mstyle msup msub msubsup mfrac msqrt mroot mover munder munderover".split()
 )
 DROPPED = frozenset("nav footer aside form button select option menu dialog fieldset datalist head".split())
 ROLES = frozenset(
@@ -46,16 +49,18 @@ NAMES = re.compile(
 #: Elements that end an open paragraph, and that end an open element of their own kind.
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 LISTS = frozenset("ul ol dl table menu".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "named", "holds_title", "chars", "tags", "link_chars", "link_tags", "sum")
+    __slots__ = ("tag", "parent", "children", "named", "holds_title", "out", "chars", "tags", "link_chars", "link_tags", "sum")
 
     def __init__(self, tag: str, parent: "Node | None", named: bool = False):
         self.tag, self.parent, self.named = tag, parent, named
         self.children: list[Node | str] = []  # strings are pieces of text
         self.holds_title = False
+        self.out = False  # boilerplate by name
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.sum = 0.0
 
@@ -104,6 +109,13 @@ def parse(page: str) -> Node:
                 at = end.end() if end else n
             node.children.append(" ")
             continue
+        if not closing and tag == "xmp":  # its markup is text
+            end = re.compile(r"</xmp\b[^>]*(?:>|\Z)", re.I).search(page, at)
+            child = Node("pre", node)
+            child.children.append(html.escape(page[at : end.start() if end else n]))
+            node.children.append(child)
+            at = end.end() if end else n
+            continue
         if tag == "a":
             if closing:
                 open_links = max(0, open_links - 1)
@@ -178,18 +190,23 @@ def _in_article(node: Node) -> bool:
 
 
 def prune(root: Node) -> None:
-    """Take out boilerplate. A part that holds the title or the article is only taken out for its element's sake."""
-    todo = [root]
+    """Take out boilerplate by element and role; mark that by name.
+
+    A part that holds the title or the article is only taken out for its element's sake; headings, and what is inside
+    them or an article, are not marked.
+    """
+    todo = [(root, False)]
     while todo:
-        node = todo.pop()
+        node, spared = todo.pop()
+        spared = spared or node.tag in HEADINGS or node.tag in ("article", "main")
         kept: list[Node | str] = []
         for c in node.children:
             if isinstance(c, Node):
-                gone = c.tag in DROPPED or c.named and not c.holds_title
-                if gone or c.tag == "header" and not (c.holds_title and _in_article(c)):
+                if c.tag in DROPPED or c.tag == "header" and not (c.holds_title and _in_article(c)):
                     kept.append(" ")
                     continue
-                todo.append(c)
+                c.out = c.named and not (spared or c.holds_title or c.tag in HEADINGS)
+                todo.append((c, spared))
             kept.append(c)
         node.children = kept
 
@@ -200,10 +217,12 @@ def measure(root: Node) -> list[Node]:
     while todo:
         node = todo.pop()
         order.append(node)
-        todo.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        todo.extend(c for c in reversed(node.children) if isinstance(c, Node) and not c.out)
     for node in reversed(order):
         for c in node.children:
             if isinstance(c, Node):
+                if c.out:
+                    continue
                 node.chars += c.chars
                 node.tags += c.tags + 1
                 node.link_chars += c.link_chars
@@ -227,18 +246,37 @@ def density(node: Node, body: Node) -> float:
     return c / t * max(math.log(max(c * t / (links * link_tags), 1.0)) / base, 0.0)
 
 
-def content_root(root: Node) -> Node:
+def settle_names(top: Node, root: Node, threshold: float) -> None:
+    """Decide below the chosen node which parts go by their names, once the page is measured."""
+    todo = [(top, _in_article(top))]
+    while todo:
+        node, inside = todo.pop()
+        inside = inside or node.tag in ("article", "main")
+        for c in node.children:
+            if not isinstance(c, Node):
+                continue
+            if c.out:
+                measure(c)
+                c.out = density(c, root) < threshold
+            elif c.named and inside and not c.holds_title and c.tag not in HEADINGS:
+                c.out = 2 * c.link_chars > c.chars
+            if not c.out:
+                todo.append((c, inside))
+
+
+def content_root(root: Node) -> tuple[Node, float]:
+    """The element that holds the main text, and the least density on the way from its core to the body."""
     order = measure(root)
     core = max(order, key=lambda x: x.sum)  # the outermost of equals comes first
     if not core.chars:
-        return root
+        return root, math.inf
     path = [core]
     while path[-1].parent is not None:
         path.append(path[-1].parent)
+    threshold = min(density(x, root) for x in path)
     for node in path:
         if node.tag in ("article", "main"):
-            return node
-    threshold = min(density(x, root) for x in path)
+            return node, threshold
     chosen = [core]
     for node in path[:-1]:
         chosen += [s for s in node.parent.children if isinstance(s, Node) and s is not node and s.chars and density(s, root) >= threshold]
@@ -247,7 +285,7 @@ def content_root(root: Node) -> Node:
         while line[-1].parent is not None:
             line.append(line[-1].parent)
     common = set(map(id, ancestors[0])).intersection(*[set(map(id, line)) for line in ancestors[1:]])
-    return next(x for x in ancestors[0] if id(x) in common)
+    return next(x for x in ancestors[0] if id(x) in common), threshold
 
 
 def blocks(node: Node) -> list[str]:
@@ -268,6 +306,8 @@ def blocks(node: Node) -> list[str]:
             flush()
         elif isinstance(x, str):
             run.append(x)
+        elif x.out:
+            run.append(" ")
         elif x.tag == "span":
             todo.extend(reversed(x.children))
         else:
@@ -284,7 +324,9 @@ def main_text(page: str | None) -> str:
         return ""
     root = parse(page)
     prune(root)
-    return "\n".join(blocks(content_root(root)))
+    top, threshold = content_root(root)
+    settle_names(top, root, threshold)
+    return "\n".join(blocks(top))
 
 
 def extract_pages(pages: DataFrame) -> DataFrame:
