@@ -30,3 +30,10 @@ def test_readable_text_of_embedded_elements_stays():
     math = "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>"
     page = f"<article><p>{LONG}Let {math} hold.</p><svg><title>t</title><text>A label</text></svg><object><p>Instead</p></object><xmp>a <b> c</xmp></article>"
     assert main_text(page).split("\n") == [f"{LONG}Let x=2 hold.", "A label", "Instead", "a <b> c"]
+
+
+@pytest.mark.parametrize("open_, close", [("<main>", "</main>"), ("<article>", "</article>"), ("<div>", "</div>")])
+def test_all_articles_of_a_page_count(open_, close):
+    articles = "".join(f"<article><h2>Part {i}</h2>{f'<p>{LONG}</p>' * (i + 2)}</article>" for i in range(3))
+    text = main_text(f"<body><div><a href=1>one</a> <a href=2>two</a></div>{open_}{articles}{close}</body>")
+    assert [text.count(f"Part {i}") for i in range(3)] == [1, 1, 1] and text.count(LONG.strip()) == 9 and "one" not in text

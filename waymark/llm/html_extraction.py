@@ -2,7 +2,8 @@
 
 Every block element has characters per tag, adjusted for the share of its links. The element whose children's
 densities sum highest is the core of the article; other elements at least as dense as the thinnest element between the
-core and the body belong to it too. All text below their common ancestor is kept, but for parts that are boilerplate by
+core and the body belong to it too. All text below their common ancestor, or the outermost article or main element
+around it, is kept, but for parts that are boilerplate by
 their element or role. A name (class or id) only keeps a part out of that choice: below the chosen ancestor such a part
 goes only when it is thinner than the threshold, inside an article or main element only when most of it is links, and
 headings never go by their names.
@@ -274,9 +275,6 @@ def content_root(root: Node) -> tuple[Node, float]:
     while path[-1].parent is not None:
         path.append(path[-1].parent)
     threshold = min(density(x, root) for x in path)
-    for node in path:
-        if node.tag in ("article", "main"):
-            return node, threshold
     chosen = [core]
     for node in path[:-1]:
         chosen += [s for s in node.parent.children if isinstance(s, Node) and s is not node and s.chars and density(s, root) >= threshold]
@@ -285,7 +283,9 @@ def content_root(root: Node) -> tuple[Node, float]:
         while line[-1].parent is not None:
             line.append(line[-1].parent)
     common = set(map(id, ancestors[0])).intersection(*[set(map(id, line)) for line in ancestors[1:]])
-    return next(x for x in ancestors[0] if id(x) in common), threshold
+    top = next(x for x in ancestors[0] if id(x) in common)
+    whole = [x for x in ancestors[0][ancestors[0].index(top) :] if x.tag in ("article", "main")]
+    return (whole[-1] if whole else top), threshold
 
 
 def blocks(node: Node) -> list[str]:
