@@ -2,7 +2,8 @@
 
 A run is a sorted table (line hash, number of documents, last document). Every batch of documents becomes a run of
 level 0; when a level has ``fanout`` runs they are merged into one run of the next level, so a key is rewritten only
-once per level. A batch is anti-joined with the runs to find the lines that are new.
+once per level. ``add_new`` anti-joins a batch with the runs to find the lines that are new; ``dedup_lines`` needs only the
+counts of all batches and does not.
 """
 
 from __future__ import annotations
