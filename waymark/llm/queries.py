@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm import (
@@ -15,8 +15,11 @@ from waymark.llm import (
     near_dedup,
     quality,
     sharding,
+    spelling,
     token_counts,
     toxicity,
+    whitening,
+    word_bpe,
 )
 from waymark.llm.common import table
 
@@ -122,6 +125,35 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN marks USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
+
+
+def op11(spark: SparkSession, d: str) -> DataFrame:
+    vectors = table(spark, d, "embeddings").select("vec_id", "embedding")
+    model = whitening.fit_whitening(vectors, components=32)
+    return whitening.component_rows(whitening.whiten(vectors, model), model, "vec_id")
+
+
+def op12(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    return spelling.spelling_variants(spelling.varied_words(docs))
+
+
+def digest(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op13(spark: SparkSession, d: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coded = word_bpe.encode_texts(table(spark, d, "documents").select("doc_id", "text"), path)
+    both = word_bpe.decode_ids(coded, path)
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("long").alias("n_tokens"),
+        digest(F.array_join(F.col("ids").cast("array<string>"), " ")).alias("ids_sha256"),
+        digest(F.col("decoded")).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_fingerprints": op1,
     "op2_token_counts": op2,
@@ -133,5 +165,8 @@ QUERIES = {
     "op8_line_dedup": op8,
     "op9_html_extraction": op9,
     "op10_decontamination": op10,
+    "op11_whitening": op11,
+    "op12_spelling": op12,
+    "op13_word_bpe": op13,
 }
 ORACLES = {"op7_mixing": OP7_SQL, "op8_line_dedup": OP8_SQL, "op10_decontamination": OP10_SQL}
