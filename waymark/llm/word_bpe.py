@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
-from waymark.llm.common import map_texts, per_task, slices
+from waymark.llm.common import map_texts, per_task
 from waymark.llm.token_counts import WS, byte_symbols
 
 # The word pattern of the vocabulary file for characters below U+0250.
@@ -33,6 +33,8 @@ NO_RANK = 1 << 60
 SCANNED = 256
 #: Distinct words that a worker remembers (longer ones than ``SCANNED`` are not); beyond it the table starts anew.
 REMEMBERED = 1 << 18
+#: Ids that are spelled out at once, in whole rows.
+SPELLED = 1 << 18
 
 
 def load_vocabulary(path: str) -> dict:
@@ -190,11 +192,21 @@ def decode_ids(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded"
     df = df.drop(name)
     full = StructType([*df.schema.fields, *StructType.fromDDL(f"`{name}` string").fields])
 
+    def row_ranges(batches):
+        for batch in batches:
+            ends = np.cumsum(pc.fill_null(pc.list_value_length(batch.column(ids)), 0).to_numpy(zero_copy_only=False))
+            start = 0
+            while start < len(ends):
+                held = int(ends[start - 1]) if start else 0
+                stop = max(int(np.searchsorted(ends, held + SPELLED, "right")), start + 1)
+                yield batch.slice(start, stop - start)
+                start = stop
+
     def run(batches):
         from pyspark.sql.pandas.types import to_arrow_schema
 
         schema = to_arrow_schema(full)
-        for batch in batches:
+        for batch in row_ranges(batches):
             lists = batch.column(ids)
             flat = lists.flatten()
             inside = pc.fill_null(pc.and_(pc.greater_equal(flat, 0), pc.less(flat, len(tokens))), False)
