@@ -251,3 +251,37 @@ def test_fill_down_keeps_lines_without_number(spark, rows):
     df = inline_table(spark, cells, "line bigint, sheet string, label string")
     got = rows(order.fill_down(df, ["label"], "line", ["sheet"], size=1), "sheet", "line", "label")
     assert got == [(None, 1, "z"), (None, 3, "z"), ("a", None, None), ("a", None, "y"), ("a", 1, "x"), ("a", 2, "x")]
+
+
+def test_median_of_a_million_groups(spark):
+    df = spark.range(3_000_000).selectExpr("id % 1000000 as g", "cast(id div 1000000 + (id % 1000000) % 7 as double) as v")
+    got = order.exact_median(df, "v", ["g"], total="0")
+    wrong = got.filter("g is not null").filter("median != 1 + g % 7").count()
+    assert got.count() == 1_000_001 and wrong <= 1  # the total is labelled 0 too
+
+
+def test_median_cuts_blocks_with_many_values(spark, monkeypatch):
+    monkeypatch.setattr(order, "MEDIAN_VALUES", 5)
+    monkeypatch.setattr(order, "MEDIAN_CELLS", 4)
+    rng = random.Random(4)
+    rows = [(g, 1_000_000.0 + rng.random() ** 3 * (50 if g == "wide" else 0.001)) for g in ("wide", "narrow", None) for _ in range(701)]
+    df = spark.createDataFrame([*rows, ("one", 3.0)], "g string, v double")
+    want = {g: statistics.median([v for k, v in rows if k == g]) for g in ("wide", "narrow", None)} | {"one": 3.0}
+    want["every"] = statistics.median([v for _, v in rows] + [3.0])
+    assert {r.g: r.median for r in order.exact_median(df, "v", ["g"], total="every").collect()} == want
+    whole = spark.createDataFrame([(v,) for _, v in rows], "v double")
+    assert order.exact_median(whole, "v").first().median == statistics.median([v for _, v in rows])
+
+
+def test_no_median_join_on_the_block_alone(spark):
+    df = spark.createDataFrame([(f"g{i % 3}", float(i)) for i in range(50)], "g string, v double")
+    seen = []
+    real = order.landed
+    order.landed = lambda frame, label: (seen.append(frame), real(frame, label))[1]
+    try:
+        order.exact_median(df, "v", ["g"], total="all").collect()
+    finally:
+        order.landed = real
+    plans = "\n".join(f._jdf.queryExecution().optimizedPlan().toString() for f in seen)
+    joins = [line for line in plans.splitlines() if "Join" in line]
+    assert joins and all("_k0" in line and "_block" in line for line in joins)

@@ -137,56 +137,132 @@ def fill_down(
     )
 
 
-def exact_median(
-    df: DataFrame, value: str, by: list[str] | None = None, name: str = "median", total: str | None = None
+def nearest(
+    df: DataFrame,
+    line: str,
+    before: dict[str, Column] | None = None,
+    after: dict[str, Column] | None = None,
+    by: list[str] | None = None,
+    own: bool = True,
+    size: int = BLOCK_LINES,
 ) -> DataFrame:
-    """Exact median per group (or overall), and with ``total`` also over all groups, labelled so in the first column.
+    """Add the nearest earlier (``before``) and later (``after``) non-null value of expressions, in line order.
 
-    A first pass counts rows per block of values (a few thousand counters per group). They tell which blocks hold the
-    middle ranks, at most two per group; these are written out, so that the planner knows their size when it chooses
-    how the second pass meets them. Only the rows of those blocks are counted per value and ranked.
+    ``own`` counts the row itself. Works in blocks like ``fill_down``: one window inside blocks of ``size`` lines, and a
+    row per block that carries. Every row needs a line number.
     """
-    by = list(by or [])
-    rows = df.filter(F.col(value).isNotNull()).select(*by, value, magnitude_block(value, 256).alias("_block"))
-    counts = rows.groupBy(*by, "_block").agg(F.count(F.lit(1)).alias("_n"))
-    if total is not None:
-        counts = landed(counts, "counts")
-
-    def middle_blocks(counted: DataFrame, keys: list[str]) -> DataFrame:
-        upto = Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, 0)
-        placed = counted.withColumns({"_upto": F.sum("_n").over(upto), "_all": F.sum("_n").over(Window.partitionBy(*keys))})
-        low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
-        carry = F.col("_upto") - F.col("_n")
-        hit = placed.filter((low <= F.col("_upto")) & (high > carry))
-        return hit.select(*keys, "_block", carry.alias("_carry"), "_all", F.lit(len(keys) < len(by)).alias("_over"))
-
-    middle = middle_blocks(counts, by)
-    if total is not None and by:
-        whole = middle_blocks(counts.groupBy("_block").agg(F.sum("_n").alias("_n")), [])
-        middle = middle.unionByName(whole, allowMissingColumns=True)
-    middle = landed(middle, "middle")
-    on = F.col("l._block") == F.col("r._block")
-    if by:
-        same = F.lit(True)
-        for c in by:
-            same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
-        on = on & (F.col("r._over") | same) if total is not None else on & same
-    inside = rows.alias("l").join(middle.alias("r"), on)
-    inside = inside.select(*[F.col(f"r.{c}") for c in by], f"l.{value}", "r._block", "r._carry", "r._all", "r._over")
-    keys = [*by, "_over", "_block"]
-    values = inside.groupBy(*keys, value, "_carry", "_all").agg(F.count(F.lit(1)).alias("_n"))
-    step = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
-    ranked = values.withColumn("_upto", F.col("_carry") + F.sum("_n").over(step))
-    low, high = F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+    by, before, after = list(by or []), before or {}, after or {}
+    named = {f"_by{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for i, c in enumerate(by)}
+    both = {**before, **after}
+    rows = df.withColumns({**named, "_block": line_block(line, size), **{f"_e_{c}": e for c, e in both.items()}})
+    keys, edge = [*named, "_block"], 0 if own else 1
+    inside = Window.partitionBy(*keys).orderBy(line)
+    upto, since = inside.rowsBetween(Window.unboundedPreceding, -edge), inside.rowsBetween(edge, Window.unboundedFollowing)
+    blocks = Window.partitionBy(*named).orderBy("_block")
+    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
+    place = {c: F.when(F.col(f"_e_{c}").isNotNull(), F.col(line)) for c in both}
+    ends = rows.groupBy(*keys).agg(
+        *[F.max_by(f"_e_{c}", place[c]).alias(f"_c_{c}") for c in before],
+        *[F.min_by(f"_e_{c}", place[c]).alias(f"_c_{c}") for c in after],
+    )
+    carry = ends.select(
+        *keys,
+        *[F.last(f"_c_{c}", ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in before],
+        *[F.first(f"_c_{c}", ignorenulls=True).over(later).alias(f"_c_{c}") for c in after],
+    )
+    here = {f"_h_{c}": F.last(f"_e_{c}", ignorenulls=True).over(upto) for c in before}
+    here |= {f"_h_{c}": F.first(f"_e_{c}", ignorenulls=True).over(since) for c in after}
+    joined = rows.withColumns(here).join(carry, keys)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in both])
+
+
+#: Distinct values that one window of the median may sort, and the cells that a wider stretch of values is cut into.
+MEDIAN_VALUES, MEDIAN_CELLS = 100_000, 4_096
+
+
+def _middle_ranks() -> tuple[Column, Column]:
+    return F.floor((F.col("_all") + 1) / 2), F.floor((F.col("_all") + 2) / 2)
+
+
+def _middle_cells(counted: DataFrame, keys: list[str], cell: str) -> DataFrame:
+    """Of counted cells (``_n`` rows, ``_carry`` rows before the first, ``_all`` in the group) those with a middle rank."""
+    upto = Window.partitionBy(*keys).orderBy(cell).rowsBetween(Window.unboundedPreceding, 0)
+    placed = counted.withColumn("_upto", F.col("_carry") + F.sum("_n").over(upto))
+    low, high = _middle_ranks()
+    start = F.col("_upto") - F.col("_n")
+    return placed.filter((low <= F.col("_upto")) & (high > start)).select(*keys, cell, start.alias("_carry"), "_all")
+
+
+def _median_of_cells(values: DataFrame, keys: list[str], firsts: list[Column], value: str, name: str) -> DataFrame:
+    """Median per group from the distinct values (``_n`` rows each) of the blocks that hold a middle rank.
+
+    While a block holds more distinct values than one window should sort, it is cut into equal cells, of which only those
+    with a middle rank are kept.
+    """
+    held = [*keys, "_block", "_carry", "_all"]
+    while True:
+        cells = values.groupBy(*held).agg(F.count(F.lit(1)).alias("_values"), F.min(value).alias("_low"), F.max(value).alias("_high"))
+        if cells.filter(F.col("_values") > MEDIAN_VALUES).isEmpty():
+            break
+        step = (F.col("_high").cast("double") - F.col("_low")) / MEDIAN_CELLS
+        place = F.least(F.floor((F.col(value) - F.col("_low")) / step), F.lit(MEDIAN_CELLS - 1))
+        cell = F.when(F.col("_values") > MEDIAN_VALUES, place).otherwise(0)
+        cut = values.join(cells.drop("_carry", "_all"), [*keys, "_block"]).withColumn("_cell", cell)
+        sized = cut.groupBy(*held, "_cell").agg(F.sum("_n").alias("_n"))
+        middle = _middle_cells(sized, [*keys, "_block"], "_cell").select(*keys, "_block", "_cell", F.col("_carry").alias("_from"))
+        kept = cut.join(middle, [*keys, "_block", "_cell"])
+        # a kept cell is the next block; the rows before it number it, in order and once per group
+        blocks = {"_block": F.col("_from"), "_carry": F.col("_from")}
+        values = landed(kept.withColumns(blocks).select(*values.columns), "values")
+    upto = Window.partitionBy(*keys, "_block").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    ranked = values.withColumn("_upto", F.col("_carry") + F.sum("_n").over(upto))
+    low, high = _middle_ranks()
 
     def at(position):
         return (position > F.col("_upto") - F.col("_n")) & (position <= F.col("_upto"))
 
     middle_two = F.max(F.when(at(low), F.col(value))) + F.max(F.when(at(high), F.col(value)))
-    out = ranked.groupBy(*by, "_over").agg((middle_two / F.lit(2.0)).alias(name))
+    return ranked.groupBy(*keys).agg(*firsts, (middle_two / F.lit(2.0)).alias(name)).drop(*keys)
+
+
+def exact_median(
+    df: DataFrame, value: str, by: list[str] | None = None, name: str = "median", total: str | None = None
+) -> DataFrame:
+    """Exact median per group (or overall), and with ``total`` also over all groups, labelled so in the first column.
+
+    A first pass counts rows per block of values (a few thousand counters per group). They tell which blocks hold the
+    middle ranks, at most two per group; a second pass counts the values of those blocks, which rows meet on group and
+    block (the total's one or two blocks are conditions of the same pass), and only these values are ranked. A block with
+    very many values is cut again. Runs jobs at once; counts and values lie in the shared folder.
+    """
+    by = list(by or [])
+    keys = [f"_k{i}" for i in range(len(by))]
+    # names that are never null, so that equal keys are plain equalities
+    named = {k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c, k in zip(by, keys)}
+    firsts = [F.first(c).alias(c) for c in by]
+    rows = df.filter(F.col(value).isNotNull()).select(*by, value, magnitude_block(value, 256).alias("_block")).withColumns(named)
+    counts = landed(rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n")), "counts")
+
+    def middle(counted: DataFrame, of: list[str]) -> DataFrame:
+        whole = F.sum("_n").over(Window.partitionBy(*of))
+        return _middle_cells(counted.withColumns({"_carry": F.lit(0).cast("long"), "_all": whole}), of, "_block")
+
+    over = []
     if total is not None and by:
-        out = out.withColumn(by[0], F.when(F.col("_over"), F.lit(total)).otherwise(F.col(by[0])))
-    return out.drop("_over")
+        over = middle(counts.groupBy("_block").agg(F.sum("_n").alias("_n")), []).collect()  # two rows at most
+    met = rows.join(landed(middle(counts, keys), "middle"), [*keys, "_block"], "left" if over else "inner")
+    if over:
+        met = met.filter(F.col("_all").isNotNull() | F.col("_block").isin([r["_block"] for r in over]))
+    counted = met.groupBy(*keys, "_block", "_carry", "_all", value).agg(F.count(F.lit(1)).alias("_n"), *firsts)
+    values = landed(counted, "values")
+    out = _median_of_cells(values.filter("_all is not null"), keys, firsts, value, name)
+    if not over:
+        return out
+    place = F.create_map(*[F.lit(x).cast("long") for r in over for x in (r["_block"], r["_carry"])])
+    of_all = values.filter(F.col("_block").isin([r["_block"] for r in over])).groupBy("_block", value).agg(F.sum("_n").alias("_n"))
+    of_all = of_all.withColumns({"_carry": place[F.col("_block").cast("long")], "_all": F.lit(over[0]["_all"])})
+    whole = _median_of_cells(of_all, [], [], value, name).select(F.lit(total).alias(by[0]), name)
+    return out.unionByName(whole, allowMissingColumns=True)
 
 
 def top_with_ties(df: DataFrame, value: str, n: int, name: str = "rank") -> DataFrame:
