@@ -109,6 +109,32 @@ def d40(spark, d):
     return sheets.agency_sheet(_sheet(wide, columns), residual=True)
 
 
+#: First-row labels of the fiscal years: years in other words, one missing, one unreadable, one on a row of its own.
+YEAR_LABELS = {1995: "Fiscal Year 1995", 1996: "1996*", 1998: "1998 YTD", 1999: "n/a †", 2001: "2001 (FYTD)"}
+
+
+@check(
+    "d40_year_labels",
+    "enc",
+    f"SELECT date, lower(component) AS part, {S} AS encounter_count FROM enc GROUP BY 1, 2 HAVING sum(encounter_count) >= 300",
+)
+def d40_labels(spark, d):
+    m = months(enc(spark, d).withColumn("c", F.lower("component")), "c")
+    columns = ["a", "n", "r"]
+    wide = to_wide(m, ["date"], "c", columns, "encounter_count", fill=0)
+    plain = _sheet(wide, columns)
+    label = F.create_map(*[F.lit(x) for pair in YEAR_LABELS.items() for x in pair])
+    spoken = F.when(F.col("fiscal_year").isNotNull(), F.try_element_at(label, F.substring("fiscal_year", 1, 4).try_cast("int")))
+    body = plain.withColumn("fiscal_year", spoken)
+    heads = plain.filter("fiscal_year is not null")
+    blank = [F.lit(None).cast("string").alias(c) for c in columns]
+    # the label of 2000 stands on a row above its first month, a note in the second row of every year
+    above = heads.filter("fiscal_year like '2000%'").select(F.lit("FY 2000").alias("fiscal_year"), F.lit("").alias("month"), (F.col("line") * 2 - 1).alias("line"), *blank)
+    notes = heads.select(F.lit("Figures of 1994 were revised").alias("fiscal_year"), F.lit(None).cast("string").alias("month"), (F.col("line") * 2 + 1).alias("line"), *blank)
+    whole = body.withColumn("line", F.col("line") * 2).unionByName(above).unionByName(notes)
+    return sheets.agency_sheet(whole, key="name").select("date", F.lower("name").alias("part"), "encounter_count")
+
+
 @check(
     "d41_country_month_sheet",
     "enc",

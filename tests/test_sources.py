@@ -196,3 +196,72 @@ def test_month_headers_with_years_and_recoded_names(spark, rows):
     got = rows(sheets.country_month_sheet(df, "pais", ["jan22", "ene_2023"], exact=NAME_EXACT, parts=NAME_PARTS))
     a, b = dt.date(2022, 1, 1), dt.date(2023, 1, 1)
     assert got == [("Brazil", a, 1), ("Brazil", b, 2), ("Dominican Republic", a, 7), ("Dominican Republic", b, 5)]
+
+
+def year_sheet(spark, rows):
+    cells = [(label, month, i, "7") for i, (label, month) in enumerate(rows)]
+    return inline_table(spark, cells, "fiscal_year string, month string, line bigint, cuba string")
+
+
+def years_of(spark, rows, **options):
+    got = sheets.agency_sheet(year_sheet(spark, rows), **options).orderBy("date").collect()
+    return [r.date.isoformat()[:7] for r in got]
+
+
+@pytest.mark.parametrize("second", ["2024*", "Fiscal Year 2024", "2024 YTD", "FY24", " 2024 (FYTD) ", "2024 revised in 2025"])
+def test_labels_of_any_wording_start_their_year(spark, second):
+    rows = [("2023", "October"), (None, "November"), (None, "Total"), (second, "October"), ("", "November"), (None, "December")]
+    assert years_of(spark, rows) == ["2022-10", "2022-11", "2023-10", "2023-11", "2023-12"]
+
+
+@pytest.mark.parametrize("step", [1, -1])
+def test_missing_and_unreadable_labels_are_counted_from_their_neighbours(spark, step):
+    year = lambda k: str(2020 + step * k)
+    rows = [(year(0), "October"), (None, "May"), (None, "October"), (None, "May"), ("see note", "October"), (None, "May"), (year(3), "October")]
+    want = [f"{2020 + step * k - (m == 10)}-{m:02d}" for k in range(4) for m in (10, 5) if (k, m) != (3, 5)]
+    assert years_of(spark, rows) == sorted(want)
+
+
+@pytest.mark.parametrize(
+    "rows",
+    [
+        [("2023", "October"), (None, "November"), (None, "October")],  # a year without a label at the end
+        [("2023", "October"), ("n/a", "November")],  # an unreadable label, no other to count from
+        [("2022", "October"), (None, "May"), (None, "October"), (None, "May"), ("2025", "October")],  # two starts, three years
+        [(None, "May"), ("2023", "October")],  # no label before the first start
+        [("2023", "October"), (None, "May"), (None, "October"), ("Ending in autumn", "May"), ("2026", "October")],
+        [("2023", "October"), (None, "May"), ("2023", "October")],  # a year that repeats the label of the last one
+        [("2023", "October"), (None, "May"), ("2023", ""), (None, "October")],  # a year total taken for a label
+        [("12345", "October")],  # not a year
+    ],
+)
+def test_years_that_stay_unknown_fail(spark, rows):
+    with pytest.raises(Exception, match="at line"):
+        years_of(spark, rows)
+
+
+def test_labels_on_their_own_rows_and_notes(spark):
+    rows = [("Agency encounters, 2019 edition", None), ("FY 2023", ""), (None, "October"), (None, "May"), ("Source: agency 2020", ""), (None, "June"), ("2024", None), (None, "October")]
+    assert years_of(spark, rows) == ["2022-10", "2023-05", "2023-06", "2023-10"]
+    late = [(None, "October"), ("2024", "November"), (None, "March")]
+    assert years_of(spark, late) == ["2023-10", "2023-11", "2024-03"]
+
+
+def test_years_across_line_blocks_and_sheets(spark, monkeypatch):
+    """Starts, labels and gaps meet over the borders of blocks; sheets and rows without a line stay apart."""
+    monkeypatch.setattr(sheets, "line_block", lambda line: F.floor(F.col(line) / 3).cast("long"))
+    real = sheets.nearest
+    monkeypatch.setattr(sheets, "nearest", lambda *a, **k: real(*a, **k, size=3))
+    names = ["October", "January", "March", "July"]
+    cells, want = [], []
+    for name, first in (("a", 2001), ("b", 2011), (None, 2021)):
+        for k in range(8):
+            for i, month in enumerate(names):
+                label = str(first + k) if i == 0 and k not in (2, 3, 5) else None
+                cells.append((name, label, month, k * 4 + i, "1"))
+                want.append((name, first + k - (i == 0), {"October": 10, "January": 1, "March": 3, "July": 7}[month]))
+    cells.append(("a", "1990", "May", None, "1"))
+    want.append(("a", 1990, 5))
+    df = inline_table(spark, cells, "sheet string, fiscal_year string, month string, line bigint, cuba string").repartition(5)
+    got = sheets.agency_sheet(df, by=["sheet"]).collect()
+    assert sorted((str(r.sheet), r.date.year, r.date.month) for r in got) == sorted((str(n), y, m) for n, y, m in want)

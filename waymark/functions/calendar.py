@@ -97,6 +97,17 @@ def parse_fiscal_label(text, century: int = 2000) -> Column:
     return F.when(n < 100, n + century).otherwise(n)
 
 
+def label_year(text, century: int = 2000) -> Column:
+    """The year that a label names, whatever else it says: ``2024*``, ``Fiscal Year 2024``, ``FY24 YTD``.
+
+    The first number of four digits counts, else the first of two (with ``century``); numbers of other lengths are no
+    years. Null without a year.
+    """
+    four = F.nullif(F.regexp_extract(_col(text), r"(?<!\d)(\d{4})(?!\d)", 1), F.lit("")).try_cast("int")
+    two = F.nullif(F.regexp_extract(_col(text), r"(?<!\d)(\d{2})(?!\d)", 1), F.lit("")).try_cast("int")
+    return F.coalesce(four, two + century)
+
+
 def from_epoch_day(n) -> Column:
     """Ledger dates are stored as days since 1970-01-01."""
     return F.date_add(F.lit("1970-01-01").cast("date"), _col(n).cast("int"))

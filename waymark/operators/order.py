@@ -142,38 +142,35 @@ def nearest(
     line: str,
     before: dict[str, Column] | None = None,
     after: dict[str, Column] | None = None,
+    strictly: dict[str, Column] | None = None,
     by: list[str] | None = None,
-    own: bool = True,
     size: int = BLOCK_LINES,
 ) -> DataFrame:
-    """Add the nearest earlier (``before``) and later (``after``) non-null value of expressions, in line order.
+    """Add the nearest non-null value of expressions in line order: at the row or earlier (``before``), at the row or
+    later (``after``), or earlier than the row (``strictly``).
 
-    ``own`` counts the row itself. Works in blocks like ``fill_down``: one window inside blocks of ``size`` lines, and a
-    row per block that carries. Every row needs a line number.
+    Works in blocks like ``fill_down``: one window inside blocks of ``size`` lines, and a row per block that carries. Every
+    row needs a line number, and the columns ``by`` values that are never null.
     """
-    by, before, after = list(by or []), before or {}, after or {}
-    named = {f"_by{i}": F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for i, c in enumerate(by)}
-    both = {**before, **after}
-    rows = df.withColumns({**named, "_block": line_block(line, size), **{f"_e_{c}": e for c, e in both.items()}})
-    keys, edge = [*named, "_block"], 0 if own else 1
-    inside = Window.partitionBy(*keys).orderBy(line)
-    upto, since = inside.rowsBetween(Window.unboundedPreceding, -edge), inside.rowsBetween(edge, Window.unboundedFollowing)
-    blocks = Window.partitionBy(*named).orderBy("_block")
-    earlier, later = blocks.rowsBetween(Window.unboundedPreceding, -1), blocks.rowsBetween(1, Window.unboundedFollowing)
-    place = {c: F.when(F.col(f"_e_{c}").isNotNull(), F.col(line)) for c in both}
+    by, before, after, strictly = list(by or []), before or {}, after or {}, strictly or {}
+    every = {**before, **after, **strictly}
+    rows = df.withColumns({"_block": line_block(line, size), **{f"_e_{c}": e for c, e in every.items()}})
+    keys = [*by, "_block"]
+    inside, blocks = Window.partitionBy(*keys).orderBy(line), Window.partitionBy(*by).orderBy("_block")
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    place = {c: F.when(F.col(f"_e_{c}").isNotNull(), F.col(line)) for c in every}
     ends = rows.groupBy(*keys).agg(
-        *[F.max_by(f"_e_{c}", place[c]).alias(f"_c_{c}") for c in before],
-        *[F.min_by(f"_e_{c}", place[c]).alias(f"_c_{c}") for c in after],
-    )
-    carry = ends.select(
-        *keys,
-        *[F.last(f"_c_{c}", ignorenulls=True).over(earlier).alias(f"_c_{c}") for c in before],
-        *[F.first(f"_c_{c}", ignorenulls=True).over(later).alias(f"_c_{c}") for c in after],
+        *[(F.min_by if c in after else F.max_by)(f"_e_{c}", place[c]).alias(f"_c_{c}") for c in every]
     )
-    here = {f"_h_{c}": F.last(f"_e_{c}", ignorenulls=True).over(upto) for c in before}
-    here |= {f"_h_{c}": F.first(f"_e_{c}", ignorenulls=True).over(since) for c in after}
-    joined = rows.withColumns(here).join(carry, keys)
-    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in both])
+
+    def reach(c: str, prefix: str, window, own: bool) -> Column:
+        if c in after:
+            return F.first(prefix + c, ignorenulls=True).over(window.rowsBetween(0 if own else 1, last))
+        return F.last(prefix + c, ignorenulls=True).over(window.rowsBetween(first, 0 if own else -1))
+
+    carry = ends.select(*keys, *[reach(c, "_c_", blocks, False).alias(f"_c_{c}") for c in every])
+    joined = rows.withColumns({f"_h_{c}": reach(c, "_e_", inside, c not in strictly) for c in every}).join(carry, keys)
+    return joined.select(*[F.col(f"`{c}`") for c in df.columns], *[F.coalesce(f"_h_{c}", f"_c_{c}").alias(c) for c in every])
 
 
 #: Distinct values that one window of the median may sort, and the cells that a wider stretch of values is cut into.

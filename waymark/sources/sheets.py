@@ -5,29 +5,106 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.functions.calendar import calendar_year, header_year, month_number, month_start, parse_fiscal_label
+from waymark.functions.calendar import calendar_year, header_year, label_year, month_number, month_start
 from waymark.functions.numbers import amount, parse_number, unsuppress
 from waymark.functions.text import strip_position, underscores_to_blanks
 from waymark.operators.aggregates import halve_repeats
 from waymark.operators.cleaning import drop_labels, recode
 from waymark.operators.filters import keep_groups
-from waymark.operators.order import fill_down
+from waymark.operators.order import fill_down, line_block, nearest, running_total
 from waymark.operators.reshape import to_long
-
-#: ``2019``, ``FY 19``, ``2024 (FYTD)``: what a fiscal year label looks like; anything else in that column is a note.
-FISCAL_LABEL = r"^(?i)\s*(fy\s*)?(\d{2}|\d{4})\s*(\([^)]*\))?\s*$"
+from waymark.session import landed
+
+#: What a fiscal year label on a row of its own looks like (``2019``, ``FY 19``, ``Fiscal Year 2024 (FYTD)``, ``2024*``);
+#: any other text on a row without a month is a note.
+FISCAL_LABEL = r"^(?i)\s*(fy|fiscal year)?\s*'?(\d{2}|\d{4})\s*[*†]*\s*(ytd|\([^)]*\))?\s*[*†]*\s*$"
+#: Text beside a month that is a note too: five words or more that don't begin with a year.
+SENTENCE = r"^(?i)(?!\s*(fy|fiscal year|year)?\s*'?\d)\s*(\S+\s+){4}\S"
+
+
+def fiscal_years(sheet: DataFrame, line: str = "line", by: list[str] | None = None, century: int = 2000) -> DataFrame:
+    """The month rows of a sheet with the fiscal year of each in ``_fy`` and its month number in ``_m``.
+
+    The order of the months tells where a year starts: at each row whose month comes earlier in the fiscal year (October
+    to September) than that of the month row before; the same month again is a repeated row. Labels tell which year it
+    is, and both must agree:
+
+    * a label on a month row holds for it, whatever text surrounds its year; one on a row of its own (``FISCAL_LABEL``,
+      blank month) holds for the next month row. Other rows without a month name are notes or totals and say nothing, and
+      so does a month row with a ``SENTENCE`` in place of the label, which goes;
+    * a row without a label belongs to the year of the last label, as long as no year started since and no label since
+      was unreadable;
+    * years without a readable label are counted from the labels around them, if the starts between two labels are as
+      many as the years between them (rising or falling);
+    * months before the first label belong to its year if no year starts in between;
+    * a month row whose year stays unknown, and a label that repeats the year of the last one after a new year has
+      started, fail the job with their line.
+
+    ``by`` names the sheet. Each line number may come once in a sheet, else the job fails; a row without one needs its own
+    label. The labels and months, without the cells, are written to the shared folder and worked on in blocks of lines;
+    the cells are joined once.
+    """
+    by, placed = list(by or []), F.col(line).isNotNull()
+    keys = [f"_by{i}" for i in range(len(by))]
+    named = {k: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for k, c in zip(keys, by)}
+    text = F.nullif(F.trim("fiscal_year"), F.lit(""))
+    alone = F.coalesce(F.trim("month"), F.lit("")) == ""
+    rows = sheet.withColumns({**named, "_m": month_number("month"), "_text": text, "_line": F.col(line).cast("bigint")})
+    rows = rows.filter(~F.coalesce(F.col("_m").isNotNull() & F.col("_text").rlike(SENTENCE), F.lit(False)))
+    spoken = F.col("_m").isNotNull() | (alone & F.col("_text").rlike(FISCAL_LABEL))
+    rows = rows.withColumn("_label", F.when(spoken, label_year("_text", century)))
+    where = F.concat(F.lit(" at line "), F.coalesce(F.col("_line").cast("string"), F.lit("without a number")))
+    unknown = F.raise_error(F.concat(F.lit("no fiscal year is known"), where)).cast("int")
+    # only month rows and labels of their own matter to the order
+    order = rows.filter(placed & (F.col("_m").isNotNull() | F.col("_label").isNotNull()))
+    order = landed(order.select(*keys, "_line", "_m", "_label", "_text"), "order")
+
+    place = (F.col("_m") + 2) % 12  # October is 0
+    order = nearest(
+        order,
+        "_line",
+        strictly={
+            "_last": F.when(F.col("_m").isNotNull(), F.struct("_line", place.alias("place"))),
+            "_above": F.when(F.col("_m").isNull(), F.struct("_line", F.col("_label").alias("year"))),
+        },
+        by=keys,
+    ).filter(F.col("_m").isNotNull())
+    pending = F.when(F.coalesce(F.col("_above._line") > F.col("_last._line"), F.lit(True)), F.col("_above.year"))
+    unreadable = F.col("_text").isNotNull() & F.col("_label").isNull()
+    starts = F.coalesce(place < F.col("_last.place"), F.lit(False)).cast("int")
+    label = F.when(~unreadable, F.coalesce("_label", pending))
+    order = order.select(*keys, "_line", label.alias("_label"), unreadable.alias("_bad"), starts.alias("_new"))
+    order = landed(running_total(order, "_new", ["_line"], line_block("_line"), "_run", keys), "order")
+
+    known = F.when(F.col("_label").isNotNull(), F.struct("_line", F.col("_label").alias("year"), F.col("_run").alias("run")))
+    broken = F.when(F.col("_bad"), F.col("_line"))
+    order = nearest(order, "_line", {"_from": known, "_broken": broken}, {"_to": known}, {"_before": known}, keys)
+    gone, span = F.col("_run") - F.col("_from.run"), F.col("_to.year") - F.col("_from.year")
+    between = F.col("_to.run") - F.col("_from.run")
+    same_year = (gone == 0) & ~F.coalesce(F.col("_broken") >= F.col("_from._line"), F.lit(False))
+    found = (
+        F.when(F.col("_label").isNotNull(), F.col("_label"))
+        .when(same_year, F.col("_from.year"))
+        .when(between == span, F.col("_from.year") + gone)
+        .when(between == -span, F.col("_from.year") - gone)
+        .when(F.col("_from").isNull() & (F.col("_to.run") == F.col("_run")) & F.col("_broken").isNull(), F.col("_to.year"))
+    ).cast("int")
+    repeated = F.coalesce((F.col("_label") == F.col("_before.year")) & (F.col("_run") > F.col("_before.run")), F.lit(False))
+    again = F.raise_error(F.concat(F.lit("a new fiscal year repeats the label of the last one"), where)).cast("int")
+    dated = order.select(*keys, "_line", F.when(repeated, again).otherwise(F.coalesce(found, unknown)).alias("_fy"))
+    twice = F.raise_error(F.concat(F.lit("two rows"), where)).cast("int")
+    dated = dated.groupBy(*keys, "_line").agg(F.count(F.lit(1)).alias("_n"), F.max("_fy").alias("_fy"))
+    dated = dated.select(*keys, "_line", F.when(F.col("_n") > 1, twice).otherwise(F.col("_fy")).alias("_fy"))
+    # a row without a line meets none and has its own label only
+    whole = rows.filter(F.col("_m").isNotNull()).join(dated.withColumnRenamed("_fy", "_found"), [*keys, "_line"], "left")
+    year = F.coalesce("_found", F.when(~placed, F.col("_label")), unknown)
+    return whole.select(*[F.col(f"`{c}`") for c in sheet.columns], "_m", year.alias("_fy"))
 
 
 def _fiscal_months(sheet: DataFrame, line: str, by: list[str] | None, century: int) -> DataFrame:
-    """Fill the fiscal year down, drop rows without a month (totals) or with a note as label, and date each row."""
-    year = F.col("fiscal_year").rlike(FISCAL_LABEL)
-    note = F.coalesce(~year & (F.trim("fiscal_year") != ""), F.lit(False))
-    labelled = sheet.withColumns({"fiscal_year": F.when(year, F.col("fiscal_year")), "_note": note})
-    rows = fill_down(labelled, ["fiscal_year"], line, by)
-    # parsed once per row in a step of their own: both feed the date more than once
-    rows = rows.withColumns({"_m": month_number("month"), "_fy": parse_fiscal_label("fiscal_year", century)})
-    dated = rows.filter(F.col("_m").isNotNull() & ~F.col("_note")).withColumn("date", month_start(calendar_year("_fy", "_m"), "_m"))
-    return dated.drop("fiscal_year", "month", line, "_m", "_fy", "_note")
+    """The month rows of a sheet, dated by their fiscal year and month."""
+    rows = fiscal_years(sheet, line, by, century)
+    return rows.withColumn("date", month_start(calendar_year("_fy", "_m"), "_m")).drop("fiscal_year", "month", line, "_m", "_fy")
 
 
 def agency_sheet(
