@@ -210,6 +210,47 @@ def s9(spark, d):
     return snapshots.newest_landed(spark, path)
 
 
+@check(
+    "s9_committed_snapshot",
+    "enc ship",
+    """SELECT 'enc' AS dataset, date '2001-08-01' AS snapshot_date, date,
+              CAST(sum(encounter_count) AS BIGINT) AS encounter_count FROM enc GROUP BY date
+       UNION ALL
+       SELECT 'ship', date '2001-05-01', date, CAST(sum(encounter_count) AS BIGINT) FROM ship
+       WHERE date <= date '2001-05-01' GROUP BY date""",
+)
+def s9_committed(spark, d):
+    path = scratch_dir(spark, "commits")
+    e, s = landed(months(enc(spark, d)), "enc"), landed(months(ship(spark, d)), "ship")
+    snapshots.commit_snapshot(e.filter("date <= date'2001-05-01'"), path, "enc", "2001-05-01")
+    snapshots.commit_snapshot(e, path, "enc", "2001-08-01")
+    snapshots.commit_snapshot(s.filter("date <= date'2001-05-01'"), path, "ship", "2001-05-01")
+    # two refreshes that went wrong: one was interrupted before its manifest, one changed after it
+    s.write.parquet(f"{path}/ship-2001-06-01-interrupted")
+    snapshots.commit_snapshot(s, path, "ship", "2001-07-01")
+    changed = snapshots.manifests(spark, path).filter("snapshot_date = date'2001-07-01'").first()["folder"]
+    s.limit(1).write.mode("overwrite").parquet(f"{path}/{changed}")
+    return snapshots.newest_committed(spark, path)
+
+
+@check(
+    "s8_commit_ledger",
+    "enc ship",
+    """SELECT 'enc' AS dataset, max(date) AS latest_date FROM enc
+       UNION ALL SELECT 'ship', max(date) FROM ship UNION ALL SELECT 'first', min(date) FROM enc""",
+)
+def s8_commit(spark, d):
+    path = scratch_dir(spark, "ledger")
+    e, s = enc(spark, d), ship(spark, d)
+    first = e.agg(F.min("date").alias("latest_date"))
+    both = first.select(F.lit("first").alias("dataset"), "latest_date").unionByName(first.select(F.lit("enc").alias("dataset"), "latest_date"))
+    snapshots.commit_ledger(spark, both, path)
+    snapshots.commit_ledger(spark, snapshots.latest_dates({"enc": e, "ship": s}), path)
+    # a refresh that is late doesn't take the ledger back
+    snapshots.commit_ledger(spark, both.filter("dataset = 'enc'"), path)
+    return snapshots.read_ledger(spark, path)
+
+
 @check(
     "s10_append_projection",
     "enc",

@@ -265,3 +265,45 @@ def test_years_across_line_blocks_and_sheets(spark, monkeypatch):
     df = inline_table(spark, cells, "sheet string, fiscal_year string, month string, line bigint, cuba string").repartition(5)
     got = sheets.agency_sheet(df, by=["sheet"]).collect()
     assert sorted((str(r.sheet), r.date.year, r.date.month) for r in got) == sorted((str(n), y, m) for n, y, m in want)
+
+
+def test_interrupted_or_changed_snapshots_are_passed_over(spark, rows):
+    path = scratch_dir(spark, "commits")
+    with pytest.raises(Exception):
+        snapshots.newest_committed(spark, path)
+    frame = lambda v, extra="": inline_table(spark, [(v, "x")], f"v int, note{extra} string")
+    for day, v in (("2024-01-01", 1), ("2024-02-01", 2), ("2024-03-01", 3)):
+        snapshots.commit_snapshot(frame(v), path, "a", day)
+    snapshots.commit_snapshot(frame(9, "2"), path, "b", "2024-01-01")
+    snapshots.commit_snapshot(frame(10, "2"), path, "b", "2024-01-01")  # landed again
+    snapshots.commit_snapshot(frame(0).limit(0), path, "empty", "2024-01-01")
+    frame(4).write.parquet(f"{path}/a-2024-04-01-x")  # no manifest
+    assert rows(snapshots.newest_committed(spark, path), "dataset", "v", "note", "note2") == [("a", 3, "x", None), ("b", 10, None, "x")]
+    lines = {str(m.snapshot_date): m.folder for m in snapshots.manifests(spark, path).filter("dataset = 'a'").collect()}
+    frame(5).write.mode("overwrite").parquet(f"{path}/{lines['2024-03-01']}")  # other rows under the manifest
+    fs, folder = snapshots._filesystem(spark, f"{path}/{lines['2024-02-01']}")
+    for status in fs.listStatus(folder):  # files that are gone
+        if status.getPath().getName().endswith(".parquet"):
+            fs.delete(status.getPath(), False)
+    assert rows(snapshots.newest_committed(spark, path).filter("dataset = 'a'"), "snapshot_date", "v") == [(dt.date(2024, 1, 1), 1)]
+    # a manifest that was cut off says nothing
+    snapshots._create(spark, f"{path}/{snapshots.MANIFESTS}/99999999999999999999-x.json", '{"dataset": "a", "snapsh')
+    assert snapshots.manifests(spark, path).count() == 5
+
+
+def test_two_writers_lose_no_ledger_entry(spark, rows):
+    from concurrent.futures import ThreadPoolExecutor
+
+    path = scratch_dir(spark, "ledger")
+    assert snapshots.read_ledger(spark, path).collect() == []
+    entry = lambda name, day: inline_table(spark, [(name, day)], "dataset string, latest_date string").withColumn("latest_date", F.to_date("latest_date"))
+    names = [f"d{i}" for i in range(6)]
+    with ThreadPoolExecutor(3) as pool:
+        versions = list(pool.map(lambda n: snapshots.commit_ledger(spark, entry(n, "2024-05-01"), path), names))
+    assert sorted(versions) == list(range(1, 7))
+    assert rows(snapshots.read_ledger(spark, path)) == [(n, dt.date(2024, 5, 1)) for n in names]
+    snapshots.commit_ledger(spark, entry("d0", "2023-01-01"), path)
+    assert rows(snapshots.read_ledger(spark, path))[0] == ("d0", dt.date(2024, 5, 1))
+    stale = snapshots.ledger_version(spark, path) - 1
+    with pytest.raises(snapshots.Conflict):
+        snapshots.write_ledger(entry("x", "2024-01-01"), path, stale)
