@@ -14,6 +14,7 @@ from waymark.operators.order import fill_down
 from waymark.operators.reshape import to_wide
 from waymark.sources import snapshots
 from waymark.sources.delimited import inline_table
+from waymark.session import landed
 
 FY = "CAST(year(date) + CASE WHEN month(date) > 9 THEN 1 ELSE 0 END AS INTEGER)"
 M = "SELECT date, citizenship, CAST(sum(encounter_count) AS BIGINT) AS encounter_count FROM enc GROUP BY 1, 2"
@@ -145,7 +146,7 @@ def raw_fy(spark, d):
     f"""{RAW_FY_SQL} UNION ALL SELECT citizenship, NULL, CASE WHEN citizenship = 'NATION_3' THEN 'note' END, CAST(count(*) AS BIGINT) FROM m GROUP BY 1""",
 )
 def c9(spark, d):
-    rows = raw_fy(spark, d)
+    rows = landed(raw_fy(spark, d), "sheet")
     # lines without a number keep what they have
     loose = rows.groupBy("citizenship").agg(F.count(F.lit(1)).alias("n")).withColumn(
         "fiscal_year", F.when(F.col("citizenship") == "NATION_3", "note")

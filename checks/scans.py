@@ -93,6 +93,47 @@ def s3(spark, d):
     )
 
 
+#: Cells that a landed file should not have: a count in words, a cell too many, a cell too few.
+WORDS, MORE, FEWER = "NATION_3", "NATION_5", "NATION_7"
+
+REJECT_SQL = """m AS (SELECT CAST(year(date) AS INTEGER) AS year, citizenship, CAST(month(date) AS INTEGER) AS month, CAST(sum(encounter_count) AS BIGINT) AS encounter_count
+  FROM enc GROUP BY 1, 2, 3),
+r AS (SELECT *, CASE WHEN citizenship = 'NATION_3' THEN 'encounter_count' WHEN citizenship IN ('NATION_5', 'NATION_7') THEN 'cells' END AS reason FROM m)"""
+
+
+def _dirty(spark, d):
+    m = enc(spark, d).groupBy(F.year("date").alias("year"), "citizenship", F.month("date").alias("month")).agg(F.sum("encounter_count").alias("n"))
+    path = scratch_dir(spark, "dirty")
+    name = F.col("citizenship")
+    count = F.when(name == WORDS, F.concat_ws(" ", F.lit("about"), "n")).otherwise(F.col("n").cast("string"))
+    extra = F.when(name == MORE, F.lit("7"))
+    line = F.when(name == FEWER, F.concat_ws(",", name, "month")).otherwise(F.concat_ws(",", name, "month", count, extra))
+    text = m.groupBy("year").agg(F.concat_ws("\n", F.lit("Citizenship,Month,Encounter count"), F.concat_ws("\n", F.collect_list(line))).alias("value"))
+    text.write.partitionBy("year").text(path)
+    kinds = StructType.fromDDL("citizenship string, month int, encounter_count bigint")
+    return delimited.checked_table(spark, path, kinds, {"year": r"year=(\d{4})"})
+
+
+@check(
+    "s1_accepted_rows",
+    "enc",
+    f"WITH {REJECT_SQL} SELECT citizenship, month, encounter_count, CAST(year AS VARCHAR) AS year FROM r WHERE reason IS NULL",
+)
+def s1_accepted(spark, d):
+    return delimited.accepted(_dirty(spark, d))
+
+
+@check(
+    "s3_reject_counts",
+    "enc",
+    f"""WITH {REJECT_SQL}, k AS (SELECT year, count(*) FILTER (reason IS NULL) AS kept, count(*) FILTER (reason IS NOT NULL) AS rejected FROM r GROUP BY 1),
+    n AS (SELECT year, reason, count(*) AS records FROM r WHERE reason IS NOT NULL GROUP BY 1, 2)
+    SELECT CAST(year AS VARCHAR) AS year, kept, rejected, reason, coalesce(records, 0) AS records FROM k LEFT JOIN n USING (year)""",
+)
+def s3_rejects(spark, d):
+    return delimited.reject_counts(_dirty(spark, d), ["year"])
+
+
 @check(
     "s4_unfold_pairs",
     "enc",

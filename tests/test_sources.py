@@ -307,3 +307,18 @@ def test_two_writers_lose_no_ledger_entry(spark, rows):
     stale = snapshots.ledger_version(spark, path) - 1
     with pytest.raises(snapshots.Conflict):
         snapshots.write_ledger(entry("x", "2024-01-01"), path, stale)
+
+
+def test_wrong_records_are_told_apart(spark, tmp_path, rows):
+    (tmp_path / "jan 2024.csv").write_text('Name,Count,Day\n"A, B",1,2024-01-01\nC,,\nD,1.5x,soon\nE,3\nF,4,2024-01-02,more\n')
+    (tmp_path / "feb 2024.csv").write_text("\ufeffDay,Name\n2024-02-01,G\n")
+    kinds = StructType.fromDDL("name string, count int, day date")
+    got = delimited.checked_table(spark, str(tmp_path), kinds, {"month": r"([a-z]+) \d{4}\.csv"})
+    assert rows(delimited.accepted(got)) == [
+        ("A, B", 1, dt.date(2024, 1, 1), "jan"), ("C", None, None, "jan"), ("G", None, dt.date(2024, 2, 1), "feb"),
+    ]
+    bad = {r.name: (r["_record"], r["_reasons"]) for r in delimited.rejected(got).collect()}
+    assert bad == {"D": (None, ["count", "day"]), "E": ("E,3", ["cells"]), "F": ("F,4,2024-01-02,more", ["cells"])}
+    assert rows(delimited.reject_counts(got, ["month"])) == [("feb", 1, 0, None, 0), ("jan", 2, 3, "cells", 2), ("jan", 2, 3, "count", 1), ("jan", 2, 3, "day", 1)]
+    per_file = delimited.reject_counts(got).groupBy("_file").count().collect()
+    assert sorted(r["_file"].rsplit("/", 1)[1] for r in per_file) == ["feb 2024.csv", "jan 2024.csv"]

@@ -7,7 +7,7 @@ from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, StructType
+from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from waymark.functions.numbers import amount
 from waymark.functions.text import snake_all
@@ -55,6 +55,65 @@ def read_table(spark: SparkSession, paths: str | list[str], schema: StructType |
     return named.select(*[F.col(f.name).try_cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
+#: Names that ``checked_table`` adds to the columns of the schema.
+RECORD, REASONS, FILE, RAGGED = "_record", "_reasons", "_file", "cells"
+
+
+def checked_table(spark: SparkSession, paths: str | list[str], schema: StructType, tags: dict[str, str] | None = None) -> DataFrame:
+    """Every record of CSV files with a header, typed, with what is wrong with it: nothing is dropped or silently null.
+
+    Columns meet by snake_case name and are cast as ``schema`` says; ``tags`` come from the file path as in
+    ``read_tagged``. ``_reasons`` holds ``cells`` where a record has more or fewer cells than its header, and the name of
+    each column whose cell is neither blank nor of its type; it is empty for a good record. ``_record`` is the text of a
+    record with a wrong number of cells, ``_file`` the file. A column that one file lacks is null and no fault; one that
+    no file has is an error. Files are read in splits, so records must not hold line breaks.
+    """
+
+    def pick(raw: DataFrame, names: list[str]) -> DataFrame:
+        files = [unquote(f) for f in raw.inputFiles()]
+        kinds = StructType([*(StructField(f"c{i}", StringType()) for i in range(len(names))), StructField(RECORD, StringType())])
+        again = _reader(spark).schema(kinds).option("header", True).option("columnNameOfCorruptRecord", RECORD).csv(files)
+        path = F.url_decode(F.col("_metadata.file_path"))
+        made = [F.nullif(F.regexp_extract(path, pattern, 1), F.lit("")).alias(tag) for tag, pattern in (tags or {}).items()]
+        return again.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names)], *made, path.alias(FILE), RECORD)
+
+    cells = _by_header(spark, paths, pick)
+    typed, wrong = [], [F.when(F.col(RECORD).isNotNull(), F.lit(RAGGED))]
+    for f in schema.fields:
+        cell = F.col(f"`{f.name}`")
+        value = cell.try_cast(f.dataType)
+        typed.append(value.alias(f.name))
+        wrong.append(F.when(value.isNull() & (F.trim(cell) != ""), F.lit(f.name)))
+    return cells.select(*typed, *(tags or {}), FILE, RECORD, F.array_compact(F.array(*wrong)).alias(REASONS))
+
+
+def accepted(checked: DataFrame) -> DataFrame:
+    """The good records of ``checked_table``, without the columns that say so."""
+    return checked.filter(F.size(REASONS) == 0).drop(RECORD, REASONS, FILE)
+
+
+def rejected(checked: DataFrame) -> DataFrame:
+    """The other records, with file, reasons and, where cells are missing or too many, the text."""
+    return checked.filter(F.size(REASONS) > 0)
+
+
+def reject_counts(checked: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Per file (or ``by``): ``kept`` and ``rejected`` records, and one row per reason with its ``records``.
+
+    Files without a fault have one row with a null reason; a record with two faults counts for both reasons.
+    """
+    keys = by or [FILE]
+    good = F.size(REASONS) == 0
+    per_file = checked.groupBy(*keys).agg(F.count_if(good).alias("kept"), F.count_if(~good).alias("rejected"))
+    reasons = checked.select(*keys, F.explode(REASONS).alias("reason")).groupBy(*keys, "reason").agg(F.count(F.lit(1)).alias("records"))
+    on = None
+    for k in keys:
+        same = F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}"))
+        on = same if on is None else on & same
+    joined = per_file.alias("l").join(reasons.alias("r"), on, "left")
+    return joined.select(*[F.col(f"l.{k}") for k in keys], "kept", "rejected", "reason", F.coalesce("records", F.lit(0)).alias("records"))
+
+
 def preamble_rows(
     spark: SparkSession, paths: str | list[str], columns: list[str], numeric: str, header: list[str] | None = None
 ) -> DataFrame:
