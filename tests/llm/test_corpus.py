@@ -9,7 +9,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from waymark.llm import common, components, fingerprints, line_dedup, mixing, near_dedup, sharding, shingles
+from run_checks import compare, database
+from waymark.llm import common, components, fingerprints, line_dedup, mixing, near_dedup, queries, sharding, shingles
 
 DOCS = "doc_id bigint, text string, source string, size string, shard string, _key string"
 LONG = " ".join(f"word{i % 9973}" for i in range(40_000))
@@ -273,6 +274,18 @@ def test_mix_meets_the_targets(sources):
     assert sorted((r.doc_id, r.taken) for r in rows) == sorted((r.doc_id, r.taken) for r in again)
 
 
+def test_small_mixes_stay_near_their_targets(spark, tmp_path):
+    rows = [(i, "w " * n, s) for i, (n, s) in enumerate([(60, "a"), (40, "a"), (10, "b")])]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    taken = collections.Counter()
+    for r in mixing.mix_sources(docs).collect():
+        taken[r.source] += r.taken
+    assert abs(taken["a"] - 145) <= 10 and abs(taken["b"] - 20) <= 10
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    con = database(str(tmp_path))
+    assert compare(queries.op7(spark, str(tmp_path)), con, queries.OP7_SQL).startswith("ok")
+
+
 def test_quotas_are_those_of_the_highest_quotients(spark):
     targets = {"a": 5000.0, "b": 1234.5, "c": 77.0, "d": 3.0, None: 900.0, "e": 0.0}
     frame = spark.createDataFrame([(s, 1000, t) for s, t in targets.items()], "source string, source_size bigint, target double")

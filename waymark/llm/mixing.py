@@ -8,6 +8,8 @@ selects the blocks, and a document is cut only where a quota ends.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -43,6 +45,11 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     return table.withColumn("target", target)
 
 
+def block_length(words: float, shards: int = 16, block_words: int = BLOCK_WORDS) -> int:
+    """Words of a block: shorter than ``block_words`` only where the mix has fewer words than a block for each shard."""
+    return max(1, min(block_words, math.floor(words / shards + 1e-6)))
+
+
 def block_quotas(targets: DataFrame, shards: int = 16, block_words: int = BLOCK_WORDS, limit: int = 2) -> DataFrame:
     """``source``, ``shard``, ``quota``: blocks of each source in each shard of the mix.
 
@@ -53,7 +60,7 @@ def block_quotas(targets: DataFrame, shards: int = 16, block_words: int = BLOCK_
     """
     sums = targets.agg(F.sum("target"), F.count("*")).first()
     words, sources = float(sums[0] or 0.0), int(sums[1])
-    blocks = max(shards, round(words / block_words)) if words else 0
+    blocks = math.floor(words / block_length(words, shards, block_words) + 0.5)
     ends = targets.select("source", "source_size", "target").withColumn(
         "end", F.explode(F.sequence(F.lit(1), F.lit(shards)))
     )
@@ -100,7 +107,8 @@ def mix_sources(
     targets = source_targets(sized, weights, share, limit)
     quotas = block_quotas(targets, shards, block_words, limit)
     ends = Window.partitionBy("source").orderBy("shard")
-    run = quotas.withColumn("_end", F.sum("quota").over(ends) * block_words)
+    length = block_length(float(targets.agg(F.sum("target")).first()[0] or 0.0), shards, block_words)
+    run = quotas.withColumn("_end", F.sum("quota").over(ends) * length)
     own = run.groupBy("source").agg(F.max("_end").alias("_quota"), F.array_sort(F.collect_list("_end")).alias("_ends"))
     same = F.col("t.source").eqNullSafe(F.col("q.source"))
     plan = targets.alias("t").join(own.alias("q"), same).select("t.source", "t.source_size", "t.target", "q._quota", "q._ends")

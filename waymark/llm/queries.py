@@ -69,9 +69,10 @@ levels AS (SELECT 0 AS turn, 0.0::DOUBLE AS level
   UNION ALL SELECT turn + 1, (SELECT (1.5 * sum(source_size) - coalesce(sum(2 * source_size) FILTER (2 * source_size < weight * level), 0))
       / sum(weight) FILTER (NOT 2 * source_size < weight * level) FROM s) FROM levels WHERE turn < 60),
 t AS (SELECT source, source_size, least(2.0 * source_size, weight * (SELECT level FROM levels ORDER BY turn DESC LIMIT 1))::DOUBLE AS target FROM s),
-house AS (SELECT greatest(16, round(sum(target) / 64))::BIGINT AS blocks FROM t),
-seats AS (SELECT source, unnest(range(0, (target / 64)::BIGINT + (SELECT count(*) FROM t)::BIGINT * 2 + 4)) AS seat, target FROM t WHERE target > 0),
-won AS (SELECT source, count(*) * 64 AS quota FROM
+unit AS (SELECT greatest(1, least(64, floor(sum(target) / 16 + 1e-6)))::BIGINT AS words FROM t),
+house AS (SELECT floor((SELECT sum(target) FROM t) / words + 0.5)::BIGINT AS blocks FROM unit),
+seats AS (SELECT source, unnest(range(0, (target / (SELECT words FROM unit))::BIGINT + (SELECT count(*) FROM t)::BIGINT * 2 + 4)) AS seat, target FROM t WHERE target > 0),
+won AS (SELECT source, count(*) * (SELECT words FROM unit) AS quota FROM
   (SELECT source, row_number() OVER (ORDER BY target / (2 * seat + 1) DESC, seat, encode(source) NULLS LAST) AS rank FROM seats) WHERE rank <= (SELECT blocks FROM house) GROUP BY source),
 placed AS (SELECT doc_id, source, size, coalesce(sum(size) OVER (PARTITION BY source ORDER BY md5('7:' || coalesce(doc_id::VARCHAR, 'null')), doc_id, size
   ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM d)
