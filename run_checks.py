@@ -28,7 +28,8 @@ def database(folder: str):
     con = duckdb.connect()
     for t in TABLES:
         if Path(f"{folder}/{t}.parquet").exists():
-            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{folder}/{t}.parquet')")
+            files = f"{folder}/{t}.parquet" if Path(f"{folder}/{t}.parquet").is_file() else f"{folder}/{t}.parquet/*.parquet"
+            con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{files}')")
     return con
 
 
