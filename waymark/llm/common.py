@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -49,6 +50,38 @@ def landed(df: DataFrame, label: str, *partition_by: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def shuffled_joins(spark: SparkSession):
+    """Joins planned inside never broadcast, so that a job has one plan at every size of its tables."""
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {name: spark.conf.get(name, None) for name in names}
+    for name in names:
+        spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+def bucketed(df: DataFrame, key: str) -> DataFrame:
+    """Land a frame in buckets by ``key``, sorted inside, so that later joins on the key don't move it again.
+
+    There are as many buckets as shuffle partitions. The files lie in the shared folder; the session's catalog gets a
+    table of a new name, which says how they are cut.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"waymark_{uuid.uuid4().hex}"
+    # each task holds whole buckets, so there is one file a bucket
+    writer = df.repartition(n, key).write.bucketBy(n, key).sortBy(key)
+    writer.option("path", shared_folder(spark, "buckets")).saveAsTable(name)
+    return spark.table(name)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches into row ranges of at most about ``limit`` bytes of text (one row at least)."""
     for batch in batches:

@@ -6,10 +6,9 @@ a coordinate with the probability of their generalised Jaccard similarity. Only
 coordinates are likely filled are thrown: about ``k (ln k + 2)`` per text, however many shingles it has.
 
 Texts that share a band are candidates. A bucket is never expanded into pairs: its members meet the member that meets
-most texts over all its bands (in a group of near copies, the text they come from), and in later rounds parts of a
-bucket that are still apart meet through leading and drawn members, until a round links nothing. The texts of buckets
-that are still mixed then meet by an exact join of their rarest shingles (``prefix_pairs``), so no link between them
-is left to chance.
+most texts over all its bands (in a group of near copies, the text they come from). The texts of buckets that are still
+mixed then meet by an exact join of their rarest shingles (``prefix_pairs``), so no link between them is left to
+chance.
 """
 
 from __future__ import annotations
@@ -21,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from waymark.llm.common import landed, map_texts, slices
+from waymark.llm.common import bucketed, landed, map_texts, shuffled_joins, slices
 from waymark.llm.components import components
 from waymark.llm.shingles import WORDS, mix, shingles, similarity
 
@@ -114,9 +113,24 @@ def doc_key():
 
 
 def similar_pairs(pairs: DataFrame, texts: DataFrame, threshold: float, size: int = WORDS) -> DataFrame:
-    """The pairs (``a``, ``b``) whose whole texts (``key``, ``text``) reach the threshold."""
-    one = pairs.join(texts.withColumnRenamed("text", "text_a"), F.col("a") == F.col("key")).drop("key")
-    two = one.join(texts.withColumnRenamed("text", "text_b"), F.col("b") == F.col("key")).drop("key")
+    """The pairs (``a``, ``b``) whose whole texts (``key``, ``text``) reach the threshold.
+
+    The texts lie in buckets by key (``bucketed``) and are never broadcast. The end of a pair that is in more pairs is its
+    hub: the texts of hubs are joined first, by a shuffle whose hot keys adaptive execution can split, and what comes of
+    that meets the other end's text in its bucket. So per round only hub texts move, and one text a pair.
+    """
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("key")).groupBy("key").agg(F.count("*").alias("n"))
+    ends = landed(ends, "ends")
+    sized = pairs.join(ends.withColumnsRenamed({"key": "a", "n": "_m"}), "a").join(ends.withColumnsRenamed({"key": "b", "n": "_n"}), "b")
+    first = F.col("_m") >= F.col("_n")
+    hub, other = F.when(first, F.col("a")).otherwise(F.col("b")), F.when(first, F.col("b")).otherwise(F.col("a"))
+    sized = landed(sized.select("a", "b", hub.alias("_hub"), other.alias("_other")), "pairs")
+    hubs = texts.join(sized.select(F.col("_hub").alias("key")).distinct(), "key", "left_semi")
+    # a changed key hides the buckets, so that this join shuffles and can be split
+    hidden = F.lit(1).cast("long")
+    hubs = hubs.select(F.col("key").bitwiseXOR(hidden).alias("_at"), F.col("text").alias("text_a")).hint("merge")
+    one = sized.join(hubs, F.col("_hub").bitwiseXOR(hidden) == F.col("_at")).drop("_hub", "_at")
+    two = one.join(texts.withColumnRenamed("text", "text_b").hint("merge"), F.col("_other") == F.col("key")).drop("key", "_other")
 
     def run(batches):
         known: tuple[str | None, object] = (None, None)
@@ -145,26 +159,6 @@ def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("_a", "node").alias("a"), F.greatest("_a", "node").alias("b"))
 
 
-def _meetings(shared: DataFrame, turn: int, threshold: float, draws: int = 4) -> DataFrame:
-    """Candidate pairs of a later round over (``band``, ``node``, ``weight``, ``met``, ``label``) rows of mixed buckets.
-
-    In each bucket one part meets every other part, each through one member: once the leading members meet, and ``draws``
-    times members and parts drawn anew.
-    """
-    seeds = F.explode(F.sequence(F.lit(turn * (draws + 1)), F.lit(turn * (draws + 1) + draws)))
-    drawn = shared.withColumn("_seed", seeds)
-    leading = F.col("_seed") % (draws + 1) == 0
-    place = F.when(leading, _place()).otherwise(F.xxhash64("node", "band", "_seed"))
-    members = drawn.withColumn("_p", place).groupBy("band", "_seed", "label").agg(
-        F.max_by("node", "_p").alias("node"), F.max_by("weight", "_p").alias("weight"), F.max("_p").alias("_p")
-    )
-    order = F.when(leading, F.col("_p")).otherwise(F.xxhash64("label", "band", "_seed"))
-    ranked = members.withColumn("_o", order)
-    lead = ranked.groupBy("band", "_seed").agg(F.max_by("node", "_o").alias("_a"), F.max_by("weight", "_o").alias("_w"))
-    met = ranked.join(lead, ["band", "_seed"]).filter("_a <> node").filter(_fit("weight", "_w", threshold))
-    return _ordered(met).distinct()
-
-
 def _counter(hashes: np.ndarray) -> np.ndarray:
     return (hashes >> np.uint64(65 - COUNTERS.bit_length())).astype(np.int64)
 
@@ -256,8 +250,14 @@ def near_duplicates(
     Documents are linked when their weighted shingle sets are similar to at least ``threshold``; classes are the
     connected components. Equal texts are always one class, as are rows with the same id; null and empty texts are
     equal. Texts without words are alike only when equal. A row without id gets a negative ``class_id`` unless its class
-    has a document with one. A table without rows gives none.
+    has a document with one. A table without rows gives none. Runs its jobs at once, with the same plans at every size:
+    no join broadcasts.
     """
+    with shuffled_joins(docs.sparkSession):
+        return _classes(docs, threshold, bands, rows, size)
+
+
+def _classes(docs: DataFrame, threshold: float, bands: int, rows: int, size: int) -> DataFrame:
     sketched = landed(sketch(docs, bands, rows, size), "sketches")
     # the groups of equal texts stand in a table of their own, so that the join can split a large one
     same = sketched.groupBy("digest").agg(F.min("key").alias("node"), F.count("*").alias("_n")).filter("_n > 1")
@@ -276,35 +276,26 @@ def near_duplicates(
     shared = landed(crowded.drop("_n").join(landed(met, "met"), "node"), "buckets")
     alive = shared.select("node").distinct()
     keyed = docs.select(doc_key().alias("key"), "text")
-    texts = landed(keyed.join(alive.withColumnRenamed("node", "key"), "key", "left_semi"), "texts")
+    texts = bucketed(keyed.join(alive.withColumnRenamed("node", "key"), "key", "left_semi"), "key")
     place = _place()
     lead = shared.groupBy("band").agg(F.max_by("node", place).alias("_a"), F.max_by("weight", place).alias("_w"))
     first = shared.join(landed(lead, "lead"), "band").filter("_a <> node").filter(_fit("weight", "_w", threshold))
     pairs = landed(_ordered(first).distinct(), "pairs")
     nodes = alive.unionByName(links.select(F.col("a").alias("node"))).unionByName(links.select(F.col("b").alias("node")))
     labels = nodes.distinct().select("node", F.col("node").alias("label"))
-    tried, turn = pairs, 0
     found = landed(similar_pairs(pairs, texts, threshold, size), "found")
     labels = _relabelled(labels, found.unionByName(links))
-    while True:
-        named = shared.join(labels, "node")
-        mixed = named.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y")).filter("_x <> _y")
-        named = landed(named.join(landed(mixed.select("band"), "mixed"), "band"), "buckets")
-        shared = named.drop("label")
-        pairs = landed(_meetings(named, turn, threshold).join(tried, ["a", "b"], "left_anti"), "pairs")
-        found = landed(similar_pairs(pairs, texts, threshold, size), "found")
-        if found.isEmpty():
-            break
-        labels, tried, turn = _relabelled(labels, found), tried.unionByName(pairs), turn + 1
-    # two texts alone in a bucket have met in the first round; any others that are still apart meet exactly
-    open_bands = named.groupBy("band").agg(F.count("*").alias("_n")).filter("_n > 2").select("band")
-    apart = landed(named.join(open_bands, "band", "left_semi").select("node", "label").distinct(), "apart")
+    named = shared.join(labels, "node")
+    # two texts alone in a bucket have met by now; any others that are still apart meet exactly
+    mixed = named.groupBy("band").agg(F.min("label").alias("_x"), F.max("label").alias("_y"), F.count("*").alias("_n"))
+    mixed = landed(mixed.filter("_x <> _y and _n > 2").select("band"), "mixed")
+    apart = landed(named.join(mixed, "band", "left_semi").select("node", "label").distinct(), "apart")
     if not apart.isEmpty():
         left = landed(texts.join(apart.select(F.col("node").alias("key")), "key", "left_semi"), "texts")
-        pairs = prefix_pairs(left, apart, threshold, size).join(tried, ["a", "b"], "left_anti")
-        found = landed(similar_pairs(landed(pairs, "pairs"), texts, threshold, size), "found")
+        rest = prefix_pairs(left, apart, threshold, size).join(pairs, ["a", "b"], "left_anti")
+        found = landed(similar_pairs(landed(rest, "pairs"), texts, threshold, size), "found")
         labels = _relabelled(labels, found)
-    return member.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id"))
+    return landed(member.join(labels, "node", "left").select("doc_id", F.coalesce("label", "node").alias("class_id")), "classes")
 
 
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
