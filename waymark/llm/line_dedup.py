@@ -2,8 +2,9 @@
 
 A run is a sorted table (line hash, number of documents, last document). Every batch of documents becomes a run of
 level 0; when a level has ``fanout`` runs they are merged into one run of the next level, so a key is rewritten only
-once per level. ``add_new`` anti-joins a batch with the runs to find the lines that are new; ``dedup_lines`` needs only the
-counts of all batches and does not.
+once per level. Each batch is anti-joined with the runs: its new lines are its run, to which the counts and last documents
+of lines that the runs already hold are added as updates. So a line is new in one run only, and the rows of new
+lines alone tell what the runs hold, without a merge.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from pyspark.sql import functions as F
 from waymark.llm.common import landed, map_texts, shared_folder, slices
 
 LEAST_CHARS = 20
-RUN = "line binary, n_docs bigint, last_doc bigint"
+#: ``update`` marks the counts of a line that an earlier run holds.
+RUN = "line binary, n_docs bigint, last_doc bigint, update boolean"
 #: Stands for a missing document id: such rows count as one document, before all others.
 NO_ID = -(2**63)
 
@@ -38,13 +40,16 @@ def line_hash(line: str, least_chars: int = LEAST_CHARS) -> bytes | None:
 
 
 def document_lines(docs: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """One row (``line``, ``doc``) for each distinct long line of a row of documents; ``doc`` is never null."""
+    """One row (``line``, ``doc``, ``part``) for each distinct long line of a row of documents; ``doc`` is never null.
+
+    ``part`` (a hash of the text) tells the rows of one document apart.
+    """
 
     def columns(texts):
         return {"lines": [list({h for l in t.split("\n") if (h := line_hash(l, least_chars))}) for t in texts]}
 
-    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "text")
-    return map_texts(ids, columns, "lines array<binary>").select("doc", F.explode("lines").alias("line"))
+    ids = docs.select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("part"), "text")
+    return map_texts(ids, columns, "lines array<binary>").select("doc", "part", F.explode("lines").alias("line"))
 
 
 class LevelledRuns:
@@ -67,31 +72,54 @@ class LevelledRuns:
     def _read(self, paths: list[str]) -> DataFrame:
         return self.spark.read.schema(RUN).parquet(*paths)
 
+    def _paths(self) -> list[str]:
+        return [p for level in self.levels for p in level]
+
     @staticmethod
     def _merged(runs: DataFrame) -> DataFrame:
-        return runs.groupBy("line").agg(F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"))
+        return runs.groupBy("line").agg(
+            F.sum("n_docs").alias("n_docs"), F.max("last_doc").alias("last_doc"), F.min("update").alias("update")
+        )
 
     def add(self, lines: DataFrame) -> None:
-        """Add the lines (``line``, ``doc``) of documents that no earlier batch held; compact full levels."""
+        """Add the lines (``line``, ``doc``) of documents that no earlier batch held; compact full levels.
+
+        The run of a batch holds its new lines, found by an anti-join with the runs, and updates of the others.
+        """
         once = lines.groupBy("line", "doc").agg(F.lit(1).alias("_"))
         digest = once.groupBy("line").agg(F.count("*").alias("n_docs"), F.max("doc").alias("last_doc"))
-        self._write(digest, 0)
+        if self.levels:
+            batch = landed(digest, "batch")
+            new = self.unseen(batch).withColumn("update", F.lit(False))
+            old = batch.join(self.held(), "line", "left_semi").withColumn("update", F.lit(True))
+            self._write(new.unionByName(old), 0)
+        else:
+            self._write(digest.withColumn("update", F.lit(False)), 0)
         level = 0
         while level < len(self.levels) and len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._write(self._merged(self._read(full)), level + 1)
             level += 1
 
+    def held(self) -> DataFrame:
+        """``line``, once each: the lines that the runs hold."""
+        paths = self._paths()
+        if not paths:
+            return self.spark.createDataFrame([], "line binary")
+        return self._read(paths).filter(~F.col("update")).select("line")
+
     def digest(self) -> DataFrame:
-        """All runs merged: one row per line hash."""
-        paths = [p for level in self.levels for p in level]
+        """All runs merged: ``line``, ``n_docs`` and ``last_doc``, one row per line hash."""
+        paths = self._paths()
         if not paths:
-            return self.spark.createDataFrame([], RUN)
-        return self._read(paths) if len(paths) == 1 else self._merged(self._read(paths))
+            return self.spark.createDataFrame([], RUN).drop("update")
+        merged = self._read(paths) if len(paths) == 1 else self._merged(self._read(paths))
+        return merged.drop("update")
 
     def unseen(self, lines: DataFrame, least_docs: int = 1) -> DataFrame:
         """Lines (any frame with ``line``) that fewer than ``least_docs`` documents of the runs hold."""
-        return lines.join(self.digest().filter(F.col("n_docs") >= least_docs), "line", "left_anti")
+        held = self.held() if least_docs == 1 else self.digest().filter(F.col("n_docs") >= least_docs)
+        return lines.join(held, "line", "left_anti")
 
     def add_new(self, lines: DataFrame) -> DataFrame:
         """The new lines of a batch, after which the batch is part of the runs (for documents that arrive in batches)."""
@@ -101,9 +129,9 @@ class LevelledRuns:
 
 
 def keep_lines(docs: DataFrame, dropped: DataFrame, least_chars: int = LEAST_CHARS) -> DataFrame:
-    """``doc_id``, ``kept`` text, ``n_lines`` and ``n_dropped`` for documents and their dropped hashes (``doc``, ``lines``)."""
-    ids = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"))
-    joined = ids.join(dropped, "doc", "left").select("doc_id", "text", "lines")
+    """``doc_id``, ``kept`` text, ``n_lines`` and ``n_dropped`` for documents and the dropped hashes of their rows (``doc``, ``part``, ``lines``)."""
+    ids = docs.select("doc_id", "text", F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("part"))
+    joined = ids.join(dropped, ["doc", "part"], "left").select("doc_id", "text", "lines")
     schema = "doc_id bigint, kept string, n_lines bigint, n_dropped bigint"
     types = {"doc_id": pa.int64(), "kept": pa.string(), "n_lines": pa.int64(), "n_dropped": pa.int64()}
 
@@ -138,11 +166,12 @@ def dedup_lines(
     """
     spark = docs.sparkSession
     batch = F.pmod(F.xxhash64("doc"), F.lit(batches)).cast("int")
-    lines = landed(document_lines(docs, least_chars).select("line", "doc", batch.alias("batch")), "lines", "batch")
+    lines = landed(document_lines(docs, least_chars).select("line", "doc", "part", batch.alias("batch")), "lines", "batch")
     runs = LevelledRuns(spark, fanout)
     for k in range(batches):
-        runs.add(lines.filter(F.col("batch") == k).drop("batch"))
+        runs.add(lines.filter(F.col("batch") == k).select("line", "doc"))
     repeated = landed(runs.digest().filter(F.col("n_docs") >= least_docs), "repeated")
-    gone = lines.select("line", "doc").join(repeated, "line").filter(F.col("doc") < F.col("last_doc"))
-    dropped = gone.groupBy("doc").agg(F.collect_set("line").alias("lines"))
+    gone = lines.select("line", "doc", "part").join(repeated, "line").filter(F.col("doc") < F.col("last_doc"))
+    # gathered by row, so that many rows without an id fill no group; rows whose parts collide drop the same lines
+    dropped = gone.groupBy("doc", "part").agg(F.collect_set("line").alias("lines"))
     return keep_lines(docs, dropped, least_chars)
