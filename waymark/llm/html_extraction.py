@@ -4,9 +4,11 @@ Every block element has characters per tag, adjusted for the share of its links.
 densities sum highest is the core of the article; other elements at least as dense as the thinnest element between the
 core and the body belong to it too. All text below their common ancestor, or the outermost article or main element
 around it, is kept, but for parts that are boilerplate by
-their element or role. A name (class or id) only keeps a part out of that choice: below the chosen ancestor such a part
-goes only when it is thinner than the threshold, inside an article or main element only when most of it is links, and
-headings never go by their names.
+their element or role. A container whose name (class or id) says nothing but comments, sidebar, advert, notice or
+sign-up box goes wherever it stands. Any other name only keeps a part out of the choice: below the chosen ancestor such a part
+goes when it is thinner than the threshold, inside an article or main element when most of it is links or it holds form
+controls. Headings never go by their names, and a form or named part that holds the title, the article or most of the
+page's plain text stays.
 """
 
 from __future__ import annotations
@@ -47,6 +49,19 @@ NAMES = re.compile(
     r"skip-?link|trending|outbrain|taboola)(?:[-_][a-z0-9]+)*",
     re.I,
 )
+# Name parts that say what a container is; those that an id may say as well (other ids are often made from
+# headings); parts that say nothing more.
+CLEAR = re.compile(
+    r"ads?|advert\w*|adsense|adbox|sponsor(?:ed|ship)?|cookies?|consent|gdpr|notices?|newsletters?|subscri\w+|signup|paywall|popups?|"
+    r"sidebars?|comments?|commentlist|disqus|respond|breadcrumbs?|navbar|pagination|outbrain|taboola"
+)
+CLEAR_ID = re.compile(r"sidebars?|comments?|commentlist|disqus|respond")
+NEUTRAL = re.compile(r"box|wrap|wrapper|container|section|list|area|block|inner|item|top|bottom|left|right|slot|thread|form|\d+")
+COMMENTS = re.compile(r"comments?|commentlist|disqus|respond")
+#: Elements of running text, which go by no clear name; parts whose name is only a topic's keep their paragraphs.
+PROSE = frozenset("p li dt dd td th tr pre blockquote figcaption span h1 h2 h3 h4 h5 h6".split())
+TOPICS = re.compile(r"discussion|search|related|social|notices?|alerts?|sharing|repl(?:y|ies)", re.I)
+CONTROLS = frozenset("input select textarea button".split())
 #: Elements that end an open paragraph, and that end an open element of their own kind.
 SAME_ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
              "th": {"td", "th"}, "option": {"option"}}
@@ -55,10 +70,14 @@ LISTS = frozenset("ul ol dl table menu".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "children", "named", "holds_title", "out", "chars", "tags", "link_chars", "link_tags", "sum")
+    __slots__ = (
+        "tag", "parent", "children", "named", "holds_title", "out", "chars", "tags", "link_chars", "link_tags", "sum",
+        "controls", "plain",
+    )
 
-    def __init__(self, tag: str, parent: "Node | None", named: bool = False):
+    def __init__(self, tag: str, parent: "Node | None", named: int = 0):
         self.tag, self.parent, self.named = tag, parent, named
+        self.controls = self.plain = 0  # form controls and characters outside links, with all below
         self.children: list[Node | str] = []  # strings are pieces of text
         self.holds_title = False
         self.out = False  # boilerplate by name
@@ -66,9 +85,22 @@ class Node:
         self.sum = 0.0
 
 
-def _named_boilerplate(attributes: str) -> tuple[bool, bool]:
-    """(boilerplate by role or hidden, boilerplate by class or id)."""
-    by_name = False
+#: How far a name speaks: for a topic, for a part of a page, for boilerplate, for reader comments.
+TOPIC, PART, CLEARLY, BY_READERS = 1, 2, 3, 4
+
+
+def _name_level(token: str, by_id: bool) -> int:
+    """How surely a class or id that ``NAMES`` knows tells boilerplate."""
+    parts = re.split("[-_]", token.lower().replace("side-bar", "sidebar").replace("sign-up", "signup"))
+    clear = [p for p in parts if (CLEAR_ID if by_id else CLEAR).fullmatch(p)]
+    if clear and all(p in clear or NAMES.fullmatch(p) or NEUTRAL.fullmatch(p) for p in parts):
+        return BY_READERS if any(map(COMMENTS.fullmatch, clear)) else CLEARLY
+    return TOPIC if TOPICS.fullmatch(token) else PART
+
+
+def _named_boilerplate(attributes: str) -> tuple[bool, int]:
+    """(boilerplate by role or hidden, level of its class or id, 0 for none)."""
+    by_name = 0
     for name, *values in _ATTRIBUTE.findall(attributes):
         name, value = name.lower(), next((v for v in values if v), "")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true":
@@ -80,7 +112,7 @@ def _named_boilerplate(attributes: str) -> tuple[bool, bool]:
         if name in ("class", "id"):
             for token in value.split():
                 if NAMES.fullmatch(token) and not re.match(r"(?:has|no|with|is|page|body|without)[-_]|.*[-_]with[-_]", token, re.I):
-                    by_name = True
+                    by_name = max(by_name, _name_level(token, name == "id"))
     return False, by_name
 
 
@@ -104,6 +136,8 @@ def parse(page: str) -> Node:
         closing, tag, attributes = bool(m[1] or m[4]), tag.lower(), m[3] or m[6] or ""
         if tag in ("html", "body"):
             continue
+        if not closing and tag in CONTROLS:
+            node.controls += 1
         if not closing and tag in RAW:
             if not attributes.endswith("/") or tag in ("script", "style", "title", "textarea"):
                 end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(page, at)
@@ -128,9 +162,9 @@ def parse(page: str) -> Node:
             if tag in ("br", "img"):
                 node.children.append(" ")
             if not closing and not attributes.endswith("/") and tag not in VOID:
-                hidden, named = _named_boilerplate(attributes) if attributes else (False, False)
+                hidden, named = _named_boilerplate(attributes) if attributes else (False, 0)
                 if hidden or named:  # an inline advert or share link is a part of its own
-                    child = Node("span", node, True)
+                    child = Node("span", node, PART)
                     node.children.append(child)
                     stack.append((tag, node))
                     node = child
@@ -167,7 +201,7 @@ def parse(page: str) -> Node:
         if tag in VOID:
             node.children.append(Node(tag, node))  # a rule parts two blocks
             continue
-        hidden, named = _named_boilerplate(attributes) if attributes else (False, False)
+        hidden, named = _named_boilerplate(attributes) if attributes else (False, 0)
         child = Node("nav" if hidden or tag in DROPPED else tag, node, named)
         node.children.append(child)
         if not attributes.endswith("/"):
@@ -190,24 +224,51 @@ def _in_article(node: Node) -> bool:
     return False
 
 
+def weigh(root: Node) -> None:
+    """Fill in the plain characters and the form controls of every node."""
+    order, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        order.append(node)
+        todo.extend(c for c in node.children if isinstance(c, Node))
+    for node in reversed(order):
+        node.plain = max(sum(len(c.strip()) for c in node.children if not isinstance(c, Node)) - node.link_chars, 0)
+        for c in node.children:
+            if isinstance(c, Node):
+                node.plain += c.plain
+                node.controls += c.controls
+
+
 def prune(root: Node) -> None:
     """Take out boilerplate by element and role; mark that by name.
 
-    A part that holds the title or the article is only taken out for its element's sake; headings, and what is inside
-    them or an article, are not marked.
+    A form that holds the title, the article or most of the plain text is a frame around the page, and so is any other element
+    of that kind around most of the plain text. Headings, and what is inside them or an article, are only marked by clear
+    names; a part with most of the plain text is not, reader comments only where there is no other text. What holds most of
+    the text beside a part that holds the title or the article (a long footer under a short article) is no frame.
     """
-    todo = [(root, False)]
+    weigh(root)
+    todo = [(root, False, False)]
     while todo:
-        node, spared = todo.pop()
+        node, spared, beside = todo.pop()
         spared = spared or node.tag in HEADINGS or node.tag in ("article", "main")
+        titled = [c for c in node.children if isinstance(c, Node) and c.holds_title and c.tag != "h1"]
         kept: list[Node | str] = []
         for c in node.children:
             if isinstance(c, Node):
-                if c.tag in DROPPED or c.tag == "header" and not (c.holds_title and _in_article(c)):
+                besides = beside or bool(titled) and (len(titled) > 1 or titled[0] is not c)
+                most = 2 * c.plain > root.plain and not besides
+                if c.tag in DROPPED and (most or c.tag in ("form", "fieldset") and c.holds_title):
+                    c.tag = "div"
+                if c.tag in DROPPED or c.tag == "header" and not most and not (c.holds_title and _in_article(c)):
                     kept.append(" ")
                     continue
-                c.out = c.named and not (spared or c.holds_title or c.tag in HEADINGS)
-                todo.append((c, spared))
+                if c.holds_title or c.tag in HEADINGS or (c.plain == root.plain if c.named == BY_READERS else most):
+                    c.named = 0
+                elif c.named >= CLEARLY and c.tag in PROSE:
+                    c.named = TOPIC
+                c.out = c.named >= CLEARLY or c.named > 0 and not spared and not (c.tag in PROSE and c.named == TOPIC)
+                todo.append((c, spared, besides))
             kept.append(c)
         node.children = kept
 
@@ -257,10 +318,11 @@ def settle_names(top: Node, root: Node, threshold: float) -> None:
             if not isinstance(c, Node):
                 continue
             if c.out:
-                measure(c)
-                c.out = density(c, root) < threshold
-            elif c.named and inside and not c.holds_title and c.tag not in HEADINGS:
-                c.out = 2 * c.link_chars > c.chars
+                if c.named < CLEARLY:
+                    measure(c)
+                    c.out = density(c, root) < threshold
+            elif c.named and inside:
+                c.out = 2 * c.link_chars > c.chars or c.controls > 0 and 2 * c.plain <= root.plain
             if not c.out:
                 todo.append((c, inside))
 
