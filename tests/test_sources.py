@@ -1,6 +1,8 @@
 """Landed files: byte order mark, preamble, tags, ledger, snapshots and sheets."""
 
 import datetime as dt
+import random
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -322,3 +324,32 @@ def test_wrong_records_are_told_apart(spark, tmp_path, rows):
     assert rows(delimited.reject_counts(got, ["month"])) == [("feb", 1, 0, None, 0), ("jan", 2, 3, "cells", 2), ("jan", 2, 3, "count", 1), ("jan", 2, 3, "day", 1)]
     per_file = delimited.reject_counts(got).groupBy("_file").count().collect()
     assert sorted(r["_file"].rsplit("/", 1)[1] for r in per_file) == ["feb 2024.csv", "jan 2024.csv"]
+
+
+def test_records_of_a_file_read_in_many_splits(spark, tmp_path):
+    """Cells with line breaks, doubled and stray quotes: the same records as one task finds, wherever the splits fall."""
+    draw = random.Random(5)
+    cells = ['"a\nb"', '"two ""words""\n\n, 1"', "plain", "5\" wide", '""', '"x"', '" \n"', "", '"' + "long, " * 40 + '\n"']
+    lines = ["Notes on the table", 'in "quotes", and more', "", "Name,Text,n"]
+    lines += [f"row {i},{draw.choice(cells)},{i}" for i in range(3000)] + ["Source: registers"]
+    (tmp_path / "a.csv").write_bytes("\n".join(lines).encode())
+    (tmp_path / "b.csv").write_bytes("\r\n".join(["Name,Text,n", 'first,"c\r\nd",1', "second,é,2"]).encode())
+    names = ["name", "text", "n"]
+    asked = spark.read.schema("name string, text string, n string").option("quote", '"').option("escape", '"')
+    a = [tuple(r) for r in asked.option("multiLine", True).csv(str(tmp_path / "a.csv")).collect()]
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size in ("2500", before):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            if size == "2500":
+                assert delimited.file_lines(spark, str(tmp_path)).select("_file", "_block").distinct().count() > 50
+            got = delimited.preamble_rows(spark, str(tmp_path / "a.csv"), names, "n").collect()
+            assert Counter(tuple(r)[:3] for r in got) == Counter(a)
+            assert sum(r["kept"] for r in got) == 3000
+        both = delimited.read_with_preamble(spark, str(tmp_path), names, "n").filter("name in ('first', 'second')").collect()
+        assert sorted(tuple(r) for r in both) == [("first", "c\nd", "1"), ("second", "é", "2")]
+        at = [r["_at"] for r in delimited.file_records(spark, str(tmp_path / "a.csv")).orderBy("_at").collect()]
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+        assert at == [r["_at"] for r in delimited.file_records(spark, str(tmp_path / "a.csv")).orderBy("_at").collect()]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)

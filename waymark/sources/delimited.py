@@ -5,12 +5,13 @@ from __future__ import annotations
 import re
 from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StringType, StructField, StructType
 
 from waymark.functions.numbers import amount
 from waymark.functions.text import snake_all
+from waymark.session import landed
 
 
 def _reader(spark: SparkSession):
@@ -114,6 +115,101 @@ def reject_counts(checked: DataFrame, by: list[str] | None = None) -> DataFrame:
     return joined.select(*[F.col(f"l.{k}") for k in keys], "kept", "rejected", "reason", F.coalesce("records", F.lit(0)).alias("records"))
 
 
+#: Where a quote stands: before the first quote of a line, outside a cell in quotes, inside one, just after its end.
+_START, _OUTSIDE, _INSIDE, _CLOSED = range(4)
+
+
+def _still_open(line: str, entry: int) -> Column:
+    """Is a cell in quotes open at the end of a line that is entered in the state ``entry``?
+
+    A quote opens a cell only at its start, a doubled one inside stands for itself.
+    """
+    pieces = F.split(line, '"')
+
+    def quote(state: Column, piece: Column) -> Column:
+        opens = piece.endswith(",") | ((piece == "") & state.isin(_START, _CLOSED))
+        return F.when(state == _INSIDE, _CLOSED).when(opens, _INSIDE).otherwise(_OUTSIDE)
+
+    return F.aggregate(F.slice(pieces, F.lit(1), F.size(pieces) - 1), F.lit(entry), quote) == _INSIDE
+
+
+def _open_after(rows: DataFrame, by: list[str], order: str) -> DataFrame:
+    """From what each row does to the state (``_from_out``, ``_from_in``: is a cell open after it?) what all rows up to it do.
+
+    ``_set`` is the state that some row fixed whatever came before it (null: none did), ``_flip`` whether it is turned
+    since; the state after the row is the fixed one, or else the entry's, turned so.
+    """
+    upto = Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    turned = rows.withColumn("_turns", F.sum(F.when(F.col("_from_out") & ~F.col("_from_in"), 1).otherwise(0)).over(upto))
+    fixed = F.when(F.col("_from_out") == F.col("_from_in"), F.struct(F.col("_from_out").alias("open"), "_turns"))
+    last = F.last(fixed, ignorenulls=True).over(upto)
+    since = F.col("_turns") - F.coalesce(F.col("_last._turns"), F.lit(0))
+    return turned.withColumn("_last", last).withColumns({"_set": F.col("_last.open"), "_flip": since % 2 == 1})
+
+
+def file_lines(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Lines of text files, read in splits: ``_file``, ``_block`` (byte where the split starts), ``_row`` (rising in a split), ``value``."""
+    lines = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n").text(paths)
+    place = {"_file": F.col("_metadata.file_path"), "_block": F.col("_metadata.file_block_start")}
+    return lines.select(*[c.alias(n) for n, c in place.items()], F.monotonically_increasing_id().alias("_row"), "value")
+
+
+def file_records(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """Records of delimited files whose cells in quotes may hold line breaks: ``_file``, ``_at``, ``record``.
+
+    Large files are read by many tasks. Each split tells what its lines do to the state inside or outside quotes, for
+    both states it may be entered in; a row per split carries state, bytes and the open record to the next ones. ``_at``
+    is the number of bytes before the record, so it does not depend on the splits. Lines end with a line feed, before
+    which a carriage return is dropped; a quote that is never closed makes the rest of its file one record, and that
+    record must fit into a task. The lines are read once and landed, so that all steps see the same splits.
+    """
+    plain = ~F.col("value").contains('"')
+    effect = {
+        "_from_out": F.when(plain, False).otherwise(_still_open("value", _START)),
+        "_from_in": F.when(plain, True).otherwise(_still_open("value", _INSIDE)),
+    }
+    split, size = ["_file", "_block"], F.octet_length("value").cast("long") + 1
+    order = Window.partitionBy(*split).orderBy("_row")
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    lines = _open_after(file_lines(spark, paths).withColumns(effect), split, "_row")
+    lines = lines.withColumns({"_bytes": size, "_begin": F.sum(size).over(upto) - size})
+    for entry in (False, True):  # the state before each line, and the start of its record, for either entry
+        after = F.coalesce(F.col("_set"), F.lit(entry)) != F.col("_flip")
+        lines = lines.withColumn(f"_open_{entry}", F.lag(after, 1, entry).over(order))
+        lines = lines.withColumn(f"_record_{entry}", F.last(F.when(~F.col(f"_open_{entry}"), F.col("_begin")), ignorenulls=True).over(upto))
+    text = F.regexp_replace("value", "\r$", "").alias("value")
+    kept = [*split, "_row", "_begin", "_bytes", "_set", "_flip", "_open_False", "_open_True", "_record_False", "_record_True"]
+    lines = landed(lines.select(*kept, text), "lines")
+
+    end = F.max_by(F.struct("_set", "_flip"), "_row")
+    splits = lines.groupBy(*split).agg(
+        end.alias("_end"), F.sum("_bytes").alias("_bytes"),
+        F.max("_record_False").alias("_record_False"), F.max("_record_True").alias("_record_True"),
+    )
+    for name, entry in (("_from_out", False), ("_from_in", True)):
+        splits = splits.withColumn(name, F.coalesce("_end._set", F.lit(entry)) != F.col("_end._flip"))
+    files = Window.partitionBy("_file").orderBy("_block")
+    earlier = files.rowsBetween(Window.unboundedPreceding, -1)
+    splits = _open_after(splits, ["_file"], "_block")
+    after = F.coalesce(F.col("_set"), F.lit(False)) != F.col("_flip")
+    splits = splits.withColumns({"_entry": F.lag(after, 1, False).over(files), "_base": F.coalesce(F.sum("_bytes").over(earlier), F.lit(0))})
+    begun = F.col("_base") + F.when(F.col("_entry"), F.col("_record_True")).otherwise(F.col("_record_False"))
+    splits = splits.withColumn("_begun", begun).withColumn("_left", F.last("_begun", ignorenulls=True).over(earlier))
+
+    met = lines.join(splits.select(*split, "_entry", "_base", "_left"), split)
+    local = F.when(F.col("_entry"), F.col("_record_True")).otherwise(F.col("_record_False"))
+    begins = ~F.when(F.col("_entry"), F.col("_open_True")).otherwise(F.col("_open_False"))
+    ends = F.coalesce("_set", "_entry") == F.col("_flip")
+    placed = met.select(
+        "_file", (F.col("_base") + F.col("_begin")).alias("_line"), F.coalesce(F.col("_base") + local, "_left").alias("_at"),
+        "value", (begins & ends).alias("_whole"),
+    )
+    whole = placed.filter("_whole").select("_file", "_at", F.col("value").alias("record"))
+    parts = F.transform(F.array_sort(F.collect_list(F.struct("_line", "value"))), lambda x: x["value"])
+    joined = placed.filter(~F.col("_whole")).groupBy("_file", "_at").agg(F.concat_ws("\n", parts).alias("record"))
+    return whole.unionByName(joined)
+
+
 def preamble_rows(
     spark: SparkSession, paths: str | list[str], columns: list[str], numeric: str, header: list[str] | None = None
 ) -> DataFrame:
@@ -121,18 +217,19 @@ def preamble_rows(
 
     Data are the records after the header of their file, which is the first record with the cells ``header`` (by
     default ``columns``, both compared as snake_case names), whose ``numeric`` cell is a number; what follows without
-    one are notes. Records may be short (missing cells are null), hold quoted line breaks and grouped numbers. A file
-    without the header fails the job.
+    one are notes. Records may be short (missing cells are null), hold quoted line breaks and grouped numbers; blank
+    ones are none. A file without the header fails the job. Files are read in splits, see ``file_records``; the header's
+    place is its byte in the file.
     """
     schema = ", ".join(f"`{c}` string" for c in columns)
-    cells = _reader(spark).schema(schema).option("multiLine", True).csv(paths)
-    rows = cells.withColumns({"_file": F.col("_metadata.file_path"), "_at": F.monotonically_increasing_id()})
+    records = file_records(spark, paths).filter(F.trim("record") != "")
+    cells = F.from_csv("record", schema, {"quote": '"', "escape": '"'})
+    rows = records.withColumn("_cells", cells).select("_file", "_at", *[F.col(f"_cells.`{c}`") for c in columns])
     plain = [F.lower(F.regexp_replace(F.coalesce(c, F.lit("")), r"[^0-9A-Za-z]+", "")) for c in columns]
     wanted = [re.sub(r"[^0-9A-Za-z]+", "", c).lower() for c in header or columns]
     is_header = F.lit(True)
     for cell, text in zip(plain, wanted):
         is_header = is_header & (cell == text)
-    # a file is read by one task, so its records have rising numbers
     start = rows.groupBy("_file").agg(F.min(F.when(is_header, F.col("_at"))).alias("_start"))
     alarm = F.raise_error(F.concat(F.lit("no header found in "), "_file")).cast("bigint")
     joined = rows.join(start, "_file").withColumn("_start", F.coalesce("_start", alarm))
