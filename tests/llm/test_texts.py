@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from pathlib import Path
 
@@ -63,6 +64,19 @@ def test_counts_equal_the_library_on_odd_texts(vocabulary):
     assert count(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_long_pretokens_in_time(vocabulary):
+    """Runs without a blank, cut or not, are counted as the library does, and a megabyte in seconds."""
+    path, library = vocabulary
+    draw = random.Random(3)
+    texts = ["".join(draw.choices("abcdefghijklmnopqrstuvwxyz", k=1_000_000)), "a" * 100_001, "-=" * 40_000, "the" * 30_000]
+    texts += ["".join(draw.choices(letters, k=draw.randrange(500, 1500))) for letters in ("ab", "etao", "=-*", "éa", "日本x") * 60]
+    count = token_counts.text_counter(token_counts.load_merges(path))
+    start = time.process_time()
+    found = count(texts)
+    assert time.process_time() - start < 20
+    assert found == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
 def test_token_table(vocabulary, odd, none):
     path, library = vocabulary
     got = token_counts.count_tokens(odd.select("doc_id", "text"), path, limit=5).collect()

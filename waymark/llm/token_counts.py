@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+from heapq import heappop, heappush
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -35,6 +36,8 @@ LATIN_PRETOKEN = pretoken_pattern("A-Za-zªµºÀ-ÖØ-öø-\u024f", "0-9²³¹
 NO_RANK = np.iinfo(np.int32).max
 #: Distinct pre-tokens that a worker remembers; beyond it the table starts anew.
 REMEMBERED = 1 << 19
+#: Byte sequences beyond this length merge on their own, and a worker does not remember them.
+LONG = 512
 
 
 def byte_symbols() -> list[str]:
@@ -55,6 +58,10 @@ def load_merges(path: str) -> dict:
     order = np.argsort(keys, kind="stable")
     symbols = np.array([ids[c] for c in byte_symbols()], np.int64)
     rank_of = dict(zip(keys.tolist(), range(len(keys))))
+    byte_of = {c: b for b, c in enumerate(byte_symbols())}
+    together = np.zeros((256, 256), bool)
+    for a, b in pairs:  # every symbol of two bytes or more is the result of a merge
+        together[byte_of[a[-1]], byte_of[b[0]]] = True
     return {
         "keys": keys[order],
         "ranks": order.astype(np.int32),
@@ -62,13 +69,88 @@ def load_merges(path: str) -> dict:
         "bytes": symbols,
         # ranks of pairs of single bytes, the pairs of the first and largest step
         "first": np.array([rank_of.get(k, NO_RANK) for k in np.add.outer(symbols * width, symbols).ravel().tolist()], np.int32),
+        "together": together,
         "width": width,
         "special": [t["content"] for t in spec["added_tokens"]],
     }
 
 
 def count_symbols(sequences: list[bytes], merges: dict) -> np.ndarray:
-    """Symbols left of each byte sequence after all merges."""
+    """Symbols left of each byte sequence after all merges.
+
+    A sequence of more than ``LONG`` bytes is cut where two neighbouring bytes stand together in no symbol, as no merge
+    crosses such a place; parts that are still long are counted one by one.
+    """
+    parts, owner, counts = [], [], np.zeros(len(sequences), np.int64)
+    for i, sequence in enumerate(sequences):
+        if len(sequence) <= LONG:
+            parts.append(sequence)
+            owner.append(i)
+            continue
+        raw = np.frombuffer(sequence, np.uint8)
+        cuts = [0, *(np.flatnonzero(~merges["together"][raw[:-1], raw[1:]]) + 1).tolist(), len(sequence)]
+        for start, end in zip(cuts, cuts[1:]):
+            if end - start > LONG:
+                counts[i] += count_long(sequence[start:end], merges)
+            else:
+                parts.append(sequence[start:end])
+                owner.append(i)
+    np.add.at(counts, np.array(owner, np.int64), count_side_by_side(parts, merges))
+    return counts
+
+
+def count_long(sequence: bytes, merges: dict) -> int:
+    """The same for one long sequence: places are queued by rank, and a step looks only at those of the lowest rank.
+
+    Each step applies that pair everywhere at once and ranks anew only the pairs beside a merge.
+    """
+    keys, ranks, merged, width = merges["keys"], merges["ranks"], merges["merged"], merges["width"]
+    n = len(sequence)
+    # linked symbols; a place n stands for the end
+    symbols = np.append(merges["bytes"][np.frombuffer(sequence, np.uint8)], 0)
+    after, before = np.arange(1, n + 2), np.arange(-1, n)
+    rank = np.full(n + 1, NO_RANK, np.int64)  # of the pair that starts at a place
+    queue: list[int] = []
+    places: dict[int, list[np.ndarray]] = {}
+
+    def rank_again(at: np.ndarray) -> None:
+        pair = symbols[at] * width + symbols[after[at]]
+        found = np.minimum(np.searchsorted(keys, pair), len(keys) - 1)
+        rank[at] = np.where((keys[found] == pair) & (after[at] < n), ranks[found], NO_RANK)
+        at = at[rank[at] < NO_RANK]
+        at = at[np.argsort(rank[at], kind="stable")]
+        first = np.flatnonzero(np.diff(rank[at], prepend=-1))
+        for r, same in zip(rank[at[first]].tolist(), np.split(at, first[1:])):
+            if r not in places:
+                places[r] = []
+                heappush(queue, r)
+            places[r].append(same)
+
+    rank_again(np.arange(n))
+    left = n
+    while queue:
+        lowest = heappop(queue)
+        at = np.unique(np.concatenate(places.pop(lowest)))
+        at = at[rank[at] == lowest]  # others have been merged away meanwhile
+        if not len(at):
+            continue
+        joint = after[at[:-1]] == at[1:]
+        if joint.any():  # overlapping pairs of a run, every second one counts
+            order = np.arange(len(at))
+            run = np.maximum.accumulate(np.where(np.append(True, ~joint), order, 0))
+            at = at[(order - run) % 2 == 0]
+        gone = after[at]
+        symbols[at], after[at] = merged[lowest], after[gone]
+        before[after[at]] = at
+        rank[gone] = NO_RANK
+        left -= len(at)
+        earlier = before[at]
+        rank_again(np.unique(np.append(at, earlier[earlier >= 0])))
+    return left
+
+
+def count_side_by_side(sequences: list[bytes], merges: dict) -> np.ndarray:
+    """Symbols left of each of many short sequences, which lie end to end and merge in common steps."""
     keys, ranks, merged, width = merges["keys"], merges["ranks"], merges["merged"], merges["width"]
     counts = np.array([len(s) for s in sequences], np.int64)
     who = np.flatnonzero(counts > 1)  # sequences still merging
@@ -130,7 +212,11 @@ def text_counter(merges: dict):
             known.clear()
         new = list(set().union(*found) - known.keys())
         known.update(zip(new, count_symbols([p.encode() for p in new], merges).tolist()))
-        return [n + sum(map(known.__getitem__, words)) for n, words in zip(fixed, found)]
+        totals = [n + sum(map(known.__getitem__, words)) for n, words in zip(fixed, found)]
+        for p in new:
+            if len(p) > LONG:
+                del known[p]
+        return totals
 
     return count
 
