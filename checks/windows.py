@@ -99,6 +99,20 @@ def w7(spark, d):
     return order.running_total(inside, "encounter_count", [F.col("date")], F.year("date"), "overall").drop("fy")
 
 
+@check(
+    "w7_running_total_of_hot_values",
+    "",
+    """SELECT o_orderkey, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (ORDER BY o_orderstatus DESC, o_orderkey) AS BIGINT) AS cents,
+              CAST(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderstatus, o_orderkey) AS BIGINT) AS place FROM orders""",
+)
+def w7_hot(spark, d):
+    # three states, of which two hold nearly all orders
+    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("c"))
+    total = order.running_total_split(o, "c", [F.desc("o_orderstatus"), F.col("o_orderkey")], "cents")
+    one, keys = F.lit(1).cast("long"), [F.col("o_orderstatus"), F.col("o_orderkey")]
+    return order.running_total_split(total, one, keys, "place", ["o_orderpriority"]).select("o_orderkey", "cents", "place")
+
+
 @check(
     "w8_latest_per_group",
     "enc",

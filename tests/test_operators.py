@@ -5,6 +5,7 @@ import random
 import statistics
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from waymark.operators import aggregates as agg
@@ -285,3 +286,24 @@ def test_no_median_join_on_the_block_alone(spark):
     plans = "\n".join(f._jdf.queryExecution().optimizedPlan().toString() for f in seen)
     joins = [line for line in plans.splitlines() if "Join" in line]
     assert joins and all("_k0" in line and "_block" in line for line in joins)
+
+
+def test_running_total_splits_one_value(spark):
+    """Two thirds of the rows share a value: it lies in several blocks and the totals are those of one window."""
+    df = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(7).alias("v"), (F.col("id") % 2).alias("g"))
+    df = df.withColumn("v", F.when(F.col("id") % 1000 == 5, None).otherwise(F.col("v")))
+    whole = Window.orderBy("v", "id").rowsBetween(Window.unboundedPreceding, 0)
+    want = {r.id: (r.a, r.b) for r in df.select("id", F.sum("id").over(whole).alias("a"), F.count(F.lit(1)).over(Window.partitionBy("g").orderBy(F.desc("v"), "id").rowsBetween(Window.unboundedPreceding, 0)).alias("b")).collect()}
+    a = {r.id: r.a for r in order.running_total_split(df, "id", [F.col("v"), F.col("id")], "a", parts=16).collect()}
+    b = {r.id: r.b for r in order.running_total_split(df, F.lit(1).cast("long"), [F.desc("v"), F.col("id")], "b", ["g"], parts=16).collect()}
+    assert a == {i: w[0] for i, w in want.items()} and b == {i: w[1] for i, w in want.items()}
+    # without a tie-break every row of the value still has a place of its own
+    places = order.running_total_split(df, F.lit(1).cast("long"), [F.col("v")], "n", parts=16)
+    assert sorted(r.n for r in places.collect()) == list(range(1, 30_001))
+
+
+def test_grid_of_a_long_spine(spark):
+    """A day-grain spine of 100,000 values: no row holds them all."""
+    df = spark.range(100_000).select(F.col("id").alias("s"), (F.col("id") % 3).alias("k"), F.lit(2).alias("v"))
+    got = reshape.full_grid(df, "s", "k", "v")
+    assert got.agg(F.count(F.lit(1)), F.sum("v"), F.count_distinct("s", "k")).first()[:] == (300_000, 200_000, 300_000)

@@ -224,3 +224,30 @@ def test_top_other_series_reads_the_facts_once(spark):
     out = series.top_other_series(df, ["C5"], 2)
     assert {r.citizenship for r in out.collect()} == {"C4", "C3"}
     assert "LocalTableScan" not in out._jdf.queryExecution().executedPlan().toString()  # only the landed months
+
+
+def test_month_cube_refresh_touches_only_changed_months(spark, facts, rows, tmp_path):
+    path = str(tmp_path / "c")
+
+    def files():
+        return {f.parent.name: {x.name for x in f.parent.glob("*.parquet")} for f in tmp_path.glob("c/cube/*/*.parquet")}
+
+    undated = facts.limit(3).withColumn("date", F.lit(None).cast("date"))
+    whole = facts.unionByName(undated)
+    assert len(cube.refresh_month_cube(whole, path)) == 37
+    assert rows(cube.read_refreshed_cube(spark, path)) == rows(cube.month_cube(whole).select(*cube.read_refreshed_cube(spark, path).columns))
+    before = files()
+    assert cube.refresh_month_cube(whole.repartition(3), path) == [] and files() == before
+    # one month restated, one gone, a row twice in a third; earlier months are not looked at
+    month = F.date_format("date", "yyyy-MM")
+    new = whole.filter(F.coalesce(month != "2023-04", F.lit(True)))
+    new = new.withColumn("encounter_count", F.when(month.isin("2023-02", "2021-05"), F.col("encounter_count") + 1).otherwise(F.col("encounter_count")))
+    new = new.unionByName(new.filter(month == "2023-06").limit(1))
+    assert cube.refresh_month_cube(new, path, since=dt.date(2022, 1, 15)) == ["2023-02", "2023-06", "2023-04"]
+    after = files()
+    changed = {m for m in before.keys() | after.keys() if before.get(m) != after.get(m)}
+    assert changed == {"cube_month=2023-02", "cube_month=2023-04", "cube_month=2023-06"}
+    assert cube.refresh_month_cube(new, path) == ["2021-05"]
+    assert rows(cube.read_refreshed_cube(spark, path)) == rows(cube.month_cube(new).select(*cube.read_refreshed_cube(spark, path).columns))
+    assert cube.refresh_month_cube(new.filter("date is not null"), path) == [None]
+    assert cube.read_refreshed_cube(spark, path, dt.date(2023, 1, 1)).agg(F.min("date")).first()[0] == dt.date(2023, 1, 1)

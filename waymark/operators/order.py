@@ -91,6 +91,25 @@ def running_total(
     )
 
 
+def running_total_split(
+    df: DataFrame, value, order: list, name: str, by: list[str] | None = None, parts: int | None = None
+) -> DataFrame:
+    """``running_total`` for any order: the blocks are cut by Spark's range partitioning, also inside one value.
+
+    The rows are landed with a number first. It comes last in the order, so rows that are equal in ``order`` can lie in
+    several blocks, however many there are, and a block holds about a ``parts``-th of the rows (by default as many as
+    shuffle partitions). Equal rows follow each other in any order. Runs jobs at once.
+    """
+    by = list(by or [])
+    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    taken = {"_tie": F.monotonically_increasing_id(), "_v": _col(value)}
+    rows = landed(df.withColumns(taken), "rows")
+    cut = rows.repartitionByRange(parts, *by, *order, "_tie").withColumn("_block", F.spark_partition_id())
+    cut = landed(cut, "blocks")
+    total = running_total(cut, "_v", [*order, "_tie"], F.col("_block"), name, by)
+    return total.select(*[F.col(f"`{c}`") for c in df.columns], name)
+
+
 def ordinal(df: DataFrame, order: list, block: Column, name: str, by: list[str] | None = None) -> DataFrame:
     """Row position 1, 2, 3 ... in an explicit order; ``block`` as in ``running_total``."""
     return running_total(df, F.lit(1).cast("long"), order, block, name, by)

@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from waymark.operators.order import sharing
+from waymark.session import landed
+
+#: Spine values of a grid that travel in one row.
+SPINE_BLOCK = 1_000
 
 
 def to_long(df: DataFrame, ids: list[str], columns: list[str] | None, name: str, value: str) -> DataFrame:
@@ -35,13 +38,18 @@ def densify(df: DataFrame, ids: list[str], key: str, values: list[str], measure:
 def full_grid(df: DataFrame, spine: str, label: str, measure: str, fill=0, null_again: str | None = None) -> DataFrame:
     """One row per distinct ``spine`` value and label, absent cells ``fill``.
 
-    ``spine`` must be a bounded domain such as months: its distinct values travel as one array, each label row
-    explodes it, and the observed totals join back. All three read the one shuffle of the totals. ``null_again``
-    names a label whose zeros mean "not reported".
+    The totals are landed once. The distinct spine values lie in blocks of about ``SPINE_BLOCK`` (by hash), one row each;
+    every label meets the blocks by number and explodes them, so no row holds all values, whatever their number.
+    ``null_again`` names a label whose zeros mean "not reported". A null spine value has no row; a null label has its
+    rows. Runs jobs at once.
     """
-    have = df.groupBy(spine, label).agg(F.sum(measure).alias(measure))
-    seen = have.agg(F.array_sort(F.collect_set(sharing(spine, measure)))).scalar()
-    grid = have.select(sharing(label, measure).alias(label)).distinct().withColumn(spine, F.explode(seen))
+    have = landed(df.groupBy(spine, label).agg(F.sum(measure).alias(measure)), "cells")
+    values = have.select(spine).filter(F.col(spine).isNotNull()).distinct()
+    blocks = values.count() // SPINE_BLOCK + 1
+    place = F.pmod(F.xxhash64(spine), F.lit(blocks)).cast("int")
+    cut = landed(values.groupBy(place.alias("_block")).agg(F.collect_list(spine).alias("_values")), "spine")
+    labels = have.select(label).distinct().withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    grid = labels.join(cut, "_block").select(label, F.explode("_values").alias(spine))
     on = F.col(f"g.{spine}").eqNullSafe(F.col(f"h.{spine}")) & F.col(f"g.{label}").eqNullSafe(F.col(f"h.{label}"))
     filled = F.coalesce(F.col(f"h.{measure}"), F.lit(fill))
     out = grid.alias("g").join(have.alias("h"), on, "left").select(f"g.{spine}", f"g.{label}", filled.alias(measure))

@@ -89,6 +89,17 @@ def _filesystem(spark: SparkSession, path: str):
     return hadoop.getFileSystem(spark._jsc.hadoopConfiguration()), hadoop
 
 
+def folder_exists(spark: SparkSession, path: str) -> bool:
+    fs, hadoop = _filesystem(spark, path)
+    return fs.exists(hadoop)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove one folder of a stored table; none is fine."""
+    fs, hadoop = _filesystem(spark, path)
+    fs.delete(hadoop, True)
+
+
 def _create(spark: SparkSession, path: str, text: str) -> bool:
     """Write a small file that must not exist yet; false where it does. The name appears only with all its text."""
     fs, target = _filesystem(spark, path)
