@@ -3,7 +3,7 @@
 The documents of a source lie end to end in a seeded order, as often as the source may be repeated, and that line of
 words is cut into blocks of equal length. The mix is a number of blocks, dealt to the sources one after another to the
 highest quotient target / (2 * seats + 1). A source's quota is taken from the start of its line, so the seed alone
-selects the blocks, and a document is cut only where a quota ends.
+selects the blocks. A quota ends inside one document; the mixed table holds whole documents only.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from waymark.llm.common import SPACE, landed, placed, word_count
+from waymark.llm.common import landed, placed, word_count
 
 WEIGHTS = (5, 2, 1)
 BLOCK_WORDS = 64
@@ -104,6 +104,11 @@ def mix_sources(
     ``first_shard`` is the shard of the mix that the document's first taken word belongs to.
     """
     sized = landed(docs.select("doc_id", "source", word_count("text").alias("size")), "sizes")
+    return _mix(sized, weights, share, limit, block_words, shards, seed)
+
+
+def _mix(sized: DataFrame, weights=WEIGHTS, share=1.5, limit=2, block_words=BLOCK_WORDS, shards=16, seed=7, keep=()) -> DataFrame:
+    """``mix_sources`` of landed sizes (``doc_id``, ``source``, ``size``), with the columns ``keep`` besides."""
     targets = source_targets(sized, weights, share, limit)
     quotas = block_quotas(targets, shards, block_words, limit)
     ends = Window.partitionBy("source").orderBy("shard")
@@ -121,40 +126,25 @@ def mix_sources(
         left = F.col("_quota") - F.col("_start") - turn * F.col("source_size")
         taken = taken + F.least(F.greatest(left.cast("long"), zero), F.col("size"))
     first = F.size(F.filter("_ends", lambda e: e <= F.col("_start")))
-    return rows.select("d.doc_id", "d.source", "size", "source_size", "target", taken.alias("taken"),
+    return rows.select(*keep, "d.doc_id", "d.source", "size", "source_size", "target", taken.alias("taken"),
                        F.when(taken > 0, first).alias("first_shard"))
 
 
-def first_words(text: str, n: Column) -> Column:
-    """The text up to the end of its ``n``-th word."""
-    return F.array_join(F.slice(F.regexp_extract_all(text, F.lit(f"[{SPACE}]*[^{SPACE}]+"), F.lit(0)), F.lit(1), n.cast("int")), "")
-
-
 def mixed_documents(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself, with the columns of the documents: a row for each time that a document is taken.
+    """The mix itself, with the columns of the documents: a row for each time that a document is taken, always whole.
 
-    A document that is taken in part, at most one per source and turn, gives its first words; ``n_chars``, if there is
-    such a column, follows. Options are those of ``mix_sources``.
+    A source's quota ends inside one document at most, which is taken once more if at least half of its words lie in the
+    quota; so the words of a source differ from those of ``mix_sources`` by half a document at most. Options are those
+    of ``mix_sources``. Rows without an id are told apart by their texts. The documents are landed with a row number, by
+    which rows and their counts meet.
     """
     names = [f"_c{i}" for i in range(len(docs.columns))]  # docs may have a column called size
     used = {c: names[docs.columns.index(c)] for c in ("doc_id", "text", "source")}
     plain = docs.toDF(*names).withColumnsRenamed({v: k for k, v in used.items()})
+    rows = landed(plain.withColumn("_row", F.monotonically_increasing_id()), "documents")
     key = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
-    keyed = plain.withColumns({"_key": key, "_size": word_count("text")})
-    taken = mix_sources(keyed.select(F.col("_key").alias("doc_id"), "text", "source"), **options)
-    lists = taken.groupBy(F.col("doc_id").alias("_key")).agg(
-        F.array_sort(F.collect_list(F.struct("source", "size", "taken"))).alias("_taken")
-    )
-    turn = F.row_number().over(Window.partitionBy("_key").orderBy(F.col("source").asc_nulls_first(), "_size"))
-    numbered = keyed.withColumn("_turn", turn).join(lists, "_key")
-    counted = numbered.withColumn("_n", F.get("_taken", F.col("_turn") - 1)["taken"]).filter("_n > 0")
-    whole, rest = F.floor(F.col("_n") / F.col("_size")), F.col("_n") % F.col("_size")
-    times = F.sequence(F.lit(1).cast("long"), F.ceil(F.col("_n") / F.col("_size")))
-    rows = counted.withColumns({"_whole": whole, "_rest": rest}).withColumn("_time", F.explode(times))
-    cut = F.col("_time") > F.col("_whole")
-    rows = rows.withColumn("text", F.when(cut, first_words("text", F.col("_rest"))).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        chars = names[docs.columns.index("n_chars")]
-        kind = docs.schema["n_chars"].dataType
-        rows = rows.withColumn(chars, F.when(cut, F.length("text").cast(kind)).otherwise(F.col(chars)))
-    return rows.select(*plain.columns).toDF(*docs.columns)
+    sized = landed(rows.select("_row", key.alias("doc_id"), "source", word_count("text").alias("size")), "sizes")
+    whole = F.floor(F.col("taken") / F.col("size") + 0.5).cast("int")
+    times = landed(_mix(sized, keep=["_row"], **options).filter("taken > 0").select("_row", whole.alias("_times")), "times")
+    taken = rows.join(times.filter("_times > 0"), "_row")
+    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), "_times"))).select(*plain.columns).toDF(*docs.columns)
