@@ -123,6 +123,21 @@ def test_centroid_of_square_and_triangle(spark):
     assert got == {"sq": (2, 1), "tr": (1, 1)}
 
 
+def test_centroid_of_large_whole_coordinates(spark):
+    # sums of third powers leave the range of a long, and of the digits of a double
+    big, far = 4_000_000_000, 10**12
+    cells = [("sq", 1, 0, 0), ("sq", 2, big, 0), ("sq", 3, big, big), ("sq", 4, 0, big)]
+    cells += [("tr", 1, far, far), ("tr", 2, far + 3, far), ("tr", 3, far, far + 3), ("no", 1, big, 0), ("no", 2, big, big)]
+    df = inline_table(spark, cells, "k string, pos int, x bigint, y bigint")
+    found = flows.centroids(df, "k")
+    assert found.schema["x"].dataType.typeName() == "double"
+    got = {r.k: (r.x, r.y) for r in found.collect()}
+    assert got.pop("no") == (None, None)
+    assert {k: [round(v, 3) for v in c] for k, c in got.items()} == {"sq": [big / 2] * 2, "tr": [far + 1] * 2}
+    small = df.filter("k = 'sq'").select("k", "pos", (F.col("x") / 40_000).cast("int").alias("x"), (F.col("y") / 40_000).cast("int").alias("y"))
+    assert [(round(r.x, 6), round(r.y, 6)) for r in flows.centroids(small, "k").collect()] == [(50_000, 50_000)]
+
+
 def test_growth_with_own_base_year(spark):
     df = inline_table(spark, [("H2A", 2016, 100), ("H2A", 2023, 200), ("R", 2017, 50), ("R", 2023, 100), ("Z", 2023, 4)], "cat string, fiscal_year int, value bigint")
     got = {r.cat: r for r in pathways.growth_table(df, "cat", 2016, 2023, {"R": 2017}).collect()}

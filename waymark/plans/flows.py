@@ -10,6 +10,8 @@ from waymark.operators.order import sharing
 from waymark.operators.reshape import to_long, to_wide
 from waymark.sources.delimited import inline_table
 
+WHOLE = ("byte", "short", "integer", "long")
+
 
 def edge_table(
     df: DataFrame, stages: list[str], value: str, extra: list[str] | None = None, least: float | None = None
@@ -84,8 +86,12 @@ def centroids(vertices: DataFrame, key: str, position: str = "pos") -> DataFrame
     """Area centroid of each polygon from its vertices (``pos`` 1..n, ``x``, ``y``), by the shoelace sums.
 
     Vertices stay rows: each meets its successor through a join on the position, so a long outline is spread over
-    tasks like any other rows.
+    tasks like any other rows. The sums grow with the third power of the coordinates: those of whole numbers are exact
+    to 38 digits, beyond which the job fails.
     """
+    whole = all(vertices.schema[c].dataType.typeName() in WHOLE for c in ("x", "y"))
+    if whole:
+        vertices = vertices.withColumns({c: F.col(c).cast("decimal(20,0)") for c in ("x", "y")})
     sizes = vertices.groupBy(key).agg(F.count(sharing(sharing(position, "x"), "y")).alias("_n"))
     rows = vertices.alias("l").join(sizes.alias("r"), on_keys([key])).select("l.*", "r._n")
     rows = rows.withColumn("_next", F.when(F.col(position) == F.col("_n"), 1).otherwise(F.col(position) + 1))
@@ -99,10 +105,12 @@ def centroids(vertices: DataFrame, key: str, position: str = "pos") -> DataFrame
         F.sum((F.col("x") + F.col("_x2")) * cross).alias("_cx"),
         F.sum((F.col("y") + F.col("_y2")) * cross).alias("_cy"),
     )
+    kept = (lambda c: c.cast("double")) if whole else (lambda c: c)
+    area = kept(F.col("_a") * 3)
     return sums.select(
         key,
-        F.try_divide(F.col("_cx"), F.col("_a") * 3).alias("x"),
-        F.try_divide(F.col("_cy"), F.col("_a") * 3).alias("y"),
+        F.try_divide(kept(F.col("_cx")), area).alias("x"),
+        F.try_divide(kept(F.col("_cy")), area).alias("y"),
     )
 
 
