@@ -318,6 +318,33 @@ def test_mixed_documents_are_whole(sources):
         assert abs(sum(r.size * times[r.doc_id] for r in own) - sum(r.taken for r in own)) <= max(r.size for r in own) / 2
 
 
+def test_mixed_documents_move_no_text(spark, sources, monkeypatch):
+    written = []
+
+    def noted(df, label, *by):
+        written.extend(df.columns)
+        return landed(df, label, *by)
+
+    landed = mixing.landed
+    monkeypatch.setattr(mixing, "landed", noted)
+    mixed = mixing.mixed_documents(sources)
+    assert "text" not in written
+    assert "hashpartitioning" not in mixed._jdf.queryExecution().executedPlan().toString()
+
+
+def test_mixed_documents_count_equal_rows(spark):
+    # the quota of each source ends among rows that are alike in all columns
+    cells = [(1, "a b c", "x")] * 40 + [(None, "d e", "y")] * 30 + [(2, "a b c", "z"), (2, "c b a", "z"), (2, None, "z")] * 9
+    docs = spark.createDataFrame(cells, "doc_id long, text string, source string")
+    plan, got = mixing.mix_sources(docs).collect(), mixing.mixed_documents(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mixed_documents(docs.repartition(7)).collect()))
+    for source in "xyz":
+        want = sum(int(r.taken / r.size + 0.5) for r in plan if r.source == source and r.size)
+        assert sum(r.source == source for r in got) == want
+    whole = collections.Counter(map(tuple, docs.collect()))
+    assert all(n <= 2 * whole[r] for r, n in collections.Counter(map(tuple, got)).items())
+
+
 def test_mixing_odd_tables(odd, none):
     rows = mixing.mix_sources(odd).collect()
     assert len(rows) == 10 and sum(r.size for r in rows) == sum(len((r.text or "").split()) for r in odd.collect())
